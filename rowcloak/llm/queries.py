@@ -7,8 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .bpe import bpe_decode, bpe_encode
+from .common import table, text_of
 from .exact_dedup import exact_dedup
+from .packing import pack
+
+
+def vocabulary(name: str) -> str:
+    """The place of an installed public tokenizer's file."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,8 +26,24 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.col("_kept").alias("kept"), F.col("_text_sha256").alias("text_sha256"))
 
 
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pack(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), vocabulary("word_bpe_49k.json"))
+    return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = vocabulary("byte_bpe_50k.json")
+    ids = bpe_encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path).drop("text")
+    out = bpe_decode(ids, path)
+    decimal = F.concat_ws(",", F.col("_ids").cast("array<string>"))
+    return out.select("doc_id", F.size("_ids").cast("long").alias("n_tokens"), F.sha2(decimal, 256).alias("ids_sha256"),
+                      F.sha2("_decoded", 256).alias("decoded_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_exact_dedup": op2_exact_dedup,
+    "op3_packing": op3_packing,
+    "op7_bpe": op7_bpe,
 }
 
 ORACLE_SQL: dict[str, str] = {
