@@ -11,6 +11,7 @@ from .bpe import bpe_decode, bpe_encode
 from .common import table, text_of
 from .exact_dedup import exact_dedup
 from .packing import pack
+from .simhash import simhash_dedup
 
 
 def vocabulary(name: str) -> str:
@@ -40,10 +41,16 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.sha2("_decoded", 256).alias("decoded_sha256"))
 
 
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = simhash_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_exact_dedup": op2_exact_dedup,
     "op3_packing": op3_packing,
     "op7_bpe": op7_bpe,
+    "op8_simhash": op8_simhash,
 }
 
 ORACLE_SQL: dict[str, str] = {
