@@ -25,44 +25,57 @@ from pyspark.sql.types import StructField, StructType, LongType, BinaryType, Str
 from .common import text_of, write_table
 
 SHARES = 1 << 16  # a share is a whole number of these parts
-CACHE_WORDS, CACHE_BYTES = 400_000, 64
+CACHE_WORDS = 600_000
 
 
-class ChunkTokenizer:
-    """Token ids of whole texts by a tokenizers file whose pre-tokenizer never crosses white space.
+class ChunkTokenizer(dict):
+    """Token ids of whole texts by a tokenizers file that lower-cases and never crosses white space.
 
-    Texts are cut at ASCII white space, each distinct chunk is encoded by the library once, and
-    short chunks are remembered, up to a fixed number, for the worker's next batches.
+    Texts are cut at ASCII white space and each distinct chunk is encoded once: pieces of Latin
+    letters, digits and signs by the vocabulary's model, anything else by the whole tokenizer. The
+    chunks (this dict) are remembered for the worker's next batches, up to a fixed number.
     """
 
     def __init__(self, path: str):
+        import json
+
+        import regex
         from tokenizers import Tokenizer
 
+        from .bpe import byte_chars
+
+        super().__init__()
         self.tok = Tokenizer.from_file(path)
         self.tok.no_truncation()
         self.tok.no_padding()
+        self.model = self.tok.model.tokenize
         self.kind = np.uint16 if self.tok.get_vocab_size() <= 1 << 16 else np.uint32
-        self.known: dict[bytes, bytes] = {}
+        with open(path, encoding="utf-8") as f:
+            steps = json.load(f)["pre_tokenizer"]["pretokenizers"]
+        self.pieces = regex.compile(steps[0]["pattern"]["Regex"]).findall
+        self.simple = regex.compile("[\x21-\x26\x28-\x7e\xa1-\xff\u0100-\u012f\u0131-\u024f]+").fullmatch
+        self.chars = dict(byte_chars())
+
+    def __missing__(self, chunk: bytes) -> bytes:
+        text = chunk.decode()
+        if self.simple(text) and "<|" not in text:
+            ids = [t.id for p in self.pieces(text.lower())
+                   for t in self.model(p if p.isascii() else p.encode().decode("latin-1").translate(self.chars))]
+        else:
+            ids = self.tok.encode(text, add_special_tokens=False).ids
+        out = np.array(ids, self.kind).tobytes()
+        self[chunk] = out
+        return out
 
     def encode(self, texts: list[str], end: int) -> list[bytes]:
         """The ids of each text and then ``end``, as little-endian bytes of ``kind``."""
-        tail = np.array([end], self.kind).tobytes()
-        split = [t.encode().split() for t in texts]
-        new = list({c for cs in split for c in cs} - self.known.keys())
-        ids = self.tok.encode_batch_fast([c.decode() for c in new], add_special_tokens=False)
-        fresh = {c: np.array(e.ids, self.kind).tobytes() for c, e in zip(new, ids)}
-        if len(self.known) + len(fresh) > CACHE_WORDS:
-            words = {c for cs in split for c in cs}
-            fresh |= {c: v for c in words if (v := self.known.get(c)) is not None}
-            self.known = {}
-        self.known |= fresh
-        out = [b"".join([*map(self.known.__getitem__, cs), tail]) for cs in split]
-        if len(self.known) > CACHE_WORDS:
-            self.known = {}
-        else:
-            for c in fresh:
-                if len(c) > CACHE_BYTES:
-                    del self.known[c]
+        tail, out = np.array([end], self.kind).tobytes(), []
+        for t in texts:
+            raw = t.encode()
+            chunks = (raw if b"<|" in raw else raw.lower()).split()
+            out.append(b"".join([*map(self.__getitem__, chunks), tail]))
+            if len(self) > CACHE_WORDS:
+                self.clear()
         return out
 
 
