@@ -8,11 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import bpe_decode, bpe_encode
-from .common import table, text_of
+from .common import crc_fold, table
 from .exact_dedup import exact_dedup
 from .html_extract import extract_main_text
+from .langid import fit_language_model, predict_language, train_fold
+from .line_dedup import line_dedup
 from .packing import pack
 from .simhash import simhash_dedup
+from .suffix_dedup import suffix_dedup
 
 
 def vocabulary(name: str) -> str:
@@ -33,6 +36,12 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_removed").alias("n_removed"),
+                      F.col("_n_runs").alias("n_runs"), F.sha2("_kept_text", 256).alias("kept_sha256"))
+
+
 def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = extract_main_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
     return out.select("page_id", "url", F.col("_main_text").alias("text"), F.length("_main_text").cast("long").alias("n_chars"))
@@ -52,12 +61,28 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    out = predict_language(docs.select("doc_id", "text"), fit_language_model(docs, train_fold()))
+    return out.select("doc_id", (crc_fold(F.col("doc_id"), 4) == 2).alias("held_out"), F.col("_lang_pred").alias("lang_pred"), F.col("_score").alias("score"))
+
+
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    gone = F.aggregate("_spans", F.lit(0).cast("long"), lambda n, s: n + s[1] - s[0])
+    return out.select("doc_id", F.col("_n_bytes").alias("n_bytes"), gone.alias("n_removed"),
+                      F.size("_spans").cast("long").alias("n_spans"), F.sha2("_kept", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_exact_dedup": op2_exact_dedup,
     "op3_packing": op3_packing,
+    "op4_line_dedup": op4_line_dedup,
     "op5_html": op5_html,
     "op7_bpe": op7_bpe,
     "op8_simhash": op8_simhash,
+    "op9_langid": op9_langid,
+    "op10_suffix_dedup": op10_suffix_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -67,4 +92,17 @@ ORACLE_SQL: dict[str, str] = {
         SELECT d.doc_id, g.keep_id, g.group_size, d.doc_id IS NOT DISTINCT FROM g.keep_id AS kept,
                sha256(d.norm) AS text_sha256
         FROM d JOIN g ON d.norm = g.norm""",
+    "op4_line_dedup": r"""
+        WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+                          generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents),
+        w AS (SELECT doc_id, i, line, lead(line, 1) OVER d AS line2, lead(line, 2) OVER d AS line3
+              FROM l WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
+        f AS (SELECT doc_id, i, row_number() OVER (PARTITION BY line, line2, line3 ORDER BY doc_id, i) AS nth
+              FROM w WHERE line3 IS NOT NULL),
+        c AS (SELECT DISTINCT doc_id, i + unnest([0, 1, 2]) AS i FROM f WHERE nth > 1),
+        m AS (SELECT l.doc_id, l.i, l.line, c.i IS NOT NULL AS gone FROM l LEFT JOIN c ON l.doc_id = c.doc_id AND l.i = c.i),
+        r AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), false) AS begins FROM m)
+        SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed, count(*) FILTER (begins) AS n_runs,
+               sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+        FROM r GROUP BY doc_id""",
 }
