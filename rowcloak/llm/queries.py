@@ -11,6 +11,7 @@ from .bpe import bpe_decode, bpe_encode
 from .common import crc_fold, table
 from .exact_dedup import exact_dedup
 from .html_extract import extract_main_text
+from .jpeg import read_media, store_media
 from .langid import fit_language_model, predict_language, train_fold
 from .line_dedup import line_dedup
 from .packing import pack
@@ -47,6 +48,14 @@ def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "url", F.col("_main_text").alias("text"), F.length("_main_text").cast("long").alias("n_chars"))
 
 
+def op6_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = read_media(store_media(table(spark, sf_dir, "documents"), keep=["doc_id"]))
+    return out.select("doc_id", F.col("_n_bytes").alias("n_bytes"), F.col("_payload_bytes").alias("payload_bytes"),
+                      F.sha2("_payload", 256).alias("payload_sha256"), F.crc32(F.substring("_payload", -32, 32)).alias("tail_crc32"),
+                      F.octet_length("_media").cast("long").alias("media_bytes"), F.sha2("_media", 256).alias("media_sha256"),
+                      F.col("_feature").alias("feature"))
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = vocabulary("byte_bpe_50k.json")
     ids = bpe_encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path).drop("text")
@@ -79,6 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_packing": op3_packing,
     "op4_line_dedup": op4_line_dedup,
     "op5_html": op5_html,
+    "op6_jpeg": op6_jpeg,
     "op7_bpe": op7_bpe,
     "op8_simhash": op8_simhash,
     "op9_langid": op9_langid,
