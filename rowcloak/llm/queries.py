@@ -14,6 +14,7 @@ from .html_extract import extract_main_text
 from .jpeg import read_media, store_media
 from .langid import fit_language_model, predict_language, train_fold
 from .line_dedup import line_dedup
+from .lm_score import folds, lm_score
 from .packing import pack
 from .simhash import simhash_dedup
 from .suffix_dedup import suffix_dedup
@@ -26,6 +27,10 @@ def vocabulary(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score(table(spark, sf_dir, "documents").select("doc_id", "text"), *folds())
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = exact_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", F.col("_keep_id").alias("keep_id"), F.col("_group_size").alias("group_size"),
@@ -84,6 +89,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_lm_score": op1_lm_score,
     "op2_exact_dedup": op2_exact_dedup,
     "op3_packing": op3_packing,
     "op4_line_dedup": op4_line_dedup,

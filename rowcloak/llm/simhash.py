@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import drop_table, text_of, write_table
+from .common import KeyFilter, drop_table, text_of, write_table
 
 BLOCKS, GROUP_LIMIT, FAN, SALTS = 6, 20_000, 16, 8
 
@@ -52,18 +52,19 @@ def fingerprints_of(texts: list[str], width: int = 4) -> list[int]:
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
-def simhash(docs: DataFrame, width: int = 4) -> DataFrame:
-    """(doc_id, fp): the fingerprint of each whole text; a null or blank text has fingerprint zero."""
-    schema = StructType([docs.schema["doc_id"], StructField("fp", LongType())])
+def simhash(docs: DataFrame, width: int = 4, keep: list[str] | None = None, out: str = "fp") -> DataFrame:
+    """The columns ``keep`` (doc_id) and the fingerprint of each whole text; a null or blank text has fingerprint zero."""
+    keep = ["doc_id"] if keep is None else keep
+    schema = StructType([*(docs.schema[c] for c in keep), StructField(out, LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo in range(0, b.num_rows, 128):
                 cut = b.slice(lo, 128)
-                fp = fingerprints_of(cut.column(1).to_pylist(), width)
-                yield pa.RecordBatch.from_arrays([cut.column(0), pa.array(fp, pa.int64())], ["doc_id", "fp"])
+                fp = fingerprints_of(cut.column(len(keep)).to_pylist(), width)
+                yield pa.RecordBatch.from_arrays([*cut.columns[:len(keep)], pa.array(fp, pa.int64())], schema.names)
 
-    return docs.select("doc_id", text_of().alias("text")).mapInArrow(run, schema)
+    return docs.select(*keep, text_of().alias("_text0")).mapInArrow(run, schema)
 
 
 def sub_masks(mask: int, blocks: int = BLOCKS, limit: int = 4) -> list[int]:
@@ -247,6 +248,12 @@ def components(edges: DataFrame) -> DataFrame:
         mark = state
 
 
+def _roots(distinct: DataFrame, limit: int, group_limit: int) -> DataFrame:
+    """``distinct`` (fp and more) with the fingerprint that stands for its component."""
+    root = components(links(distinct, limit, group_limit))
+    return distinct.join(root, distinct.fp == root.node, "left").select(*distinct.columns, F.coalesce("root", "fp").alias("root"))
+
+
 def simhash_dedup(docs: DataFrame, width: int = 4, limit: int = 4, group_limit: int = GROUP_LIMIT) -> DataFrame:
     """(doc_id, fp, component_id, group_size): one row for each row of ``docs``.
 
@@ -257,10 +264,29 @@ def simhash_dedup(docs: DataFrame, width: int = 4, limit: int = 4, group_limit:
     """
     fps = write_table(simhash(docs, width), "simhash")
     distinct = write_table(fps.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "simhash-distinct")
-    root = components(links(distinct, limit, group_limit))
-    rooted = distinct.join(root, distinct.fp == root.node, "left").select("fp", "first", "n", F.coalesce("root", "fp").alias("root"))
+    rooted = _roots(distinct, limit, group_limit)
     best = rooted.groupBy("root").agg(F.min("first").alias("component_id"), F.sum("n").alias("group_size"))
     known = rooted.join(best, "root").select("fp", "component_id", "group_size").withColumn(
         "salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     return (fps.withColumn("salt", F.pmod(F.xxhash64("doc_id", F.monotonically_increasing_id()), F.lit(SALTS)).cast("int"))
             .join(known, ["fp", "salt"]).select("doc_id", "fp", "component_id", "group_size"))
+
+
+def near_dedup(docs: DataFrame, width: int = 4, limit: int = 4, group_limit: int = GROUP_LIMIT) -> DataFrame:
+    """The rows of ``docs``, all columns, that stay: one for each component of linked fingerprints.
+
+    The smallest doc_id stays (null last), of rows that repeat it the one with the least hash of the
+    text, and of equal rows any one.
+    """
+    kept = [c for c in docs.columns if c not in ("_fp", "_th")]
+    rows = write_table(simhash(docs.select(*kept, F.xxhash64("doc_id", "text").alias("_th")), width, [*kept, "_th"], "_fp"), "simhash-rows")
+    place = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("id"), F.col("_th").alias("th"), F.col("_fp").alias("fp"))
+    distinct = write_table(rows.groupBy(F.col("_fp").alias("fp")).agg(F.min(place).alias("best")), "simhash-distinct")
+    winners = write_table(_roots(distinct, limit, group_limit).groupBy("root").agg(F.min("best").alias("best")).select(
+        F.col("best.fp").alias("_fp"), F.col("best.th").alias("_th")), "simhash-winners")
+    stay = rows.join(winners, ["_fp", "_th"], "left_semi")
+    twice = rows.select("_fp", "_th").groupBy("_fp", "_th").agg(F.count("*").alias("n")).where("n > 1")
+    key = F.xxhash64("_fp", "_th")
+    marked = KeyFilter(twice, key).mark(stay, key, "_twice")
+    once = marked.where("not _twice").select(*kept)
+    return once.unionByName(marked.where("_twice").dropDuplicates(["_fp", "_th"]).select(*kept))

@@ -21,8 +21,9 @@ import tempfile
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import KeyFilter, drop_table, text_of, write_table
@@ -350,3 +351,13 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, gr
     gaps = F.zip_with(ends, begins, lambda a, b: F.substring(F.hex("_raw"), (2 * a + 1).cast("int"), (2 * (b - a)).cast("int")))
     part = hit.select(*kept, "_n_bytes", "_spans", F.unhex(F.array_join(gaps, "")).alias("_kept"))
     return same.unionByName(part)
+
+
+def whole_characters(kept: Column) -> Column:
+    """The kept bytes as text, without the bytes of characters that were cut in two."""
+    @F.pandas_udf("string")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in batches:
+            yield pd.Series([None if b is None else bytes(b).decode("utf-8", "ignore") for b in s], dtype=object)
+
+    return run(kept)
