@@ -11,13 +11,12 @@ from __future__ import annotations
 import heapq
 import json
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType, StringType
 
 from .common import text_of
@@ -25,7 +24,7 @@ from .common import text_of
 #: Fixed value: the pre-token pattern of byte-level BPE files, white space spelt as a property.
 PATTERN = (r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+"
            r"|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+")
-GROUP_BYTES, CACHE_WORDS, CACHE_BYTES = 24 << 20, 400_000, 48
+GROUP_BYTES, CACHE_WORDS = 12 << 20, 150_000
 
 
 def byte_chars() -> dict[int, str]:
@@ -35,6 +34,14 @@ def byte_chars() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
 
+class Numbers(dict):
+    """Numbers its keys as they are first asked for."""
+
+    def __missing__(self, key):
+        self[key] = n = len(self)
+        return n
+
+
 class PairIndexBpe:
     """A byte-level BPE vocabulary file and the pair occurrence index over batches of pre-tokens."""
 
@@ -58,7 +65,7 @@ class PairIndexBpe:
         back = {c: b for b, c in chars.items()}
         self.bytes = {i: bytes(back[c] for c in t) if all(c in back for c in t) else t.encode() for t, i in vocab.items()}
         self.bytes |= {i: t.encode() for t, i in self.added.items()}
-        self.known: dict[str, bytes] = {}
+        self.known, self.coded = Numbers(), []  # pre-tokens by number of first use, their ids
 
     def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The rank of each pair, -1 if it has none."""
@@ -122,21 +129,21 @@ class PairIndexBpe:
         return [kept[a:b] for a, b in zip([0, *stop], stop)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        parts = [self.split.split(t) if self.split else [t] for t in texts]
-        words = [[w for p in ps for w in ([p] if p in self.added else self.find(p))] for ps in parts]
-        new = {w for ws in words for w in ws} - self.known.keys()
-        fresh = {w: np.array([self.added[w]], "<i4").tobytes() for w in new if w in self.added}
+        """The ids of each text as bytes of little-endian 32-bit numbers."""
+        if len(self.known) > CACHE_WORDS:
+            self.known, self.coded = Numbers(), []
+        at, first = self.known.__getitem__, len(self.coded)
+        used = []
+        for t in texts:
+            parts = self.split.split(t) if self.split else [t]
+            words = self.find(t) if len(parts) == 1 else [w for p in parts for w in ([p] if p in self.added else self.find(p))]
+            used.append(np.fromiter(map(at, words), np.int32, len(words)))
+        new = list(islice(self.known, first, None))
         plain = [w for w in new if w not in self.added]
-        fresh |= zip(plain, self.encode_words(plain)) if plain else ()
-        full = self.known | fresh if len(self.known) + len(fresh) > CACHE_WORDS else self.known
-        full |= fresh
-        out = [b"".join(map(full.__getitem__, ws)) for ws in words]
-        if full is not self.known:
-            self.known = {}
-        for w in fresh:
-            if len(w) > CACHE_BYTES:
-                self.known.pop(w, None)
-        return out
+        ids = dict(zip(plain, self.encode_words(plain))) if plain else {}
+        self.coded += [ids[w] if w in ids else np.array([self.added[w]], "<i4").tobytes() for w in new]
+        get = self.coded.__getitem__
+        return [b"".join(map(get, u.tolist())) for u in used]
 
     def decode(self, ids: np.ndarray) -> str:
         return b"".join(map(self.bytes.__getitem__, ids.tolist())).decode("utf-8", "replace")
@@ -162,36 +169,42 @@ def _groups(column: pa.Array, most: int) -> Iterator[tuple[int, int]]:
         yield lo, len(column)
 
 
-def bpe_encode(docs: DataFrame, vocab_path: str, text: str = "text", out: str = "_ids") -> DataFrame:
-    """``docs`` with the ids of the whole text as an array column.
+def bpe_encode(docs: DataFrame, vocab_path: str, text: str = "text", out: str = "_ids", keep: list[str] | None = None) -> DataFrame:
+    """The columns ``keep`` (else all) of ``docs`` with the ids of the whole text as an array column.
 
     A null text is empty and has no ids; added tokens in a text become their own id; other columns
     pass unchanged, a column named like ``out`` is replaced; an empty table gives no rows.
     """
-    docs = docs.drop(out)
-    schema = StructType([*docs.schema.fields, StructField("_text0", StringType()), StructField(out, ArrayType(IntegerType()))])
+    kept = [c for c in (docs.columns if keep is None else keep) if c != out]
+    fields = [docs.schema[c] for c in kept]
+    schema = StructType([*fields, StructField(out, ArrayType(IntegerType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = model(vocab_path)
         for batch in batches:
-            column = batch.column(batch.schema.get_field_index("_text0"))
+            column = batch.column(len(kept))
             for lo, hi in _groups(column, GROUP_BYTES):
                 ids = bpe.encode(column.slice(lo, hi - lo).to_pylist())
                 ends = np.cumsum([0, *(len(x) // 4 for x in ids)]).astype(np.int32)
                 flat = pa.array(np.frombuffer(b"".join(ids), "<i4"))
-                cut = batch.slice(lo, hi - lo)
-                yield pa.RecordBatch.from_arrays([*cut.columns, pa.ListArray.from_arrays(ends, flat)], [*cut.schema.names, out])
+                columns = batch.slice(lo, hi - lo).columns[:len(kept)]
+                yield pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(ends, flat)], schema.names)
 
-    return docs.withColumn("_text0", text_of(text)).mapInArrow(run, schema).drop("_text0")
+    return docs.select(*kept, text_of(text).alias("_text0")).mapInArrow(run, schema)
 
 
 def bpe_decode(df: DataFrame, vocab_path: str, ids: str = "_ids", out: str = "_decoded") -> DataFrame:
     """``df`` with the text of an ids column; null or empty ids give the empty text."""
-    @F.pandas_udf("string")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    df = df.drop(out)
+    schema = StructType([*df.schema.fields, StructField(out, StringType())])
+    place = df.columns.index(ids)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = model(vocab_path)
-        for ids in batches:
-            yield pd.Series([bpe.decode(np.asarray(x)) for x in ids], dtype=object)
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 512):
+                cut = batch.slice(lo, 512)
+                texts = [bpe.decode(x.values.to_numpy()) if x.is_valid else "" for x in cut.column(place)]
+                yield pa.RecordBatch.from_arrays([*cut.columns, pa.array(texts, pa.string())], schema.names)
 
-    filled: Column = F.coalesce(F.col(ids), F.array().cast("array<int>"))
-    return df.withColumn(out, run(filled))
+    return df.mapInArrow(run, schema)

@@ -63,7 +63,7 @@ def op6_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = vocabulary("byte_bpe_50k.json")
-    ids = bpe_encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path).drop("text")
+    ids = bpe_encode(table(spark, sf_dir, "documents"), path, keep=["doc_id"])
     out = bpe_decode(ids, path)
     decimal = F.concat_ws(",", F.col("_ids").cast("array<string>"))
     return out.select("doc_id", F.size("_ids").cast("long").alias("n_tokens"), F.sha2(decimal, 256).alias("ids_sha256"),
