@@ -28,7 +28,7 @@ def brute(rows):
 
     rows = sorted((d, t) for d, t in rows if t and re.search(r"[^\W\d_]", t))
     rows = brute_lines(rows)
-    comp = brute_components(fingerprints_of([t for _, t in rows], 5))
+    comp = brute_components(fingerprints_of([t for _, t in rows]))
     rows = [r for i, r in enumerate(rows) if comp[i] == i]
     cut = brute_spans([t.encode() for _, t in rows], 200)
     tok = Tokenizer.from_file(vocabulary("word_bpe_49k.json"))
