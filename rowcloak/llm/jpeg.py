@@ -77,125 +77,176 @@ def _bits(value: np.ndarray) -> np.ndarray:
     return _SIZES[value]
 
 
-def _pack(value: np.ndarray, bits: np.ndarray, segment: np.ndarray, last: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Entropy-coded bytes of items in order, and the end of each segment's bytes.
-
-    Segments are padded with ones, 255 is stuffed, and all but the ``last`` of a file end in the
-    restart marker of their ``number``.
-    """
-    n = len(number)
+def _pack(value: np.ndarray, bits: np.ndarray, segment: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of items in order, each of n segments padded with ones, and the segments' sizes."""
     total = np.bincount(segment, bits, n).astype(np.int64)
     size = (total + 7) // 8
     end = np.cumsum(size)
-    start = (end - size) * 8
+    if not len(value):
+        return np.zeros(0, np.uint8), size
     ahead = np.cumsum(bits) - bits
     first = np.concatenate([[0], np.cumsum(total)[:-1]])
-    at = ahead - first[segment] + start[segment]
-    data = np.zeros(int(end[-1]) + 8 if n else 8)
-    width = (int(bits.max(initial=1)) + 14) // 8  # bytes that an item can reach into
-    word, byte = value << (8 * width - bits - (at & 7)), at >> 3
-    for j in range(width):
-        data += np.bincount(byte + j, word >> (8 * (width - 1 - j)) & 255, len(data))
+    at = ahead + ((end - size) * 8 - first)[segment]
+    # items in a row share 32-bit words: each word is the sum of what they put into it
+    word = at >> 5
+    wide = value.astype(np.uint64) << (64 - bits - (at & 31)).astype(np.uint64)
+    cut = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
+    own = word[cut]
+    out = np.zeros(int(end[-1]) // 4 + 3, np.uint64)
+    out[own] += np.add.reduceat(wide >> np.uint64(32), cut)
+    out[own + 1] += np.add.reduceat(wide & np.uint64(0xFFFFFFFF), cut)
+    data = out.astype(">u4").view(np.uint8)[:int(end[-1])]
     pad = size * 8 - total
     some = size > 0
-    data[end[some] - 1] += (1 << pad[some]) - 1
-    data = data[:-8].astype(np.uint8)
-    stuffed = data == 255
-    extra = stuffed.astype(np.int64)
-    marked = ~last & (size > 0)
-    extra[end[marked] - 1] += 2
+    data[end[some] - 1] += ((1 << pad[some]) - 1).astype(np.uint8)
+    return data, size
+
+
+def _both(fast: np.ndarray, rows: np.ndarray, slow: tuple[np.ndarray, np.ndarray] | None) -> tuple[np.ndarray, np.ndarray]:
+    """Segments of equal size (``rows``, where ``fast`` is true) and the other ones, in order."""
+    if slow is None:
+        return rows.ravel(), np.full(len(fast), rows.shape[1])
+    data, some = slow
+    size = np.full(len(fast), rows.shape[1])
+    size[~fast] = some
+    start = np.cumsum(size) - size
+    out = np.zeros(int(size.sum()), np.uint8)
+    out[(start[fast][:, None] + np.arange(rows.shape[1])).ravel()] = rows.ravel()
+    out[np.arange(len(data)) + np.repeat(start[~fast] - (np.cumsum(some) - some), some)] = data
+    return out, size
+
+
+def _mark(data: np.ndarray, size: np.ndarray, last: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Entropy-coded data with 255 stuffed, and the end of each segment in it.
+
+    All segments but the ``last`` of a file end in the restart marker of their ``number``.
+    """
+    end = np.cumsum(size)
+    extra = (data == 255).astype(np.int64)
+    stuffed = np.flatnonzero(extra)
+    tail = end - 1
+    high = data[tail] == 255
+    marked = ~last
+    extra[tail[marked]] += 2
     place = np.arange(len(data)) + np.cumsum(extra) - extra
     out = np.zeros(len(data) + int(extra.sum()), np.uint8)
     out[place] = data
-    mark = place[end[marked] - 1] + stuffed[end[marked] - 1] + 1
+    mark = place[tail[marked]] + high[marked] + 1
     out[mark], out[mark + 1] = 255, 0xD0 + number[marked] % 8
-    return out, np.cumsum(np.concatenate([[0], extra + 1]))[end]
+    return out, place[tail] + 1 + extra[tail]
 
 
 def _extra(v: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.where(v < 0, v + (1 << size) - 1, v)
 
 
-def _encode_scan(blocks: list[np.ndarray], scan, units: list[int]) -> list[bytes]:
+def _first_items(band: np.ndarray, low: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(value, bits, block) of a first scan of a band, in order."""
+    codes, lens = _table(AC_LENGTHS)
+    width = band.shape[1]
+    mag = np.abs(band) >> low
+    b, k = np.nonzero(mag)
+    v = np.where(band[b, k] < 0, -mag[b, k], mag[b, k])
+    first = np.concatenate([[True], b[1:] != b[:-1]]) if len(b) else np.zeros(0, bool)
+    run = np.where(first, k, k - np.concatenate([[0], k[:-1]]) - 1) if len(b) else k
+    size = _bits(np.abs(v))
+    symbol = (run % 16) << 4 | size
+    final = np.full(len(band), -1)
+    final[b] = k  # the greatest of a block comes last
+    ended = np.flatnonzero(final < width - 1)
+    far = run >= 16
+    z = np.repeat(np.flatnonzero(far), run[far] // 16)
+    value = np.concatenate([codes[symbol] << size | _extra(v, size), np.full(len(z), codes[0xF0]), np.full(len(ended), codes[0])])
+    bits = np.concatenate([lens[symbol] + size, np.full(len(z), lens[0xF0]), np.full(len(ended), lens[0])])
+    seg = np.concatenate([b, b[z], ended])
+    o = np.lexsort((np.concatenate([k * 2 + 1, k[z] * 2, np.full(len(ended), 2 * width)]), seg))
+    return value[o], bits[o], seg[o]
+
+
+def _refine_items(band: np.ndarray, high: int, low: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(value, bits, block) of a refinement scan of a band, in order.
+
+    A correction bit for each old coefficient, and symbols in front of the coefficients they pass.
+    """
+    codes, lens = _table(REFINE_LENGTHS)
+    mag, width = np.abs(band), band.shape[1]
+    old, new = mag >> high > 0, (mag >> low) == 1
+    nb, nk = np.nonzero(new)
+    zeros = np.cumsum(~old & ~new, axis=1)
+    run, prev = zeros[nb, nk], np.zeros(len(nk), np.int64)
+    if len(nb):
+        same = np.concatenate([[False], nb[1:] == nb[:-1]])
+        run = run - np.where(same, np.concatenate([[0], zeros[nb, nk][:-1]]), 0)
+        prev = np.where(same, np.concatenate([[0], nk[:-1] + 1]), 0)
+    if (run >= 16).any():
+        return _refine_slowly(band, old, new, low, codes, lens)
+    ob, ok = np.nonzero(old)
+    final = np.full(len(band), -1)
+    final[nb] = nk
+    tail = np.flatnonzero(final < width - 1)
+    symbol = run << 4 | 1
+    value = np.concatenate([codes[symbol] << 1 | (band[nb, nk] > 0), mag[ob, ok] >> low & 1, np.full(len(tail), codes[0])])
+    bits = np.concatenate([lens[symbol] + 1, np.ones(len(ob), np.int64), np.full(len(tail), lens[0])])
+    seg = np.concatenate([nb, ob, tail])
+    o = np.argsort(seg * 256 + np.concatenate([prev * 2, ok * 2 + 1, (final[tail] + 1) * 2]), kind="stable")
+    return value[o], bits[o], seg[o]
+
+
+@lru_cache(8)
+def _plain_codes(low: int) -> tuple[np.ndarray, np.ndarray]:
+    """Code and extra bits, and their number, of each coefficient from -128 that follows no zero."""
+    codes, lens = _table(AC_LENGTHS)
+    c = np.arange(-128, 128)
+    v = np.where(c < 0, -(-c >> low), c >> low)
+    size = _bits(np.abs(v))
+    return codes[size] << size | _extra(v, size), lens[size] + size
+
+
+def _encode_scan(blocks: list[np.ndarray], scan, units: int) -> list[bytes]:
     """One scan of many files. blocks: each file's blocks in the scan's order; units: blocks in a segment."""
-    comps, lo, hi, high, low = scan
-    counts = np.array([len(b) for b in blocks])
+    _, lo, hi, high, low = scan
+    counts = np.array([len(b) for b in blocks]) // units
     c = np.concatenate(blocks)
-    seg_of = np.arange(len(c)) // units
-    number = np.concatenate([np.arange(n // units) for n in counts])
+    number = np.arange(len(c) // units) - np.repeat(np.cumsum(counts) - counts, counts)
     last = np.zeros(len(number), bool)
-    last[np.cumsum(counts // units) - 1] = True
+    last[np.cumsum(counts) - 1] = True
     if lo == 0 and high == 0:
-        v = c[:, 0] >> low
-        before = np.where(np.arange(len(v)) % units == 0, 0, np.concatenate([[0], v[:-1]]))
-        if units == MCU:  # the prediction is the component's own
-            k = np.arange(len(v)) % MCU
-            before = np.where((k == 0) | (k >= 4), 0, before)
-        d = v - before
+        v = (c[:, 0] >> low).reshape(-1, units)
+        before = np.zeros_like(v)
+        before[:, 1:4] = v[:, :3]  # the prediction is the component's own: luma has four blocks in a row
+        d = (v - before).ravel()
         size = _bits(np.abs(d))
         codes, lens = _table(DC_LENGTHS)
-        value, bits, seg = codes[size] << size | _extra(d, size), lens[size] + size, seg_of
+        data, sizes = _pack(codes[size] << size | _extra(d, size), lens[size] + size, np.arange(len(d)) // units, len(number))
     elif lo == 0:
-        value, bits, seg = c[:, 0] >> low & 1, np.ones(len(c), np.int64), seg_of
+        rows = np.ones((len(number), 8), np.uint8)
+        rows[:, :units] = (c[:, 0] >> low & 1).reshape(-1, units)
+        data, sizes = np.packbits(rows, axis=1).ravel(), np.ones(len(number), np.int64)
     else:
         band = c[:, lo:hi + 1]
-        width = hi - lo + 1
-        mag = np.abs(band)
-        col = np.arange(width)
+        fast = (np.abs(band) >> max(low, high)).all(axis=1)  # blocks without zeros need no runs
+        most, slow = band[fast], band[~fast]
         if high == 0:
-            codes, lens = _table(AC_LENGTHS)
-            mag = mag >> low
-            b, k = np.nonzero(mag)
-            v = np.where(band[b, k] < 0, -mag[b, k], mag[b, k])
-            first = np.concatenate([[True], b[1:] != b[:-1]]) if len(b) else np.zeros(0, bool)
-            run = np.where(first, k, k - np.concatenate([[0], k[:-1]]) - 1) if len(b) else k
-            size = _bits(np.abs(v))
-            symbol = (run % 16) << 4 | size
-            value, bits, seg, at = codes[symbol] << size | _extra(v, size), lens[symbol] + size, b, k * 2 + 1
-            final = np.full(len(c), -1)
-            final[b] = k  # the greatest of a block comes last
-            ended = np.flatnonzero(final < width - 1)
-            far = run >= 16
-            if len(ended) or far.any():
-                z = np.repeat(np.flatnonzero(far), (run[far] // 16))
-                value = np.concatenate([value, np.full(len(z), codes[0xF0]), np.full(len(ended), codes[0])])
-                bits = np.concatenate([bits, np.full(len(z), lens[0xF0]), np.full(len(ended), lens[0])])
-                seg = np.concatenate([seg, b[z], ended])
-                at = np.concatenate([at, k[z] * 2, np.full(len(ended), 2 * width)])
-                o = np.lexsort((at, seg))
-                value, bits, seg = value[o], bits[o], seg[o]
-        else:
-            codes, lens = _table(REFINE_LENGTHS)
-            old, new = mag >> high > 0, (mag >> low) == 1
-            zero = ~old & ~new
-            # a correction bit for each old coefficient, and the symbols in front of the coefficients they pass
-            nb, nk = np.nonzero(new)
-            run_all = np.cumsum(zero, axis=1)
-            run = run_all[nb, nk]
-            if len(nb):
-                same = np.concatenate([[False], nb[1:] == nb[:-1]])
-                run = run - np.where(same, np.concatenate([[0], run_all[nb, nk][:-1]]), 0)
-            if (run >= 16).any():
-                return _refine_slowly(band, old, new, high, low, codes, lens, last, number)
-            prev = np.where(same, np.concatenate([[0], nk[:-1] + 1]), 0) if len(nb) else nk
-            ob, ok = np.nonzero(old)
-            final = np.full(len(c), -1)
-            final[nb] = nk
-            tail = np.flatnonzero(final < width - 1)
-            symbol = run << 4 | 1
-            value = np.concatenate([codes[symbol] << 1 | (band[nb, nk] > 0), mag[ob, ok] >> low & 1, np.full(len(tail), codes[0])])
-            bits = np.concatenate([lens[symbol] + 1, np.ones(len(ob), np.int64), np.full(len(tail), lens[0])])
-            seg = np.concatenate([nb, ob, tail])
-            at = np.concatenate([prev * 2, ok * 2 + 1, (final[tail] + 1) * 2])
-            o = np.argsort(seg * 256 + at, kind="stable")
-            value, bits, seg = value[o], bits[o], seg[o]
-    out, end = _pack(value.astype(np.int64), bits.astype(np.int64), seg, last, number)
+            codes, bits = _plain_codes(low)
+            at = most.ravel() + 128
+            quick = codes[at], bits[at], np.repeat(np.flatnonzero(fast), band.shape[1])
+            if len(slow):
+                other = _first_items(slow, low)
+                value, bits, seg = (np.concatenate(x) for x in zip(quick, (*other[:2], np.flatnonzero(~fast)[other[2]])))
+                o = np.argsort(seg, kind="stable")
+                quick = value[o], bits[o], seg[o]
+            data, sizes = _pack(*quick, len(number))
+        else:  # the code of the band's end, one zero bit, and a correction for each coefficient
+            rows = np.zeros((len(most), 64), np.uint8)
+            rows[:, 1:] = np.abs(most) >> low & 1
+            data, sizes = _both(fast, np.packbits(rows, axis=1), _pack(*_refine_items(slow, high, low), len(slow)) if len(slow) else None)
+    out, end = _mark(data, sizes, last, number)
     stop = end[np.flatnonzero(last)].tolist()
     return [out[a:b].tobytes() for a, b in zip([0, *stop], stop)]
 
 
-def _refine_slowly(band, old, new, high, low, codes, lens, last, number) -> list[bytes]:
-    """A refinement scan block by block, for blocks with sixteen zeros before a new coefficient."""
+def _refine_slowly(band, old, new, low, codes, lens) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The items block by block, for blocks with sixteen zeros before a new coefficient."""
     value, bits, seg = [], [], []
 
     def put(v, n, i):
@@ -225,9 +276,7 @@ def _refine_slowly(band, old, new, high, low, codes, lens, last, number) -> list
             put(codes[0], lens[0], i)
         for b in held:
             put(b, 1, i)
-    out, end = _pack(np.array(value), np.array(bits), np.array(seg), last, number)
-    stops = end[np.flatnonzero(last)].tolist()
-    return [out[a:b].tobytes() for a, b in zip([0, *stops], stops)]
+    return np.array(value), np.array(bits), np.array(seg)
 
 
 def encode_many(payloads: list[bytes]) -> list[bytes]:
@@ -287,7 +336,6 @@ class Frame:
                 self.comps = [(body[6 + 3 * i], body[7 + 3 * i] >> 4, body[7 + 3 * i] & 15, body[8 + 3 * i]) for i in range(n)]
                 self.across = -(-self.width // (8 * max(c[1] for c in self.comps)))
                 self.down = -(-self.height // (8 * max(c[2] for c in self.comps)))
-                self.coef = [np.zeros((self.down * v * self.across * h, 64), np.int32) for _, h, v, _ in self.comps]
             elif marker == 0xC4:
                 k = 0
                 while k < len(body):
@@ -356,9 +404,9 @@ class Lanes:
         keep[rst] = keep[rst + 1] = keep[-1] = False
         kept = np.cumsum(keep) - keep  # places before each byte
         starts = np.sort(np.concatenate([begin[:-1], rst]))
-        self.first = np.searchsorted(starts, begin[:-1]).tolist()
         flat = np.concatenate([buf[keep], np.full(8, 255, np.uint8)]).astype(np.uint32)
         self.word = flat[:-3] << 24 | flat[1:-2] << 16 | flat[2:-1] << 8 | flat[3:]
+        self.bit = np.unpackbits(flat.astype(np.uint8))
         self.pos = kept[starts] * 8
 
     def peek(self, lane: np.ndarray) -> np.ndarray:
@@ -392,19 +440,17 @@ def _decode_scan(frames: list[Frame], scans: list[tuple]) -> None:
         look.append(_LOOKUPS[t])
     orders = [f.order(pick) for f in frames]
     comps = [i for i, _ in orders[0]]
-    bases = {i: np.cumsum([0, *(len(f.coef[i]) for f in frames)]) for i in set(comps)}
-    coef = {i: np.concatenate([f.coef[i] for f in frames]) for i in set(comps)}
-    units = [np.concatenate([o[k][1] + bases[i][n] for n, o in enumerate(orders)]) for k, i in enumerate(comps)]
-    counts = [len(o[0][1]) for o in orders]
-    ends_of, begin = [], np.zeros(len(lanes.pos), np.int64)
-    at = 0
-    for n, first in zip(counts, lanes.first):
-        step = interval or n
-        s = np.arange(0, n, step)
-        begin[first:first + len(s)] = s + at
-        ends_of.append(np.minimum(s + step, n) + at)
-        at += n
-    end = np.concatenate(ends_of)
+    coef = {i: frames[0].pool[i] for i in comps}
+    units = [np.concatenate([o[k][1] + f.base[i] for f, o in zip(frames, orders)]) for k, i in enumerate(comps)]
+    counts = np.array([len(o[0][1]) for o in orders])
+    step = np.full(len(counts), interval) if interval else counts
+    lanes_of = -(-counts // step)
+    if lanes_of.sum() != len(lanes.pos):
+        raise ValueError("restart markers don't fit the scan")
+    nth = np.arange(len(lanes.pos)) - np.repeat(np.cumsum(lanes_of) - lanes_of, lanes_of)
+    stop = np.repeat(np.cumsum(counts), lanes_of)
+    begin = stop - np.repeat(counts, lanes_of) + nth * np.repeat(step, lanes_of)
+    end = np.minimum(begin + np.repeat(step, lanes_of), stop)
     if lo == 0:
         lane, unit = np.arange(len(begin)), begin.copy()
         before = {i: np.zeros(len(begin), np.int64) for i in coef}
@@ -423,9 +469,6 @@ def _decode_scan(frames: list[Frame], scans: list[tuple]) -> None:
     else:
         i = comps[0]
         (_first if high == 0 else _refine)(lanes, look[0], coef[i], units[0], begin, end, lo, hi, low)
-    for i, c in coef.items():
-        for n, f in enumerate(frames):
-            f.coef[i] = c[bases[i][n]:bases[i][n + 1]]
 
 
 def _first(lanes, table, coef, units, unit, end, lo, hi, low) -> None:
@@ -476,11 +519,9 @@ def _refine(lanes, table, coef, units, unit, end, lo, hi, low) -> None:
         stop = np.where(want > 0, (zeros < want[:, None]).sum(axis=1), len(column))  # first column not passed
         old &= np.arange(len(column)) < stop[:, None]
         rank = np.cumsum(old, axis=1, dtype=np.int32)
-        r, j = np.nonzero(old)
-        p = lanes.pos[lane][r] + rank[r, j] - 1
-        bit = lanes.word[np.minimum(p >> 3, len(lanes.word) - 1)] >> (31 - (p & 7)).astype(np.uint32) & 1
-        v = c[r, j]
-        c[r, j] = v + np.where(v > 0, 1, -1) * (bit.astype(np.int32) << low)
+        p = np.minimum(lanes.pos[lane][:, None] + (rank - 1), len(lanes.bit) - 1)
+        bit = (lanes.bit[p] & old).astype(np.int32) << low
+        c += np.where(c > 0, bit, -bit)
         lanes.pos[lane] += rank[:, -1]
         put = (sign[lane] != 0) & (stop < len(column))
         c[put, stop[put]] = sign[lane][put] << low
@@ -493,9 +534,24 @@ def _refine(lanes, table, coef, units, unit, end, lo, hi, low) -> None:
         lane = lane[unit[lane] < end[lane]]
 
 
+def pool_coefficients(frames: list[Frame]) -> None:
+    """One array for each component of all frames, of which each frame sees its part."""
+    pool: list[np.ndarray] = []
+    for f in frames:
+        f.pool, f.base, f.coef = pool, [], []
+    for i in range(max((len(f.comps) for f in frames), default=0)):
+        some = [f for f in frames if i < len(f.comps)]
+        sizes = np.cumsum([0, *(f.down * f.comps[i][2] * f.across * f.comps[i][1] for f in some)]).tolist()
+        pool.append(np.zeros((sizes[-1], 64), np.int32))
+        for f, a, b in zip(some, sizes, sizes[1:]):
+            f.base.append(a)
+            f.coef.append(pool[i][a:b])
+
+
 def decode_many(files: list[bytes]) -> list[Frame]:
     """The files' frames with all scans accumulated; scans of equal parameters are read together."""
     frames = [Frame(f) for f in files]
+    pool_coefficients(frames)
     for n in range(max((len(f.scans) for f in frames), default=0)):
         alike = defaultdict(list)
         for f in frames:

@@ -34,6 +34,7 @@ class Slow:
 
     def __init__(self, data):
         self.frame = f = jpeg.Frame(data)
+        jpeg.pool_coefficients([f])
         for pick, lo, hi, high, low, interval, tables, buf in f.scans:
             order = f.order(pick)
             self.segs = self.split(buf.tobytes())
