@@ -17,9 +17,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import DataFrame
-from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType, StringType
+from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StringType
 
-from .common import text_of
+from .common import map_beside, text_of
 
 #: Fixed value: the pre-token pattern of byte-level BPE files, white space spelt as a property.
 PATTERN = (r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+"
@@ -176,35 +177,29 @@ def bpe_encode(docs: DataFrame, vocab_path: str, text: str = "text", out: str =
     pass unchanged, a column named like ``out`` is replaced; an empty table gives no rows.
     """
     kept = [c for c in (docs.columns if keep is None else keep) if c != out]
-    fields = [docs.schema[c] for c in kept]
-    schema = StructType([*fields, StructField(out, ArrayType(IntegerType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = model(vocab_path)
         for batch in batches:
-            column = batch.column(len(kept))
+            column = batch.column(1)
             for lo, hi in _groups(column, GROUP_BYTES):
                 ids = bpe.encode(column.slice(lo, hi - lo).to_pylist())
                 ends = np.cumsum([0, *(len(x) // 4 for x in ids)]).astype(np.int32)
                 flat = pa.array(np.frombuffer(b"".join(ids), "<i4"))
-                columns = batch.slice(lo, hi - lo).columns[:len(kept)]
-                yield pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(ends, flat)], schema.names)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.ListArray.from_arrays(ends, flat)], ["_row", out])
 
-    return docs.select(*kept, text_of(text).alias("_text0")).mapInArrow(run, schema)
+    return map_beside(docs, kept, [text_of(text)], run, [StructField(out, ArrayType(IntegerType()))])
 
 
 def bpe_decode(df: DataFrame, vocab_path: str, ids: str = "_ids", out: str = "_decoded") -> DataFrame:
     """``df`` with the text of an ids column; null or empty ids give the empty text."""
-    df = df.drop(out)
-    schema = StructType([*df.schema.fields, StructField(out, StringType())])
-    place = df.columns.index(ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = model(vocab_path)
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
                 cut = batch.slice(lo, 512)
-                texts = [bpe.decode(x.values.to_numpy()) if x.is_valid else "" for x in cut.column(place)]
-                yield pa.RecordBatch.from_arrays([*cut.columns, pa.array(texts, pa.string())], schema.names)
+                texts = [bpe.decode(x.values.to_numpy()) if x.is_valid else "" for x in cut.column(1)]
+                yield pa.RecordBatch.from_arrays([cut.column(0), pa.array(texts, pa.string())], ["_row", out])
 
-    return df.mapInArrow(run, schema)
+    return map_beside(df, [c for c in df.columns if c != out], [F.col(ids)], run, [StructField(out, StringType())])

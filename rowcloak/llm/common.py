@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 BITMAP_BITS = 32768  # bits in one bitmap of bitmap_construct_agg (a fixed value of Spark)
 
@@ -79,3 +80,40 @@ class KeyFilter:
         return (out.withColumn("_byte", F.when(at.isNotNull(), byte))
                 .withColumn(flag, F.coalesce(F.pmod(hit, F.lit(2)) == 1, F.lit(False)))
                 .drop("_slot", "_bucket", "_bitmap", "_byte"))
+
+
+def quoted(names: list[str]) -> list[str]:
+    """Column names that select() takes as they are, dots included."""
+    return ["`" + n.replace("`", "``") + "`" for n in names]
+
+
+def map_beside(df: DataFrame, kept: list[str], inputs: list[Column], run, new: list[StructField]) -> DataFrame:
+    """The kept columns and the ``new`` ones that ``run`` makes of ``inputs``, batch by batch.
+
+    ``run`` gets Arrow batches of the kept columns as one struct, then the inputs, and gives the
+    struct and the new columns; so no name of the table's can clash or be misread.
+    """
+    row = df.select(F.struct(*quoted(kept)).alias("_row"), *(c.alias(f"_in{i}") for i, c in enumerate(inputs)))
+    schema = StructType([StructField("_row", row.schema["_row"].dataType), *new])
+    return row.mapInArrow(run, schema).select("_row.*", *(f.name for f in new))
+
+
+def packed(docs: DataFrame, replaced: list[str]) -> DataFrame:
+    """(_row, doc_id, text): the columns but the replaced ones as a struct, where no name clashes."""
+    kept = quoted([c for c in docs.columns if c not in replaced])
+    return docs.select(F.struct(*kept).alias("_row"), "doc_id", "text")
+
+
+def skew_join(left: DataFrame, right: DataFrame, keys: list[str], hot: DataFrame, row: list[str], salts: int = 64) -> DataFrame:
+    """Inner join whose hot keys (``hot`` has the key columns) are dealt over ``salts`` tasks each.
+
+    A bitmap tells on both sides alike which keys are hot: left rows take a salt from the columns
+    ``row``, right rows come once for each salt. A key taken for hot by mistake is only copied.
+    """
+    key = F.xxhash64(*keys)
+    few = KeyFilter(hot, key, 1 << 20)
+    salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(*row), F.lit(salts))).otherwise(0).cast("int")
+    a = few.mark(left, key, "_hot").withColumn("_salt", salt).drop("_hot")
+    every = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    b = few.mark(right, key, "_hot").withColumn("_salt", F.explode(every)).drop("_hot")
+    return a.join(b, [*keys, "_salt"]).drop("_salt")

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import KeyFilter, scratch_path, text_of, write_table
+from .common import KeyFilter, packed, scratch_path, text_of, write_table
 
 SPACE = "[\\x20\\x09-\\x0D]+"
 SALTS = 16
@@ -28,11 +28,13 @@ class DigestIndex:
     def __init__(self, spark: SparkSession, path: str | None = None, fanout: int = 8):
         self.spark, self.path, self.fanout = spark, path or scratch_path(spark, "lsm"), fanout
         self.levels: list[list[str]] = [[]]
+        self.written = 0
 
     def _write(self, df: DataFrame, level: int) -> None:
         while len(self.levels) <= level:
             self.levels.append([])
-        out = f"{self.path}/level={level}/run={len(self.levels[level])}"
+        out = f"{self.path}/level={level}/run={self.written}"
+        self.written += 1
         (df.sortWithinPartitions("digest", "doc_id").write.option("compression", "zstd")
          .option("parquet.bloom.filter.enabled#digest", "true").parquet(out))
         self.levels[level].append(out)
@@ -66,19 +68,19 @@ def exact_dedup(docs: DataFrame, digest=None, index: DigestIndex | None = None)
     text counts as empty. Of equal texts the smallest doc_id stays; rows that repeat one doc_id
     with equal text are one document, so each of them carries ``_kept`` as true. A null doc_id
     never stays in a group that has an id; a group of null ids only has ``_keep_id`` null and all
-    rows kept. An empty table gives no rows. ``digest`` maps the normalised text to a binary
+    rows kept. An empty table gives no rows; columns named like the new ones are replaced. ``digest`` maps the normalised text to a binary
     digest (SHA-256); a weaker one only costs more verification.
     """
     digest = digest or (lambda text: F.unhex(F.sha2(text, 256)))
     index = index or DigestIndex(docs.sparkSession)
-    base = docs.withColumn("_norm", normalised(text_of())).withColumn("_digest", digest(F.col("_norm")))
+    base = packed(docs, ["_keep_id", "_group_size", "_kept", "_text_sha256"]).withColumn("_norm", normalised(text_of())).withColumn("_digest", digest(F.col("_norm")))
     index.flush(base.select(F.col("_digest").alias("digest"), "doc_id", F.lit(1).cast("long").alias("copies")))
     index.compact(len(index.levels) - 1)
     hits = index.entries().where("copies > 1")
 
     marked = KeyFilter(hits, F.xxhash64("digest")).mark(base, F.xxhash64("_digest"), "_hit")
     sha = F.lower(F.sha2(F.col("_norm"), 256))
-    plain = lambda df: df.select(*docs.columns, "_keep_id", "_group_size", "_kept", "_text_sha256")
+    plain = lambda df: df.select("_row.*", "_keep_id", "_group_size", "_kept", "_text_sha256")
     alone = marked.where("not _hit").select(
         "*", F.col("doc_id").alias("_keep_id"), F.lit(1).cast("long").alias("_group_size"),
         F.lit(True).alias("_kept"), sha.alias("_text_sha256"))

@@ -18,9 +18,10 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql.types import BinaryType, IntegerType, LongType, StringType, StructField, StructType
+from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, IntegerType, LongType, StringType, StructField
 
-from .common import text_of
+from .common import map_beside, text_of
 
 UNIT, FILL, BATCH_BYTES = 576, 255, 2 << 20
 MCU, MOST_ACROSS = 6, 4095  # four luma blocks and two of chroma; MCUs in a row of an image
@@ -633,18 +634,17 @@ def store_media(docs: DataFrame, text: str = "text", keep: list[str] | None = No
     """
     new = ["_n_bytes", "_payload_bytes", "_media"]
     kept = [c for c in (docs.columns if keep is None else keep) if c not in new]
-    schema = StructType([*(docs.schema[c] for c in kept), *(StructField(c, LongType()) for c in new[:2]), StructField("_media", BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            column = b.column(len(kept))
+            column = b.column(1)
             for lo, hi in _batches(len(x.as_buffer() or b"") for x in column):
                 texts = column.slice(lo, hi - lo).to_pylist()
                 payloads = [padded(t) for t in texts]
-                yield pa.RecordBatch.from_arrays([*b.slice(lo, hi - lo).columns[:len(kept)], pa.array([len(t) for t in texts], pa.int64()),
-                                                  pa.array([len(p) for p in payloads], pa.int64()), pa.array(encode_many(payloads), pa.binary())], schema.names)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array([len(t) for t in texts], pa.int64()),
+                                                  pa.array([len(p) for p in payloads], pa.int64()), pa.array(encode_many(payloads), pa.binary())], ["_row", *new])
 
-    return docs.select(*kept, text_of(text).cast("binary").alias("_bytes0")).mapInArrow(run, schema)
+    return map_beside(docs, kept, [text_of(text).cast("binary")], run, [*(StructField(c, LongType()) for c in new[:2]), StructField("_media", BinaryType())])
 
 
 def read_media(df: DataFrame, tensors: bool = True) -> DataFrame:
@@ -653,12 +653,10 @@ def read_media(df: DataFrame, tensors: bool = True) -> DataFrame:
     kept = [c for c in df.columns if c not in new]
     fields = [StructField("_payload", BinaryType()), StructField("_height", IntegerType()), StructField("_width", IntegerType()),
               StructField("_feature", StringType()), *([StructField("_tensor", BinaryType())] if tensors else [])]
-    schema = StructType([*(df.schema[c] for c in kept), *fields])
-    place = kept.index("_media")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            column = b.column(place)
+            column = b.column(1)
             for lo, hi in _batches(len(x.as_buffer()) for x in column):
                 frames = decode_many(column.slice(lo, hi - lo).to_pylist())
                 images = [rgb(f) for f in frames]
@@ -666,6 +664,6 @@ def read_media(df: DataFrame, tensors: bool = True) -> DataFrame:
                           pa.array([f.width for f in frames], pa.int32()), pa.array([feature_of(x) for x in images], pa.string())]
                 if tensors:
                     arrays.append(pa.array([x.tobytes() for x in images], pa.binary()))
-                yield pa.RecordBatch.from_arrays([*b.slice(lo, hi - lo).columns, *arrays], schema.names)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), *arrays], ["_row", *(f.name for f in fields)])
 
-    return df.select(*kept).mapInArrow(run, schema)
+    return map_beside(df, kept, [F.col("_media")], run, fields)

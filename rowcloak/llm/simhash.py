@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import KeyFilter, drop_table, text_of, write_table
+from .common import KeyFilter, drop_table, packed, quoted, text_of, write_table
 
 BLOCKS, GROUP_LIMIT, FAN, SALTS = 6, 20_000, 16, 8
 
@@ -64,7 +64,7 @@ def simhash(docs: DataFrame, width: int = 4, keep: list[str] | None = None, out:
                 fp = fingerprints_of(cut.column(len(keep)).to_pylist(), width)
                 yield pa.RecordBatch.from_arrays([*cut.columns[:len(keep)], pa.array(fp, pa.int64())], schema.names)
 
-    return docs.select(*keep, text_of().alias("_text0")).mapInArrow(run, schema)
+    return docs.select(*quoted(keep), text_of().alias("_text0")).mapInArrow(run, schema)
 
 
 def sub_masks(mask: int, blocks: int = BLOCKS, limit: int = 4) -> list[int]:
@@ -278,8 +278,8 @@ def near_dedup(docs: DataFrame, width: int = 4, limit: int = 4, group_limit: int
     The smallest doc_id stays (null last), of rows that repeat it the one with the least hash of the
     text, and of equal rows any one.
     """
-    kept = [c for c in docs.columns if c not in ("_fp", "_th")]
-    rows = write_table(simhash(docs.select(*kept, F.xxhash64("doc_id", "text").alias("_th")), width, [*kept, "_th"], "_fp"), "simhash-rows")
+    rows = packed(docs, []).withColumn("_th", F.xxhash64("doc_id", "text"))
+    rows = write_table(simhash(rows, width, ["_row", "doc_id", "_th"], "_fp"), "simhash-rows")
     place = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("id"), F.col("_th").alias("th"), F.col("_fp").alias("fp"))
     distinct = write_table(rows.groupBy(F.col("_fp").alias("fp")).agg(F.min(place).alias("best")), "simhash-distinct")
     winners = write_table(_roots(distinct, limit, group_limit).groupBy("root").agg(F.min("best").alias("best")).select(
@@ -288,5 +288,5 @@ def near_dedup(docs: DataFrame, width: int = 4, limit: int = 4, group_limit: int
     twice = rows.select("_fp", "_th").groupBy("_fp", "_th").agg(F.count("*").alias("n")).where("n > 1")
     key = F.xxhash64("_fp", "_th")
     marked = KeyFilter(twice, key).mark(stay, key, "_twice")
-    once = marked.where("not _twice").select(*kept)
-    return once.unionByName(marked.where("_twice").dropDuplicates(["_fp", "_th"]).select(*kept))
+    once = marked.where("not _twice").select("_row.*")
+    return once.unionByName(marked.where("_twice").dropDuplicates(["_fp", "_th"]).select("_row.*"))
