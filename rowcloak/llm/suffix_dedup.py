@@ -26,9 +26,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import KeyFilter, drop_table, text_of, write_table
+from .common import KeyFilter, drop_table, packed, skew_join, text_of, write_table
 
-LENGTH, ANCHOR, GROUP_LIMIT, STRINGS = 200, 64, 50_000, 1 << 15
+LENGTH, ANCHOR, GROUP_LIMIT, STRINGS, HOT = 200, 64, 50_000, 1 << 15, 2_000
 BLOCK = 1 << 19
 DOC = ["_ord", "_tk"]
 LAST = (1 << 63) - 1
@@ -194,8 +194,9 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
 
     place = "_ord long, _tk long, h long, first long, ahead short, more short"
     found = write_table(base.select(*DOC, F.col("_text").cast("binary").alias("t")).mapInArrow(merged, place), "suffix-anchors")
-    again = found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
-    lists = write_table(found.join(again, "h").groupBy(*DOC).agg(
+    again = write_table(found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"), "suffix-again")
+    common = again.where(F.col("n") > HOT)
+    lists = write_table(skew_join(found, again.select("h"), ["h"], common, [*DOC, "first"]).groupBy(*DOC).agg(
         F.collect_list(F.struct("h", "first", "ahead", "more")).alias("list")), "suffix-lists")
     drop_table(found) if not found.isEmpty() else None
 
@@ -248,7 +249,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
     strings = pieces.where("text is not null").select("h", "digest", "lead", "text", "weight")
     runs = write_table(judged(strings, length, columns, group_limit), "suffix-runs")
 
-    spans = where.join(runs, ["h", "digest"]).select(
+    copied = where.groupBy("h", "digest").agg(F.count("*").alias("n")).where(F.col("n") > HOT)
+    spans = skew_join(where, runs, ["h", "digest"], copied, [*DOC, "start"]).select(
         *DOC, F.struct((F.col("start") + F.col("first")).alias("a"), (F.col("start") + F.col("last") + length).alias("b")).alias("s"))
     listed = spans.groupBy(*DOC).agg(F.collect_set("s").alias("s"))
 
@@ -336,20 +338,19 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, gr
     rows; columns named like the new ones are replaced, others pass unchanged.
     """
     new = ["_n_bytes", "_spans", "_kept"]
-    kept = [c for c in docs.columns if c not in new]
     spans = repeated_spans(docs.select("doc_id", "text"), length, anchor, group_limit)
     key = F.xxhash64(*DOC)
     none = F.expr("cast(array() as array<array<bigint>>)")
-    marked = KeyFilter(spans, key).mark(keyed(docs.select(*kept)), key, "_hit")
+    marked = KeyFilter(spans, key).mark(keyed(packed(docs, new)), key, "_hit")
     raw = F.col("_text").cast("binary")
     size = F.octet_length("_text").cast("long").alias("_n_bytes")
-    same = marked.where("not _hit").select(*kept, size, none.alias("_spans"), raw.alias("_kept"))
-    hit = marked.where("_hit").join(spans, DOC, "left").select(*kept, size, F.coalesce("_spans", none).alias("_spans"), raw.alias("_raw"))
+    same = marked.where("not _hit").select("_row.*", size, none.alias("_spans"), raw.alias("_kept"))
+    hit = marked.where("_hit").join(spans, DOC, "left").select("_row", size, F.coalesce("_spans", none).alias("_spans"), raw.alias("_raw"))
     # the bytes between the runs: from the end of one to the start of the next
     ends = F.concat(F.array(F.lit(0).cast("long")), F.transform("_spans", lambda s: s[1]))
     begins = F.concat(F.transform("_spans", lambda s: s[0]), F.array(F.col("_n_bytes")))
     gaps = F.zip_with(ends, begins, lambda a, b: F.substring(F.hex("_raw"), (2 * a + 1).cast("int"), (2 * (b - a)).cast("int")))
-    part = hit.select(*kept, "_n_bytes", "_spans", F.unhex(F.array_join(gaps, "")).alias("_kept"))
+    part = hit.select("_row.*", "_n_bytes", "_spans", F.unhex(F.array_join(gaps, "")).alias("_kept"))
     return same.unionByName(part)
 
 
