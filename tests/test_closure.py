@@ -100,3 +100,52 @@ def test_load_order_and_partitions(model):
     assert len([f for f in model.fks if f.child == "events"]) == 1  # the leaf's constraint is its parent's
     assert model.cycles() == [["companies", "users"]]
     assert model.key_columns("comments") == {"id", "commentable_id"}
+
+
+def test_provenance_against_a_walk(spark):
+    """closure_via has no SQL: a plain breadth-first walk over collected rows says the same."""
+    from rowcloak.plans.selection import ROOT, closure_via
+
+    m = star_model(spark, "/root/testdata/sf0.001")
+    rows = {t: [r.asDict() for r in m.table(t).rows().collect()] for t in m.tables}
+    key = {t: m.table(t).key[0] for t in m.tables}
+    roots = {r.c_custkey for r in m.table("customer").df.where(ROOT).collect()}
+    found = {"customer": {k: (0, "root") for k in roots}}
+
+    def add(new, depth):
+        out = {}
+        for (t, k), via in new.items():
+            if k not in found.setdefault(t, {}):
+                found[t][k] = depth, via
+                out.setdefault(t, set()).add(k)
+        return out
+
+    frontier = {"customer": roots}
+    for depth in (0, 1):
+        level = {}
+        while frontier:
+            new = {}
+            for t, ks in frontier.items():
+                level.setdefault(t, set()).update(ks)
+                for fk in m.parents(t):
+                    refs = {r[fk.columns[0]] for r in rows[t] if r[key[t]] in ks}
+                    for r in rows[fk.parent]:
+                        if r[fk.ref_columns[0]] in refs:
+                            k = fk.parent, r[key[fk.parent]]
+                            new[k] = min(new.get(k, fk.name), fk.name)
+            frontier = add(new, depth)
+        if depth == 0:
+            new = {}
+            for t, ks in level.items():
+                for fk in m.children(t):
+                    for r in rows[fk.child]:
+                        if r[fk.columns[0]] in ks:
+                            k = fk.child, r[key[fk.child]]
+                            new[k] = min(new.get(k, fk.name), fk.name)
+            frontier = add(new, 1)
+    want = {}
+    for keys in found.values():
+        for d, via in keys.values():
+            n, low = want.get(via, (0, d))
+            want[via] = n + 1, min(low, d)
+    assert {r.via: (r.n_keys, r.min_depth) for r in closure_via(spark, "/root/testdata/sf0.001").collect()} == want
