@@ -15,9 +15,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StringType, StructField, StructType
+from pyspark.sql.types import DoubleType, StringType, StructField
 
-from .common import crc_fold
+from .common import crc_fold, map_beside
 
 DIM, BATCH = 1 << 15, 64
 UNKNOWN = "und"
@@ -112,9 +112,12 @@ def fit_language_model(docs: DataFrame, train, per_language: int = 400, language
     """
     rows = docs.where(train).where("lang is not null and text is not null").select(
         F.col("lang").cast("string").alias("lang"), F.xxhash64("doc_id", "text").alias("h"))
-    common = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).select("lang")
-    place = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
-    chosen = rows.join(F.broadcast(common), "lang").withColumn("k", place).where(F.col("k") <= per_language).select("lang", "h")
+    common = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages)
+    # of a common language only hashes that can be among the smallest are sorted, four times what is taken
+    k = F.pmod("h", F.lit(1 << 40))
+    near = rows.join(F.broadcast(common), "lang").withColumn("k", k).where(F.col("k") < F.lit(4.0 * per_language * (1 << 40)) / F.col("count"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("k", "h"))
+    chosen = near.withColumn("n", place).where(F.col("n") <= per_language).select("lang", "h")
     ids = chosen.dropDuplicates(["h"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,13 +143,13 @@ def predict_language(docs: DataFrame, model: KernelModel | None, text: str = "te
     unchanged; repeated rows get the same answer; an empty table gives no rows.
     """
     kept = [c for c in docs.columns if c not in (pred, score)]
-    schema = StructType([*(docs.schema[c] for c in kept), StructField(pred, StringType()), StructField(score, DoubleType())])
+    new = [StructField(pred, StringType()), StructField(score, DoubleType())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo in range(0, b.num_rows, BATCH):
                 cut = b.slice(lo, BATCH)
-                x = [None if t is None or model is None else presence(t) for t in cut.column(len(kept)).to_pylist()]
+                x = [None if t is None or model is None else presence(t) for t in cut.column(1).to_pylist()]
                 lang, points = [UNKNOWN] * len(x), np.zeros(len(x))
                 some = [i for i, v in enumerate(x) if v is not None]
                 if some:
@@ -154,9 +157,9 @@ def predict_language(docs: DataFrame, model: KernelModel | None, text: str = "te
                     points[some] = share
                     for i, k in zip(some, best):
                         lang[i] = model.langs[k]
-                yield pa.RecordBatch.from_arrays([*cut.columns[:len(kept)], pa.array(lang, pa.string()), pa.array(points)], schema.names)
+                yield pa.RecordBatch.from_arrays([cut.column(0), pa.array(lang, pa.string()), pa.array(points)], ["_row", pred, score])
 
-    return docs.select(*kept, F.col(text).cast("string").alias("_text0")).mapInArrow(run, schema)
+    return map_beside(docs, kept, [F.col(text).cast("string")], run, new)
 
 
 def train_fold(n: int = 4, held: int = 2):
