@@ -35,10 +35,12 @@ def slice_summary(model: RelationalModel, keys: dict[str, DataFrame], classifier
     for t in model.tables.values():
         protected = model.key_columns(t.name) | set(t.generated)
         masked = sum(c not in protected and classifier.rule(t.name, c) != "keep" for c in t.df.columns)
-        picked = keys[t.name].agg(F.count("*").alias("n_extracted")) if t.name in keys else t.df.limit(0).agg(F.count("*").alias("n_extracted"))
-        out.append(t.df.agg(F.count("*").alias("n_source")).crossJoin(picked).select(
-            F.lit(t.name).alias("table_name"), "n_source", "n_extracted", F.lit(masked).cast("long").alias("n_masked_columns")))
-    rows = reduce(DataFrame.unionByName, out)
+        count = lambda df, c: df.agg(F.count("*").alias(c)).select(F.lit(t.name).alias("table_name"), c, F.lit(masked).cast("long").alias("n_masked_columns"))  # noqa: B023, E731
+        out.append(count(t.df, "n_source").withColumn("n_extracted", F.lit(0).cast("long")))
+        if t.name in keys:
+            out.append(count(keys[t.name], "n_extracted").withColumn("n_source", F.lit(0).cast("long")))
+    rows = reduce(DataFrame.unionByName, out).groupBy("table_name").agg(
+        F.sum("n_source").alias("n_source"), F.sum("n_extracted").alias("n_extracted"), F.max("n_masked_columns").alias("n_masked_columns"))
     total = rows.agg(*(F.sum(c).alias(c) for c in ("n_source", "n_extracted", "n_masked_columns"))).select(F.lit("total").alias("table_name"), "*")
     return rows.unionByName(total)
 
