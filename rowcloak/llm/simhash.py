@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import KeyFilter, drop_table, packed, quoted, text_of, write_table
+from .common import drop_table, quoted, text_of, write_table
 
 BLOCKS, GROUP_LIMIT, FAN, SALTS = 6, 20_000, 16, 8
 
@@ -270,23 +270,3 @@ def simhash_dedup(docs: DataFrame, width: int = 4, limit: int = 4, group_limit:
         "salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     return (fps.withColumn("salt", F.pmod(F.xxhash64("doc_id", F.monotonically_increasing_id()), F.lit(SALTS)).cast("int"))
             .join(known, ["fp", "salt"]).select("doc_id", "fp", "component_id", "group_size"))
-
-
-def near_dedup(docs: DataFrame, width: int = 4, limit: int = 4, group_limit: int = GROUP_LIMIT) -> DataFrame:
-    """The rows of ``docs``, all columns, that stay: one for each component of linked fingerprints.
-
-    The smallest doc_id stays (null last), of rows that repeat it the one with the least hash of the
-    text, and of equal rows any one.
-    """
-    rows = packed(docs, []).withColumn("_th", F.xxhash64("doc_id", "text"))
-    rows = write_table(simhash(rows, width, ["_row", "doc_id", "_th"], "_fp"), "simhash-rows")
-    place = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("id"), F.col("_th").alias("th"), F.col("_fp").alias("fp"))
-    distinct = write_table(rows.groupBy(F.col("_fp").alias("fp")).agg(F.min(place).alias("best")), "simhash-distinct")
-    winners = write_table(_roots(distinct, limit, group_limit).groupBy("root").agg(F.min("best").alias("best")).select(
-        F.col("best.fp").alias("_fp"), F.col("best.th").alias("_th")), "simhash-winners")
-    stay = rows.join(winners, ["_fp", "_th"], "left_semi")
-    twice = rows.select("_fp", "_th").groupBy("_fp", "_th").agg(F.count("*").alias("n")).where("n > 1")
-    key = F.xxhash64("_fp", "_th")
-    marked = KeyFilter(twice, key).mark(stay, key, "_twice")
-    once = marked.where("not _twice").select("_row.*")
-    return once.unionByName(marked.where("_twice").dropDuplicates(["_fp", "_th"]).select("_row.*"))
