@@ -24,8 +24,8 @@ UNKNOWN = "und"
 
 
 def letters() -> np.ndarray:
-    """Is each code point below 65536 a letter?"""
-    return np.fromiter((chr(c).isalpha() for c in range(1 << 16)), bool, 1 << 16)
+    """Is each code point a letter?"""
+    return np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
 
 
 _LETTER: list[np.ndarray] = []
@@ -38,7 +38,7 @@ def presence(text: str, longest: int = 4) -> np.ndarray | None:
     low, parts, before, step = text.lower(), [np.array([32], np.uint32)], False, 1 << 20
     for lo in range(0, len(low), step):  # one space for each run of other characters
         code = np.frombuffer(low[lo:lo + step].encode("utf-32-le", "surrogatepass"), np.uint32)
-        alpha = _LETTER[0][np.minimum(code, 0xFFFF)] & (code < 0x10000) | (code > 0x1FFFF) | (code > 0xFFFF) & (code < 0x1F000)
+        alpha = _LETTER[0][code]
         keep = alpha | np.concatenate([[before], alpha[:-1]])
         before = bool(alpha[-1])
         parts.append(np.where(alpha, code, np.uint32(32))[keep])
