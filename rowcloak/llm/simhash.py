@@ -24,6 +24,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 from .common import drop_table, quoted, text_of, write_table
 
 BLOCKS, GROUP_LIMIT, FAN, SALTS = 6, 20_000, 16, 8
+FRONTIER = 1 << 17  # (searcher, node) pairs that are looked at together
 
 
 def fingerprints_of(texts: list[str], width: int = 4) -> list[int]:
@@ -135,23 +136,31 @@ class GrayIndex:
         return self.label
 
     def _search(self, queries: np.ndarray) -> None:
+        """Walk down depth first, FRONTIER pairs of searcher and node at a time."""
         own = self.node_labels()
         top = len(self.levels) - 1
         width = len(self.levels[top][0])
-        q, node = np.repeat(queries, width), np.tile(np.arange(width), len(queries))
-        spent, known = np.zeros(len(q), np.uint8), np.zeros(len(q), np.uint64)
-        for k in range(top, -1, -1):
+        step = max(1, FRONTIER // width)
+        stack = [(top, np.repeat(q, width), np.tile(np.arange(width), len(q)), np.zeros(len(q) * width, np.uint8), np.zeros(len(q) * width, np.uint64))
+                 for q in (queries[lo:lo + step] for lo in range(0, len(queries), step))]
+        while stack:
+            k, q, node, spent, known = stack.pop()
             mask, value = self.levels[k]
             spent = spent + np.bitwise_count((self.codes[q] ^ value[node]) & mask[node] & ~known)
             open_ = (spent <= self.limit) & (own[k][node] != self.label[q])
             q, node, spent, known = q[open_], node[open_], spent[open_], mask[node[open_]]
             below = len(self.levels[k - 1][0]) if k else len(self.codes)
-            q, spent, known = np.repeat(q, FAN), np.repeat(spent, FAN), np.repeat(known, FAN)
-            node = (node[:, None] * FAN + np.arange(FAN)).ravel()
-            inside = node < below
-            q, node, spent, known = q[inside], node[inside], spent[inside], known[inside]
-        hit = (self.label[q] != self.label[node]) & (spent + np.bitwise_count((self.codes[q] ^ self.codes[node]) & ~known) <= self.limit)
-        self.union(q[hit], node[hit])
+            for lo in range(0, len(q), FRONTIER // FAN):
+                part = slice(lo, lo + FRONTIER // FAN)
+                q2, s2, m2 = (np.repeat(x[part], FAN) for x in (q, spent, known))
+                n2 = (node[part, None] * FAN + np.arange(FAN)).ravel()
+                inside = n2 < below
+                if k:
+                    stack.append((k - 1, q2[inside], n2[inside], s2[inside], m2[inside]))
+                    continue
+                q2, n2, s2, m2 = q2[inside], n2[inside], s2[inside], m2[inside]
+                hit = (self.label[q2] != self.label[n2]) & (s2 + np.bitwise_count((self.codes[q2] ^ self.codes[n2]) & ~m2) <= self.limit)
+                self.union(q2[hit], n2[hit])
 
 
 def _stars(mask: np.ndarray, fp: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:

@@ -82,3 +82,21 @@ def test_query_against_brute_force(spark):
         assert len(got) == len(rows)
         assert sorted((r.doc_id, r.fp, r.component_id) for r in got if r.doc_id is not None) == want
     assert simhash_dedup(df.limit(0)).count() == 0
+
+
+def test_frontier_is_bounded():
+    """A full group without links, whose index can't prune by components."""
+    import tracemalloc
+
+    codes = np.unique(np.random.default_rng(1).integers(0, 1 << 24, 20_000).astype(np.uint64) << np.uint64(40))
+    tracemalloc.start()
+    label = GrayIndex(codes, 4).components()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 200 << 20
+    near = np.bitwise_count(codes[:, None][:500] ^ codes[None]) <= 4
+    index = GrayIndex(codes, 4)
+    place = {int(c): i for i, c in enumerate(index.codes)}
+    for i, row in enumerate(near):
+        for j in np.flatnonzero(row):
+            assert label[place[int(codes[i])]] == label[place[int(codes[j])]]
