@@ -20,6 +20,7 @@ from pyspark.sql.types import DoubleType, StringType, StructField
 from .common import crc_fold, map_beside
 
 DIM, BATCH = 1 << 15, 64
+SAMPLE, LANGUAGES = 25_600, 4_000  # rows that are learned from at most, and languages
 UNKNOWN = "und"
 
 
@@ -103,16 +104,26 @@ class KernelModel:
         return best, e[np.arange(len(f)), best] / e.sum(1)
 
 
-def fit_language_model(docs: DataFrame, train, per_language: int = 400, languages: int = 64, landmarks: int = 192) -> KernelModel | None:
-    """Fit on at most ``per_language`` rows of each of at most ``languages`` languages.
+def fit_language_model(docs: DataFrame, train, per_language: int = 400, sample: int = SAMPLE, landmarks: int = 192) -> KernelModel | None:
+    """Fit on ``per_language`` rows of each language, on fewer where all together would pass ``sample``.
 
-    ``train`` is a condition on the rows that may be learned from. The rows of a language are those
-    with the smallest hash of doc_id and text, so the choice doesn't depend on the partitioning.
-    The features of the chosen rows (4 KB each) are all that reaches the driver. None without any.
+    ``train`` is a condition on the rows that may be learned from. All languages are learned, each
+    from one row at least and with three landmarks where ``landmarks`` are too few for that; above
+    LANGUAGES of them, which one kernel matrix can't hold, this raises an error. The rows of a
+    language are those with the smallest hash of doc_id and text, so the choice doesn't depend on
+    the partitioning. The features of the chosen rows (4 KB each, 100 MB for the whole sample) are
+    all that reaches the driver. None without any.
     """
     rows = docs.where(train).where("lang is not null and text is not null").select(
         F.col("lang").cast("string").alias("lang"), F.xxhash64("doc_id", "text").alias("h"))
-    common = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages)
+    sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES + 1).collect()
+    if len(sizes) > LANGUAGES:
+        raise ValueError(f"lang has more than {LANGUAGES} values")
+    if not sizes:
+        return None
+    per_language = max(1, min(per_language, sample // len(sizes)))
+    landmarks = max(landmarks, min(3, per_language) * len(sizes))
+    common = docs.sparkSession.createDataFrame([tuple(r) for r in sizes], "lang string, count long")
     # of a common language only hashes that can be among the smallest are sorted, four times what is taken
     k = F.pmod("h", F.lit(1 << 40))
     near = rows.join(F.broadcast(common), "lang").withColumn("k", k).where(F.col("k") < F.lit(4.0 * per_language * (1 << 40)) / F.col("count"))

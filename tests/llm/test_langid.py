@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from rowcloak.llm.langid import DIM, KernelModel, fit_language_model, predict_language, presence, train_fold
@@ -49,3 +50,22 @@ def test_edges(spark):
     assert fit_language_model(df.limit(0), train_fold()) is None
     assert {r._lang_pred for r in predict_language(df, None).collect()} == {"und"}
     assert predict_language(df.limit(0), model).count() == 0
+
+
+def test_all_of_many_languages_are_learned(spark):
+    """90 languages, each with letters of its own; one has a single row, one a very long text."""
+    def word(k):
+        return "".join(chr(0x4E00 + 40 * k + i) for i in range(6))
+
+    rows = [(100 * k + i, f"{word(k)} {word(k)[::-1]} {i}", f"l{k}") for k in range(90) for i in range(1 if k == 7 else 5)]
+    rows.append((99_999, word(3) * 50_000, "l3"))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = fit_language_model(df, F.lit(True), sample=200)  # two rows a language
+    assert len(model.langs) == 90 and len(model.marks) == 179
+    assert predict_language(df, model).where("lang <> _lang_pred").count() == 0
+
+
+def test_too_many_languages_are_an_error(spark):
+    df = spark.range(4_001).selectExpr("id as doc_id", "'text' as text", "cast(id as string) as lang")
+    with pytest.raises(ValueError):
+        fit_language_model(df, F.lit(True))
