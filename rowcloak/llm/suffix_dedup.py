@@ -7,8 +7,10 @@ out. The segments with one anchor are a collection of strings lined up at the an
 suffixes that start in one column can share a window. The collection is built column by column from
 the right: each round inserts one symbol of every string, sorts the suffixes stably by it, which is
 the step of the (positional) Burrows-Wheeler transform, and updates the common prefixes of
-neighbours. The columns come one after the other from a sequential file beside the task. A window
-is repeated when its suffix shares ``length`` bytes with a neighbour, or its segment occurs twice.
+neighbours. Between the steps anchors, strings and runs lie in sequential files in the shared folder;
+a task streams its strings from there and holds the columns of at most STRINGS of them, with one
+group more. A window is repeated when its suffix shares ``length`` bytes with a neighbour, or its
+segment occurs twice.
 
 Equal segments travel once with their count. Anchors with too many different segments for a task
 are split: windows left and right of their middle are dealt out again by the longer string that
@@ -17,7 +19,6 @@ they have in common, until the groups fit or a group is a single window's conten
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -86,52 +87,46 @@ def repeated(text: list[bytes], lead: np.ndarray, group: np.ndarray, weight: np.
     ends = lead + np.fromiter(map(len, text), np.int64, n)
     most = int(ends.max())
     out = np.zeros((n, columns), bool)
-    with tempfile.TemporaryFile() as file:
-        grid = np.zeros((n, most), np.uint8)
-        for i, t in enumerate(text):
-            grid[i, lead[i]:ends[i]] = np.frombuffer(t, np.uint8)
-        for j in range(most - 1, -1, -1):
-            grid[:, j].tofile(file)
-        del grid
-        file.seek(0)
-        order, until = np.zeros(0, np.int64), np.zeros(0, np.int64)  # suffix order; column where it parts from the one before
-        for j in range(most - 1, -1, -1):
-            symbol = np.fromfile(file, np.uint8, n)
-            live = lead[order] <= j
-            if not live.all():  # strings that begin further right leave
-                keep = np.flatnonzero(live)
-                until = np.minimum.reduceat(np.append(until, 0), np.concatenate([[0], keep + 1]))[:-1]
-                order = order[keep]
-            new = np.flatnonzero(ends == j + 1)
-            if len(new):  # an empty suffix comes first in its group and shares nothing
-                order, until = np.concatenate([new, order]), np.concatenate([np.full(len(new), j + 1), until])
-                if len(order) > len(new):
-                    until[len(new)] = j + 1
-                o = np.argsort(group[order], kind="stable")
-                moved = np.concatenate([[True], o[1:] != o[:-1] + 1])
-                order, until = order[o], np.where(moved, j + 1, until[o])
-            if not len(order):
-                continue
-            key = group[order] << 8 | symbol[order]
-            o = np.argsort(key, kind="stable")
-            same = np.concatenate([[False], key[o[1:]] == key[o[:-1]]])
-            fresh = np.full(len(order), j)
-            pair = np.flatnonzero(same)
-            if len(pair):
-                spans = np.column_stack([o[pair - 1] + 1, o[pair] + 1]).ravel()
-                fresh[pair] = np.minimum.reduceat(np.append(until, 0), spans)[::2]
-            order, until = order[o], fresh
-            if j < columns:
-                long = until - j >= length
-                found = long | np.concatenate([long[1:], [False]]) | ((weight[order] > 1) & (ends[order] - j >= length))
-                out[order[found], j] = True
+    grid = np.zeros((most, n), np.uint8)  # a row for each column
+    for lo in range(0, n, 1024):
+        some = np.zeros((min(1024, n - lo), most), np.uint8)
+        for i, t in enumerate(text[lo:lo + 1024]):
+            some[i, lead[lo + i]:ends[lo + i]] = np.frombuffer(t, np.uint8)
+        grid[:, lo:lo + 1024] = some.T
+    order, until = np.zeros(0, np.int64), np.zeros(0, np.int64)  # suffix order; column where it parts from the one before
+    for j in range(most - 1, -1, -1):
+        symbol = grid[j]
+        live = lead[order] <= j
+        if not live.all():  # strings that begin further right leave
+            keep = np.flatnonzero(live)
+            until = np.minimum.reduceat(np.append(until, 0), np.concatenate([[0], keep + 1]))[:-1]
+            order = order[keep]
+        new = np.flatnonzero(ends == j + 1)
+        if len(new):  # an empty suffix comes first in its group and shares nothing
+            order, until = np.concatenate([new, order]), np.concatenate([np.full(len(new), j + 1), until])
+            if len(order) > len(new):
+                until[len(new)] = j + 1
+            o = np.argsort(group[order], kind="stable")
+            moved = np.concatenate([[True], o[1:] != o[:-1] + 1])
+            order, until = order[o], np.where(moved, j + 1, until[o])
+        if not len(order):
+            continue
+        key = group[order] << 8 | symbol[order]
+        o = np.argsort(key, kind="stable")
+        same = np.concatenate([[False], key[o[1:]] == key[o[:-1]]])
+        fresh = np.full(len(order), j)
+        pair = np.flatnonzero(same)
+        if len(pair):
+            spans = np.column_stack([o[pair - 1] + 1, o[pair] + 1]).ravel()
+            fresh[pair] = np.minimum.reduceat(np.append(until, 0), spans)[::2]
+        order, until = order[o], fresh
+        if j < columns:
+            long = until - j >= length
+            found = long | np.concatenate([long[1:], [False]]) | ((weight[order] > 1) & (ends[order] - j >= length))
+            out[order[found], j] = True
     return out
 
 
-def _rows(batch: pa.RecordBatch, *names: str) -> list[np.ndarray]:
-    return [batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in names]
-
-
 def _judge(batches: Iterator[pa.RecordBatch], length: int, columns: int) -> Iterator[pa.RecordBatch]:
     """Rows (h, digest, lead, text, weight) sorted by h; gives (h, digest, first, last) runs of repeated windows."""
     held: dict[tuple[int, bytes], list] = {}
@@ -345,13 +340,18 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, gr
     raw = F.col("_text").cast("binary")
     size = F.octet_length("_text").cast("long").alias("_n_bytes")
     same = marked.where("not _hit").select("_row.*", size, none.alias("_spans"), raw.alias("_kept"))
-    hit = marked.where("_hit").join(spans, DOC, "left").select("_row", size, F.coalesce("_spans", none).alias("_spans"), raw.alias("_raw"))
-    # the bytes between the runs: from the end of one to the start of the next
-    ends = F.concat(F.array(F.lit(0).cast("long")), F.transform("_spans", lambda s: s[1]))
-    begins = F.concat(F.transform("_spans", lambda s: s[0]), F.array(F.col("_n_bytes")))
-    gaps = F.zip_with(ends, begins, lambda a, b: F.substring(F.hex("_raw"), (2 * a + 1).cast("int"), (2 * (b - a)).cast("int")))
-    part = hit.select("_row.*", "_n_bytes", "_spans", F.unhex(F.array_join(gaps, "")).alias("_kept"))
-    return same.unionByName(part)
+    hit = marked.where("_hit").join(spans, DOC, "left").select("_row", size, F.coalesce("_spans", none).alias("_spans"), raw.alias("_kept"))
+
+    def between(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """What lies between the runs: from the end of one to the start of the next."""
+        for b in batches:
+            kept = []
+            for spans, text in zip(b.column(2).to_pylist(), b.column(3)):
+                text, ends = memoryview(text.as_buffer()), [0, *(z for _, z in spans)]
+                kept.append(b"".join(text[a:z] for a, z in zip(ends, [*(a for a, _ in spans), len(text)])))
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(kept, pa.binary())], b.schema.names)
+
+    return same.unionByName(hit.mapInArrow(between, hit.schema).select("_row.*", *new))
 
 
 def whole_characters(kept: Column) -> Column:
