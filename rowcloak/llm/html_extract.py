@@ -1,13 +1,15 @@
 """Main-text extraction by tree scoring.
 
-Each paragraph gives points for its length and commas to its ancestors, fully to the nearest,
-less to those further up (articles and mains get them in full). A container's points are discounted
-by its link density; the best container and those siblings that also score are kept.
+Each paragraph gives points for its length and commas to its ancestors: fully to the nearest, half
+as much to each further one (articles and mains get them in full). A container's points are
+discounted by its link density; the best container and those siblings that also score are kept.
+What an element's class says of it only raises a doubt, which the element's own text can defend.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -17,76 +19,99 @@ from pyspark.sql import functions as F
 
 # Elements by their role in a page, and words of class names.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-DROPPED = set("script style noscript template head title nav footer aside form button select option textarea input "
-              "iframe object svg canvas dialog menu audio video map datalist label".split())
-INLINE = set("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small "
+DROPPED = set("script style noscript template head title nav footer button select option textarea input "
+              "iframe object svg canvas dialog menu audio video map datalist".split())
+INLINE = set("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small "
              "span strike strong sub sup time tt u var wbr".split())
 PARAGRAPHS = set("p li td th pre blockquote dd dt figcaption".split())
 HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
-ROLES = set("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form".split())
+ROLES = set("navigation banner contentinfo search dialog alert alertdialog menu menubar toolbar".split())
 NEGATIVE = set("nav navbar navigation menu menubar sidebar aside footer header masthead banner ad ads advert adverts "
                "advertisement advertising sponsor sponsored promo promotion cookie cookies consent gdpr notice popup modal "
                "overlay newsletter subscribe subscription signup share sharing social related recommended breadcrumb "
                "breadcrumbs pagination pager login toolbar widget comment comments disqus reply replies respond".split())
 READERS = set("comment comments disqus reply replies".split())
+#: Words that leave a name like "site-header" or "ad-slot" as plain as "header" or "ad".
+FRAME = set("area article articles bar block bottom box button buttons container content icons inner item items left link links list "
+            "main outer page panel post posts reader right section site slot top unit user users wrap wrapper".split())
 #: Start tags that end an open element of these kinds.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 STOPS = {"li": {"ul", "ol"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
+KEEP, DOUBTFUL, PLAIN, READER, NEVER = range(5)
+LEAST = 60  # characters of a text that speaks for itself
 
 
 class Node:
-    __slots__ = ("tag", "parent", "items", "dropped", "points", "size", "linked")
+    __slots__ = ("tag", "parent", "block", "depth", "items", "doubt", "inside", "dropped", "wraps", "kept", "size", "linked", "stops", "given", "points", "total")
 
-    def __init__(self, tag: str, parent: Node | None, dropped: bool):
-        self.tag, self.parent, self.dropped = tag, parent, dropped
+    def __init__(self, tag: str, parent: Node | None, doubt: int = KEEP, inside: bool = False):
+        self.tag, self.parent, self.doubt, self.inside = tag, parent, doubt, inside
+        self.block: Node = parent.block if parent and tag in INLINE else self
+        self.depth = parent.depth + 1 if parent else 0
         self.items: list[Node | str] = []
-        self.points, self.size, self.linked = 0.0, 0, 0
+        self.dropped = self.kept = False
+        self.wraps = tag in ("article", "main", "h1")
+        self.size = self.linked = self.stops = 0
+        self.given = self.points = self.total = 0.0
 
 
-def boilerplate(tag: str, attrs: list[tuple[str, str | None]], inside: bool) -> bool:
-    """Is the element no part of an article? ``inside``: it is in an article or main."""
+def doubt_of(tag: str, attrs: list[tuple[str, str | None]], inside: bool) -> int:
+    """What tag, role and class make of an element; ``inside``: it is in an article or main."""
     if tag in DROPPED or tag == "header" and not inside:
-        return True
+        return NEVER
     a = dict(attrs)
-    if (a.get("role") or "").lower() in ROLES or "hidden" in a or (a.get("aria-hidden") or "").lower() == "true":
-        return True
+    role = (a.get("role") or "").lower()
+    if role in ROLES or "hidden" in a or (a.get("aria-hidden") or "").lower() == "true":
+        return NEVER
     if "display:none" in (a.get("style") or "").replace(" ", "").lower():
-        return True
-    words = set(re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", f"{a.get('class') or ''} {a.get('id') or ''}").lower()))
+        return NEVER
     if tag in ("html", "body", "main"):
-        return False
-    return bool(words & (READERS if tag in ("article", "h1") or tag == "header" and inside else NEGATIVE))
+        return KEEP
+    out = KEEP
+    if tag == "aside" or role == "complementary":
+        out = DOUBTFUL if inside else NEVER
+    if tag == "form" or role == "form":
+        out = PLAIN
+    known = READERS if tag in ("article", "h1") or tag == "header" else NEGATIVE
+    for name in f"{a.get('class') or ''} {a.get('id') or ''}".split():
+        words = set(re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", name).lower())) - {""}
+        bad = words & known
+        if bad:
+            plain = words <= known | FRAME
+            out = max(out, READER if plain and bad & READERS else PLAIN if plain else DOUBTFUL)
+    return out
 
 
 class TreeBuilder(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.root = self.at = Node("#root", None, False)
-        self.article = 0
+        self.root = self.at = Node("#root", None)
+        self.nodes = [self.root]  # parents before their children
+        self.open: Counter = Counter()
 
     def close_to(self, node: Node) -> None:
         while self.at is not node:
-            self.article -= self.at.tag in ("article", "main")
+            self.open[self.at.tag] -= 1
             self.at = self.at.parent
 
     def handle_starttag(self, tag, attrs):
-        if tag not in INLINE:
-            node = self.at  # a block ends an open paragraph, with what is open in it
-            while node.parent and node.tag in INLINE:
-                node = node.parent
+        if tag not in INLINE:  # a block ends an open paragraph, with what is open in it
+            node = self.at.block
             if node.tag in {"p", *HEADINGS} and (node.tag == "p" or tag in HEADINGS):
                 self.close_to(node.parent)
-        if tag in ENDS:
+        if tag in ENDS and any(self.open[t] for t in ENDS[tag]):
             node = self.at
             while node.parent and node.tag not in ENDS[tag] and node.tag not in STOPS[tag]:
                 node = node.parent
             if node.tag in ENDS[tag]:
                 self.close_to(node.parent)
-        new = Node(tag, self.at, self.at.dropped or boilerplate(tag, attrs, self.article > 0))
+        inside = self.open["article"] + self.open["main"] > 0
+        new = Node(tag, self.at, doubt_of(tag, attrs, inside), inside)
+        self.nodes.append(new)
         self.at.items.append(new)
         if tag not in VOID:
             self.at = new
-            self.article += tag in ("article", "main")
+            self.open[tag] += 1
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -94,6 +119,8 @@ class TreeBuilder(HTMLParser):
             self.handle_endtag(tag)
 
     def handle_endtag(self, tag):
+        if not self.open[tag]:
+            return
         node = self.at
         while node.parent and node.tag != tag:
             if tag in INLINE and node.tag not in INLINE:
@@ -106,6 +133,46 @@ class TreeBuilder(HTMLParser):
         self.at.items.append(data)
 
 
+def speaks(node: Node) -> bool:
+    """Is the element's own text that of an article: sentences, hardly any links?"""
+    return node.size >= LEAST and node.stops > 0 and 4 * node.linked < node.size
+
+
+def guilty(node: Node) -> bool:
+    """Is the doubt in an element confirmed by what is in it?"""
+    if node.doubt in (KEEP, NEVER, READER):
+        return node.doubt != KEEP
+    if node.wraps:
+        return False
+    if node.doubt == PLAIN:
+        if node.tag in INLINE:
+            return node.size < LEAST
+        leaf = node.inside and (node.tag in PARAGRAPHS or node.tag in HEADINGS)
+        return not (leaf and speaks(node))
+    return 2 * node.linked > node.size if node.inside or node.tag in INLINE else not speaks(node)
+
+
+def drop_boilerplate(nodes: list[Node]) -> None:
+    """Sum up texts, links and stops from the leaves to the root, then drop from the root to the leaves."""
+    for node in reversed(nodes):
+        if node.doubt == NEVER:
+            node.size = node.linked = node.stops = 0
+            node.wraps = False
+            continue
+        for x in node.items:
+            if isinstance(x, str):
+                node.size += len(x.strip())
+                node.stops += sum(map(x.count, ".!?…。！？।؟"))
+        if node.tag == "a":
+            node.linked = node.size
+        up = node.parent
+        if up:
+            up.size, up.linked, up.stops = up.size + node.size, up.linked + node.linked, up.stops + node.stops
+            up.wraps = up.wraps or node.wraps and node.doubt != READER
+    for node in nodes:
+        node.dropped = bool(node.parent and node.parent.dropped) or guilty(node)
+
+
 def blocks_of(root: Node) -> list[tuple[Node, str, int]]:
     """(owner, text, linked characters) of each text block outside boilerplate, in page order."""
     out, parts, linked = [], [], [0]
@@ -142,68 +209,55 @@ def blocks_of(root: Node) -> list[tuple[Node, str, int]]:
     return out
 
 
+def score_of(node: Node) -> float:
+    points = node.total if node.tag in ("article", "main") else node.points
+    return points * (1 - node.linked / node.size) if node.size else 0.0
+
+
 def main_text(html: str) -> str:
     tree = TreeBuilder()
     tree.feed(html)
     tree.close()
+    drop_boilerplate(tree.nodes)
     blocks = blocks_of(tree.root)
+    if not blocks:
+        return ""
     mixed = {id(n.parent) for n, _, _ in blocks if n.parent}
+    for node in tree.nodes:
+        node.size = node.linked = 0
     for owner, text, linked in blocks:
-        node = owner
-        while node:
-            node.size += len(text)
-            node.linked += linked
-            node = node.parent
-        if owner.tag in HEADINGS:
-            continue
-        commas = sum(map(text.count, ",،、，"))
-        points = (1 + commas + min(len(text) / 100, 3)) * (1 - linked / len(text))
-        leaf = owner.tag in PARAGRAPHS or owner.tag == "div" and id(owner) not in mixed
-        node, step = (owner.parent if leaf and owner.parent else owner), 0
-        while node:
-            share = 1.0 if step == 0 or node.tag in ("article", "main") else 1 / (2 if step == 1 else 3 * step)
-            node.points += points * share
-            node, step = node.parent, step + 1
-    scores: dict[int, tuple[float, Node]] = {}
-    for owner, _, _ in blocks:
-        node = owner
-        while node and id(node) not in scores:
-            scores[id(node)] = (node.points * (1 - node.linked / node.size if node.size else 1), node)
-            node = node.parent
-    if not scores:
-        return ""
-    depth = {}
-    for s, node in scores.values():
-        n, k = node, 0
-        while n.parent:
-            n, k = n.parent, k + 1
-        depth[id(node)] = k
-    score, best = max(scores.values(), key=lambda x: (x[0], -depth[id(x[1])]))
+        owner.size += len(text)
+        owner.linked += linked
+        if owner.tag not in HEADINGS:
+            commas = sum(map(text.count, ",،、，"))
+            leaf = owner.tag in PARAGRAPHS or owner.tag == "div" and id(owner) not in mixed
+            (owner.parent if leaf and owner.parent else owner).given += (1 + commas + min(len(text) / 100, 3)) * (1 - linked / len(text))
+    for node in reversed(tree.nodes):  # children have theirs before it goes on to the parent
+        node.points, node.total = node.points + node.given, node.total + node.given
+        up = node.parent
+        if up:
+            up.size, up.linked = up.size + node.size, up.linked + node.linked
+            up.points, up.total = up.points + node.points / 2, up.total + node.total
+    best = max((n for n in tree.nodes if n.size), key=lambda n: (score_of(n), -n.depth))
+    score = score_of(best)
     if score <= 0:
         return ""
-    kept = {id(best)}
-    if best.parent:
-        for x in best.parent.items:
-            if isinstance(x, Node) and id(x) in scores:
-                s = scores[id(x)][0]
-                if s >= max(0.2 * score, 1) or x.tag in HEADINGS or x.tag in PARAGRAPHS and x.size > 80 and x.linked < x.size / 4:
-                    kept.add(id(x))
-    out = []
-    for owner, text, _ in blocks:
-        node = owner
-        while node and id(node) not in kept:
-            node = node.parent
-        if node:
-            out.append(text)
-    return " ".join(out)
+    best.kept = True
+    for x in best.parent.items if best.parent else ():
+        if isinstance(x, Node) and x.size:
+            x.kept = x.kept or score_of(x) >= max(0.2 * score, 1) or x.tag in HEADINGS or x.tag in PARAGRAPHS and x.size > 80 and x.linked < x.size / 4
+    for node in tree.nodes:
+        node.kept = node.kept or bool(node.parent and node.parent.kept)
+    return " ".join(text for owner, text, _ in blocks if owner.kept)
 
 
 def extract_main_text(pages: DataFrame, html: str = "html", out: str = "_main_text") -> DataFrame:
     """``pages`` with the main text of the whole html.
 
     A null or empty html gives the empty text, so does a page with nothing but boilerplate; broken
-    markup is repaired as far as it goes; other columns pass unchanged, a column named like ``out``
-    is replaced; repeated rows appear each; an empty table gives no rows.
+    markup is repaired as far as it goes; nesting of any depth takes time in proportion to the page;
+    other columns pass unchanged, a column named like ``out`` is replaced; repeated rows appear
+    each; an empty table gives no rows.
     """
     @F.pandas_udf("string")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -2,6 +2,8 @@ import re
 import time
 from html import unescape
 
+import pytest
+
 from rowcloak.llm.html_extract import extract_main_text, main_text
 
 PAGE = """<html><head><title>T</title><script>var a="<p>x</p>";</script></head><body class="has-sidebar">
@@ -43,3 +45,34 @@ def test_edges(spark):
 def test_split_sections_without_an_article():
     page = "<body><div id=main><div class=s><p>One, two, three, and four.</p></div><div class=s><p>Five, six, seven.</p></div></div><div class=links>" + "<a href=x>go, there, now</a> " * 9 + "</div></body>"
     assert main_text(page) == "One, two, three, and four. Five, six, seven."
+
+
+ARTICLE = "<body><nav><a href=/>Home</a></nav><main><article><h1>Title</h1><p>One, two, and three.</p>{}<p>Last, but not least.</p></article></main></body>"
+LONG = "The price of a share rose by three percent, as was expected by all who had watched it."
+
+
+@pytest.mark.parametrize("part, kept", [
+    (f'<p class="share-price">{LONG}</p>', LONG), ('<p class="share-price">It rose by 3 %.</p>', "It rose by 3 %."), (f'<p class="reply-all">{LONG}</p>', LONG),
+    (f'<p id="ad-2">{LONG}</p>', LONG), ("<aside>A pull quote</aside>", "A pull quote"), ("<p>Tick <label>the box</label> first.</p>", "Tick the box first."),
+    (f'<div class="notice-period">{LONG}</div>', LONG), (f'<p>See <span class="related-term">terms</span> here.</p>', "See terms here."),
+    (f'<div class="ad">{LONG}</div>', ""), (f'<div id="ad-slot-2">{LONG}</div>', ""), ('<p class="ad">Buy now.</p>', ""), ('<p class="ad"><a href=x>Buy, now, this, or, that, and, never, ask, why, you, did, it, at, all.</a></p>', ""),
+    (f'<section class="user-comments"><p>{LONG}</p></section>', ""), (f'<form><p>{LONG}</p></form>', ""), ("<aside><ul><li><a href=x>Related, one</a><li><a href=y>Related, two</a></ul></aside>", ""),
+    (f'<div class="cookie-notice">{LONG}</div>', ""), ('<span class="share">Share</span>', ""), (f"<footer>{LONG}</footer>", ""), ("<button>Send</button>", "")])
+def test_class_names_raise_doubts_that_texts_defend(part, kept):
+    assert main_text(ARTICLE.format(part)) == " ".join(x for x in ("Title One, two, and three.", kept, "Last, but not least.") if x)
+
+
+def test_pages_without_an_article():
+    text = f"<h1>Head</h1><p>{LONG}</p><p>{LONG}</p>"
+    around = '<div class="site-header">Name, and, more.</div>{}<div class="footer-links"><p>Imprint, terms, and more, of it.</p></div>'
+    for page in (f'<div class="page-with-sidebar">{text}</div>', f"<form id=all>{text}</form>", f'<div id="no-sidebar-layout">{text}</div>', f"<table><tr><td>{text}</table>", f"<div>{text}</div>"):
+        assert main_text(around.format(page)) == f"Head {LONG} {LONG}", page
+
+
+def test_nesting_takes_time_in_proportion():
+    t = time.time()
+    nested = "<div>" * 20_000 + "<p>deep, text</p>" + "</div>" * 20_000
+    many = "".join(f"<div>block, {i}" for i in range(20_000))
+    bold = "<b>" * 20_000 + "<div>x, y</div>" * 20_000 + "</i>" * 20_000
+    assert main_text(nested) == "deep, text" and main_text(many) and main_text(bold)
+    assert time.time() - t < 10
