@@ -55,18 +55,23 @@ def crc_fold(col: Column, n: int) -> Column:
     return F.coalesce(F.pmod(F.crc32(col.cast("string").cast("binary")), F.lit(n)), F.lit(0)).cast("int")
 
 
+def filter_bits(n: int) -> int:
+    """Bits for a filter over ``n`` keys: eight a key, from one bitmap to 2^27 bits (16 MB)."""
+    return min(1 << 27, max(BITMAP_BITS, 1 << (8 * max(n, 1) - 1).bit_length()))
+
+
 class KeyFilter:
     """A one-hash bitmap over long keys, built and probed with native functions only.
 
-    The bitmap has ``bits`` bits whatever the data, so its broadcast is bounded (``bits / 8``
-    bytes). It lets most rows without a partner stay where they are; it gives no false negatives,
-    so when it fills up only the shuffle grows, never the result.
+    The bitmap has ``bits`` bits, so its broadcast is bounded (``bits / 8`` bytes); ``filter_bits``
+    sizes it by the number of keys within a bound. It lets most rows without a partner stay where
+    they are; it gives no false negatives, so when it fills up only the shuffle grows, never the result.
     """
 
-    def __init__(self, keys: DataFrame, key: Column, bits: int = 1 << 24):
+    def __init__(self, keys: DataFrame, key: Column, bits: int = 1 << 24, maps: DataFrame | None = None):
         self.bits = bits
         slot = F.pmod(key, F.lit(bits)).cast("long")
-        self.maps = keys.select(slot.alias("_slot")).groupBy(F.floor(F.col("_slot") / BITMAP_BITS).alias("_bucket")).agg(
+        self.maps = maps or keys.select(slot.alias("_slot")).groupBy(F.floor(F.col("_slot") / BITMAP_BITS).alias("_bucket")).agg(
             F.bitmap_construct_agg(F.pmod(F.col("_slot"), F.lit(BITMAP_BITS))).alias("_bitmap"))
 
     def mark(self, df: DataFrame, key: Column, flag: str) -> DataFrame:
@@ -104,8 +109,8 @@ def packed(docs: DataFrame, replaced: list[str]) -> DataFrame:
     return docs.select(F.struct(*kept).alias("_row"), "doc_id", "text")
 
 
-def skew_join(left: DataFrame, right: DataFrame, keys: list[str], hot: DataFrame, row: list[str], salts: int = 64) -> DataFrame:
-    """Inner join whose hot keys (``hot`` has the key columns) are dealt over ``salts`` tasks each.
+def skew_join(left: DataFrame, right: DataFrame, keys: list[str], hot: DataFrame, row: list[str], salts: int = 64, how: str = "inner") -> DataFrame:
+    """Join (inner or left) whose hot keys (``hot`` has the key columns) are dealt over ``salts`` tasks each.
 
     A bitmap tells on both sides alike which keys are hot: left rows take a salt from the columns
     ``row``, right rows come once for each salt. A key taken for hot by mistake is only copied.
@@ -116,4 +121,9 @@ def skew_join(left: DataFrame, right: DataFrame, keys: list[str], hot: DataFrame
     a = few.mark(left, key, "_hot").withColumn("_salt", salt).drop("_hot")
     every = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
     b = few.mark(right, key, "_hot").withColumn("_salt", F.explode(every)).drop("_hot")
-    return a.join(b, [*keys, "_salt"]).drop("_salt")
+    return a.join(b, [*keys, "_salt"], how).drop("_salt")
+
+
+def salts_for(most: int | None, share: int, limit: int = 4096) -> int:
+    """Over how many tasks a key of ``most`` rows is dealt so that each gets about ``share``."""
+    return max(1, min(limit, -(-(most or 0) // share)))

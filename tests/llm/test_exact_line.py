@@ -44,13 +44,34 @@ def test_exact(spark, weak):
 
 
 def test_index_levels(spark, tmp_path):
-    index = DigestIndex(spark, str(tmp_path), fanout=2)
-    rows = [[(b"k1", 5), (b"k2", 9)], [(b"k1", 3)], [(b"k3", 1), (b"k1", 4)], [(b"k2", 2)]]
+    """Three levels, one row a digest whatever is compacted; a compaction passes what no other run's filter knows."""
+    index = DigestIndex(spark, str(tmp_path), fanout=2, memtables=3)
+    rows = [[(b"k1", 5), (b"k2", 9), (b"k1", 7)], [(b"k1", 3)], [(b"k3", 1), (b"k1", 4)], [(b"k2", 2)], [(b"k9", 6)]]
     for batch in rows:
-        index.flush(spark.createDataFrame([(k, d, 1) for k, d in batch], "digest binary, doc_id long, copies long"))
-    assert [len(x) for x in index.levels][0] == 0
-    index.compact(len(index.levels) - 1)
-    assert {(bytes(r.digest), r.doc_id, r.copies) for r in index.entries().collect()} == {(b"k1", 3, 3), (b"k2", 2, 2), (b"k3", 1, 1)}
+        run = index.flush(spark.createDataFrame([(k, d, 1) for k, d in batch], "digest binary, doc_id long, copies long").repartition(3))
+        assert not index.levels[0] and run.entries().count() == len({k for k, _ in batch})
+    assert [len(x) for x in index.levels] == [0, 1, 0, 1]
+    assert {(bytes(r.digest), r.doc_id, r.copies) for r in index.entries().collect()} == {(b"k1", 3, 4), (b"k2", 2, 2), (b"k3", 1, 1), (b"k9", 6, 1)}
+    asked = spark.createDataFrame([(b"k1",), (b"k4",), (b"k9",)], "digest binary")
+    assert sorted(bytes(r.digest) for r in index.find(index.runs(), asked).collect()) == [b"k1", b"k9"]
+    many = spark.range(2000).selectExpr("unhex(sha2(cast(id as string), 256)) as digest")
+    assert index.runs()[0].mark(many, "digest", "may").where("may").count() < 40
+    assert index.flush(spark.createDataFrame([], "digest binary, doc_id long, copies long")) is None
+
+
+@pytest.mark.parametrize("weak", [False, True])
+def test_batches_through_one_index(spark, tmp_path, weak):
+    """Each batch is answered as if the batches up to it were one table."""
+    digest = (lambda t: F.unhex(F.lpad(F.hex(F.pmod(F.crc32(t.cast("binary")), F.lit(3))), 2, "0"))) if weak else None
+    index = DigestIndex(spark, str(tmp_path), fanout=2)
+    batches = [[(1, "x y"), (9, "only here"), (8, None)], [(3, "x  y"), (2, "new"), (4, "new")], [], [(0, "x\ty"), (5, ""), (None, "new")] + [(50 + i, "new") for i in range(20)]]
+    seen = []
+    for rows in batches:
+        seen += rows
+        want = brute_exact(seen)[len(seen) - len(rows):]
+        df = frame(spark, rows or [(1, "")]).where(F.lit(bool(rows)))
+        got = [(r.doc_id, r._keep_id, r._group_size, r._kept, r._text_sha256) for r in exact_dedup(df, digest, index).collect()]
+        assert sorted(map(str, got)) == sorted(map(str, want))
 
 
 def brute_lines(rows, k):
