@@ -108,15 +108,18 @@ ORACLE_SQL: dict[str, str] = {
         SELECT d.doc_id, g.keep_id, g.group_size, d.doc_id IS NOT DISTINCT FROM g.keep_id AS kept,
                sha256(d.norm) AS text_sha256
         FROM d JOIN g ON d.norm = g.norm""",
+    # lines with anything in them; of each the fewest lines from it on that have 40 characters; the later copies of those
     "op4_line_dedup": r"""
         WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
                           generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents),
-        w AS (SELECT doc_id, i, line, lead(line, 1) OVER d AS line2, lead(line, 2) OVER d AS line3
-              FROM l WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
-        f AS (SELECT doc_id, i, row_number() OVER (PARTITION BY line, line2, line3 ORDER BY doc_id, i) AS nth
-              FROM w WHERE line3 IS NOT NULL),
-        c AS (SELECT DISTINCT doc_id, i + unnest([0, 1, 2]) AS i FROM f WHERE nth > 1),
-        m AS (SELECT l.doc_id, l.i, l.line, c.i IS NOT NULL AS gone FROM l LEFT JOIN c ON l.doc_id = c.doc_id AND l.i = c.i),
+        c AS (SELECT *, length(regexp_replace(line, '[\x20\x09-\x0D]+', '', 'g')) AS n FROM l),
+        s AS (SELECT doc_id, list(line ORDER BY i) AS lines, list(i ORDER BY i) AS nos, list(n ORDER BY i) AS ns FROM c WHERE n > 0 GROUP BY doc_id),
+        p AS (SELECT *, unnest(range(1, len(ns) + 1)) AS p FROM s),
+        e AS (SELECT *, list_filter(range(p, least(p + 40, len(ns) + 1)), lambda x: list_sum(ns[p:x]) >= 40)[1] AS e FROM p),
+        f AS (SELECT doc_id, nos[p] AS a, nos[e] AS z, row_number() OVER (PARTITION BY array_to_string(lines[p:e], chr(10)) ORDER BY doc_id, p) AS nth
+              FROM e WHERE e IS NOT NULL),
+        g AS (SELECT DISTINCT doc_id, unnest(range(a, z + 1)) AS i FROM f WHERE nth > 1),
+        m AS (SELECT l.doc_id, l.i, l.line, g.i IS NOT NULL AS gone FROM l LEFT JOIN g ON l.doc_id = g.doc_id AND l.i = g.i),
         r AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), false) AS begins FROM m)
         SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed, count(*) FILTER (begins) AS n_runs,
                sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256

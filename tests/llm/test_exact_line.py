@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rowcloak.llm.exact_dedup import DigestIndex, exact_dedup
-from rowcloak.llm.line_dedup import later_copies, line_dedup, ranked, repeated_runs
+from rowcloak.llm.line_dedup import later_copies, line_dedup, ranked, repeated_runs, sequences
 
 NORM = lambda t: re.sub("[\x20\x09-\x0d]+", " ", t or "")
 SCHEMA = "doc_id long, text string, digest string, copies int, _kept int, line int, rank long, start int, n string"
@@ -74,17 +74,23 @@ def test_batches_through_one_index(spark, tmp_path, weak):
         assert sorted(map(str, got)) == sorted(map(str, want))
 
 
-def brute_lines(rows, k):
-    """Starts that also start earlier, and what is left of each text; rows with equal id and text are one."""
+def brute_lines(rows, n):
+    """Windows of n characters that also stand earlier, and what is left of each text; rows with equal id and text are one."""
     order = sorted(set((d is None, d or 0, hashlib.md5((t or "").encode()).digest(), t or "") for d, t in rows))
     seen, gone = set(), {}
     for null, d, _, t in order:
         lines, out = t.split("\n"), set()
-        for i in range(len(lines) - k + 1):
-            w = tuple(lines[i:i + k])
-            if w in seen:
-                out |= set(range(i, i + k))
-            seen.add(w)
+        full = [(i, x, len(re.sub("[\x20\x09-\x0d]", "", x))) for i, x in enumerate(lines)]
+        full = [x for x in full if x[2]]
+        for p in range(len(full)):
+            total, e = 0, p
+            while e < len(full) and total < n:
+                total, e = total + full[e][2], e + 1
+            if total >= n:
+                w = tuple(x[1] for x in full[p:e])
+                if w in seen:
+                    out |= set(range(full[p][0], full[e - 1][0] + 1))
+                seen.add(w)
         gone[null, d, t] = out
     res = []
     for d, t in rows:
@@ -96,24 +102,40 @@ def brute_lines(rows, k):
 
 def texts(seed):
     rng = random.Random(seed)
-    return [(None if i == 7 else i // 2 if i % 9 == 0 else i, "\n".join(rng.choice("abcd") for _ in range(rng.randint(0, 14)))) for i in range(60)] + [
-        (200, None), (201, ""), (202, "\n\n\n\n\n\n"), (203, "a\n" * 2000), (204, "long " * 20_000), (1, "x\ny\nz"), (1, "x\ny\nz"), (300, "x\ny\nz")]
+    line = lambda: rng.choice(["a", "b", "c", "dd", "ee e", " ", "", "\tf", "gggg"])
+    return [(None if i == 7 else i // 2 if i % 9 == 0 else i, "\n".join(line() for _ in range(rng.randint(0, 14)))) for i in range(60)] + [
+        (200, None), (201, ""), (202, "\n\n\n\n\n\n"), (203, "a\n" * 2000), (204, "long " * 20_000), (205, "long " * 20_000), (1, "x\ny\nz"), (1, "x\ny\nz"), (300, "x\ny\nz"),
+        (206, "b\n \n\n" * 50), (207, "b\n \n\n" * 60)]
 
 
-@pytest.mark.parametrize("k", [1, 2, 3, 4, 5])
-def test_lines(spark, k):
-    rows = texts(k)
-    got = [(r.doc_id, r._kept_text, r._n_lines, r._n_removed, r._n_runs) for r in line_dedup(frame(spark, rows), k).collect()]
-    assert sorted(map(str, got)) == sorted(map(str, brute_lines(rows, k)))
+@pytest.mark.parametrize("n", [1, 2, 3, 5, 8, 13, 40])
+def test_lines(spark, n):
+    rows = texts(n)
+    got = [(r.doc_id, r._kept_text, r._n_lines, r._n_removed, r._n_runs) for r in line_dedup(frame(spark, rows), n).collect()]
+    assert sorted(map(str, got)) == sorted(map(str, brute_lines(rows, n)))
 
 
 def test_lines_edges(spark):
-    none = frame(spark, []) if False else frame(spark, [(1, "a")]).limit(0)
+    none = frame(spark, [(1, "a")]).limit(0)
     assert line_dedup(none).count() == 0 and repeated_runs(none).count() == 0
-    starts = later_copies(frame(spark, [(1, "a\nb\nc\nd"), (2, "a\nb\nc\nd")]), 3).collect()
-    assert sorted((r._ord, r.line) for r in starts) == [(2, 0), (2, 1)]
-    runs = repeated_runs(frame(spark, [(1, "a\nb\nc\nd"), (2, "a\nb\nc\nd")]), 3).collect()
-    assert [(r._ord, r.start, r.n_lines) for r in runs] == [(2, 0, 4)]
+    two = frame(spark, [(1, "a\nb\n\nc\nd"), (2, "a\nb\n\nc\nd")])
+    starts = later_copies(two, 3).collect()
+    assert sorted((r._ord, r.line, r.last, r.k) for r in starts) == [(2, 0, 3, 3), (2, 1, 4, 3)]
+    assert [(r._ord, r.start, r.n_lines) for r in repeated_runs(two, 3).collect()] == [(2, 0, 5)]
+    assert repeated_runs(two, 5).count() == 0
+
+
+def test_sequences(spark):
+    """How many lines a suffix asks for, up to as many as characters."""
+    rows = sequences(frame(spark, [(1, "ab\n\n c \nabcd\ne")]), 4).orderBy("i").collect()
+    assert [(r.i, r.line, r.last, r.k) for r in rows] == [(0, 0, 3, 3), (1, 2, 3, 2), (2, 3, 3, 1), (3, 4, None, None)]
+
+
+def test_hot_lines_are_dealt(spark):
+    """One line in every document, over HOT of them; it stays in the first."""
+    rows = [(i, f"{'very common ' * 5}\nown line {i} {'x' * 40}\nshort\nlines\n{'and a' * 8}") for i in range(2_500)]
+    out = line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).groupBy("_n_removed").count().collect()
+    assert {(r[0], r[1]) for r in out} == {(0, 1), (4, 2_499)}
 
 
 def test_ranks_are_places_in_the_suffix_array(spark):
