@@ -67,7 +67,10 @@ def _shifted(value: str, n: int) -> str:
 
     if any(re.match(shape, value) for shape, _, _ in LAYOUTS):
         try:
-            return (dt.date.fromisoformat(value[:10]) + dt.timedelta(days=n % 61 - 30)).isoformat() + value[10:]
+            if value[11:13] == "24":
+                raise ValueError("no such hour")
+            then = dt.datetime.fromisoformat(value[:19].rstrip("\n"))
+            return (then.date() + dt.timedelta(days=n % 61 - 30)).isoformat() + value[10:]
         except (ValueError, OverflowError):
             pass
     return f"{2020 + n % 6:04d}-{1 + n % 12:02d}-{1 + n % 28:02d}"
@@ -87,7 +90,7 @@ def _walk(x, seed: str, key: str, strict: bool):
 
 
 def mask_json(value: Column, seed: str, strict: bool = False) -> Column:
-    """JSON text of any shape: keys sorted, compact; text that isn't JSON gives ``{}``.
+    """JSON text of any shape: keys sorted, compact; text that isn't JSON, or can't be written as such, gives ``{}``.
 
     ``strict`` masks numbers and booleans under a matching key too. Rows go through Arrow in
     batches; where the shape is known, mask_json_schema stays native.
@@ -98,7 +101,9 @@ def mask_json(value: Column, seed: str, strict: bool = False) -> Column:
             if s is None:
                 return None
             try:
-                return json.dumps(_walk(json.loads(s), seed, "", strict), sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+                out = json.dumps(_walk(json.loads(s), seed, "", strict), sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
+                out.encode()  # half a surrogate pair can't be
+                return out
             except (ValueError, RecursionError):
                 return "{}"
 

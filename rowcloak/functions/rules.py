@@ -76,15 +76,19 @@ def _offset(n: Column, salt: int | Column) -> Column:
 
 
 def shift_text(value: Column, n: Column, salt: int | Column = 0) -> Column:
-    """A date in text, shifted and written in the layout it has; other text gets a date from the digest."""
+    """A date in text, shifted and written in the layout it has.
+
+    Other text gets a date from the digest, so does a date that is none, or that leaves the years 1 to 9999.
+    """
     out = F.format_string("%04d-%02d-%02d", 2020 + modulo(n, 6), 1 + modulo(n, 12), 1 + modulo(n, 28))
     for shape, layout, _ in reversed(LAYOUTS):
         size = len(layout.replace("'", ""))
         head, tail = F.substring(value, 1, size), F.substr(value, F.lit(size + 1))  # fraction and zone stay
         then = F.try_to_timestamp(head, F.lit(layout)).cast("timestamp_ntz")
         day = F.date_add(then.cast("date"), _offset(n, salt))
+        fits = then.isNotNull() & (F.year(then) >= 1) & F.year(day).between(1, 9999)
         shifted = F.concat(F.date_format(day, "yyyy-MM-dd"), F.substr(head, F.lit(11)), tail)
-        out = F.when(value.rlike(shape) & then.isNotNull(), shifted).otherwise(out)
+        out = F.when(value.rlike(shape) & fits, shifted).otherwise(out)
     return out
 
 
@@ -153,7 +157,9 @@ def mask(value: Column, rule: str, kind: DataType, seed: str, *, tag: str | None
     if what == "json":
         from .nested import mask_json
 
-        return F.when(value.isNotNull(), redacted(kind, "json", False)) if rule == "secret" else mask_json(value, seed)
+        if rule == "secret":
+            return F.when(value.isNotNull(), redacted(kind, "json", False))
+        return mask_json(value, seed) if isinstance(kind, StringType) else F.parse_json(mask_json(F.to_json(value), seed))
     h = digest(canonical(value, kind), seed, salt)
     n = number(h)
     if what == "int":

@@ -64,7 +64,13 @@ class TableSpec:
         """The data, with a digest of the whole row as identity where there is no primary key."""
         if self.pk:
             return self.df
-        return self.df.withColumn(ROW_ID, F.md5(F.to_json(F.struct(*self.df.columns)).cast("binary")))
+        cells = []
+        for f in self.df.schema:
+            c = F.col(f"`{f.name}`")
+            text = F.to_json(F.struct(c)) if f.dataType.typeName() in ("array", "map", "struct", "variant") else F.base64(c) if f.dataType.typeName() == "binary" else c.cast("string")
+            cells.append(F.coalesce(F.concat_ws(":", F.length(text).cast("string"), text), F.lit("")))
+            cells[-1] = F.when(c.isNull(), F.lit("-")).otherwise(cells[-1])
+        return self.df.withColumn(ROW_ID, F.md5(F.concat(*cells).cast("binary")))
 
     def insert_columns(self) -> list[str]:
         """The columns a load writes: all but stored generated ones."""
@@ -80,7 +86,8 @@ class RelationalModel:
         logical = {t.name: t.partition_of for t in tables if t.partition_of}
         seen: dict[tuple, ForeignKey] = {}
         for fk in fks:
-            fk = ForeignKey(logical.get(fk.child, fk.child), fk.columns, logical.get(fk.parent, fk.parent), fk.ref_columns, fk.when, fk.virtual, fk.deferrable)
+            child, parent = self.full_name(fk.child), self.full_name(fk.parent)
+            fk = ForeignKey(logical.get(child, child), fk.columns, logical.get(parent, parent), fk.ref_columns, fk.when, fk.virtual, fk.deferrable)
             seen.setdefault(fk.signature, fk)
         self.fks = sorted(seen.values(), key=lambda f: f.name)
         self._validate()
@@ -99,7 +106,17 @@ class RelationalModel:
             if len(fk.columns) != len(fk.ref_columns):
                 raise ModelError(f"{fk.name}: columns don't pair up")
 
+    def full_name(self, name: str) -> str:
+        """The table's name with its schema, which may be left out where only one table is called so."""
+        if name in self.tables:
+            return name
+        found = [t for t in self.tables if t.rpartition(".")[2] == name]
+        if len(found) > 1:
+            raise ModelError(f"{name} may be any of {', '.join(found)}")
+        return found[0] if found else name
+
     def table(self, name: str) -> TableSpec:
+        name = self.full_name(name)
         if name not in self.tables:
             raise ModelError(f"no table {name}")
         return self.tables[name]

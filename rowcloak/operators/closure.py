@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import reduce
 
@@ -9,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..model import ForeignKey, ModelError, RelationalModel
-from ..scratch import materialise
+from ..scratch import counted, forget, materialise
 
 ROOT_LIMIT, CHILD_LIMIT = 1000, 100_000
 
@@ -24,6 +25,41 @@ class SliceSize:
 PRESETS = {"small": SliceSize(1_000, 1), "medium": SliceSize(10_000, 1), "large": SliceSize(100_000, 2)}
 
 
+def preset_estimates(model: RelationalModel, root: str, where: str | None = None) -> DataFrame:
+    """(preset, root_rows, estimated_rows): what each preset would take, before any closure is run.
+
+    Of the rows of ``root`` under the condition the preset's limit; each deeper level by the mean
+    number of children that a parent row has, all from counts.
+    """
+    t = model.table(root)
+    n_root = (t.df.where(where) if where else t.df).agg(F.count("*").alias("n_root"))
+    sizes = {x: model.table(x).df.agg(F.count("*").alias(f"_n_{x}")) for x in model.tables}
+    out = []
+    for name, size in PRESETS.items():
+        facts, level, total = n_root.withColumn("root_rows", F.least("n_root", F.lit(size.limit))), {t.name: F.col("root_rows").cast("double")}, F.col("root_rows").cast("double")
+        needed: set[str] = set()
+        for _ in range(size.child_depth):
+            below: dict[str, Column] = {}
+            for table, rows in level.items():
+                for fk in model.children(table):
+                    needed |= {fk.child, table}
+                    more = rows * F.col(f"_n_{fk.child}") / F.greatest(F.col(f"_n_{table}"), F.lit(1))
+                    below[fk.child] = below[fk.child] + more if fk.child in below else more
+            level = below
+            for rows in below.values():
+                total = total + rows
+        for x in sorted(needed):
+            facts = facts.join(sizes[x])  # one row each
+        out.append(facts.select(F.lit(name).alias("preset"), F.col("root_rows").cast("long").alias("root_rows"), F.round(total).cast("long").alias("estimated_rows")))
+    return reduce(DataFrame.unionByName, out)
+
+
+def fit_preset(model: RelationalModel, root: str, most_rows: int, where: str | None = None) -> str:
+    """The largest preset whose estimate is within ``most_rows``; the smallest if none is."""
+    rows = {r.preset: r.estimated_rows for r in preset_estimates(model, root, where).collect()}
+    return next((p for p in reversed(PRESETS) if rows[p] <= most_rows), next(iter(PRESETS)))
+
+
 def in_sample(key: list[str], percent: float) -> Column:
     """Deterministic hash sample of keys, to a hundredth of a percent."""
     if not 0 <= percent <= 100:
@@ -83,6 +119,38 @@ def child_keys(model: RelationalModel, fk: ForeignKey, keys: DataFrame, child_li
     return rows.select(*child.key).distinct()
 
 
+def link_rows(model: RelationalModel, table: str) -> DataFrame:
+    """What the closure needs of a table: key, the columns of its relationships, and whether each ``when`` holds.
+
+    A table with a primary key is read anew by pruned scans; the rows of one without are digested
+    once and written.
+    """
+    t = model.table(table)
+    columns = {c for fk in model.parents(table) for c in fk.columns} | {c for fk in model.children(table) for c in fk.ref_columns}
+    held = [F.coalesce(F.expr(fk.when), F.lit(False)).alias(_when(model, fk)) for fk in model.parents(table) if fk.when]
+    rows = t.rows().select(*t.key, *sorted(columns - set(t.key)), *held)
+    return rows if t.pk else materialise(rows, f"links-{table}")
+
+
+def _when(model: RelationalModel, fk: ForeignKey) -> str:
+    return f"_when{model.fks.index(fk)}"
+
+
+def _references(model: RelationalModel, fk: ForeignKey, rows: DataFrame) -> DataFrame:
+    """The rows among ``link_rows`` of the child that use the relationship."""
+    used = [F.col(c).isNotNull() for c in fk.columns] + ([F.col(_when(model, fk))] if fk.when else [])
+    return rows.where(reduce(lambda a, b: a & b, used))
+
+
+def _values(rows: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+    return rows.select(*(F.col(c).alias(f"_r{i}") for i, c in enumerate(columns))).distinct()
+
+
+def _with_values(rows: DataFrame, columns: tuple[str, ...], values: DataFrame) -> DataFrame:
+    same = reduce(lambda a, b: a & b, (rows[c] == values[f"_r{i}"] for i, c in enumerate(columns)))
+    return rows.join(values, same, "left_semi")
+
+
 def closure(model: RelationalModel, root: str, keys: DataFrame, child_depth: int = 1, child_limit: int | None = CHILD_LIMIT) -> dict[str, DataFrame]:
     """The key sets of a referentially complete slice: (key columns, depth, via) for each table.
 
@@ -90,24 +158,40 @@ def closure(model: RelationalModel, root: str, keys: DataFrame, child_depth: int
     rows found at a depth below ``child_depth`` are one deeper. Levels are finished one after the
     other, so ``depth`` is the least possible; ``via`` is the first by name of the relationships
     that found the key in that round. Only new keys expand, so cyclic schemas end. Each round's
-    keys are written to the shared folder, which keeps plans short and survives lost executors.
+    keys are written to the shared folder with the values of their relationships, so a step joins
+    those with the other side only; the tables of a round are written side by side.
     """
+    root = model.table(root).name
+    links: dict[str, DataFrame] = {}
     seen: dict[str, list[DataFrame]] = {}
 
+    def rows_of(table: str) -> DataFrame:
+        if table not in links:
+            links[table] = link_rows(model, table)
+        return links[table]
+
+    def write(table: str, sets: list[DataFrame], depth: int) -> tuple[str, DataFrame, int]:
+        key = list(model.table(table).key)
+        others = [c for c in rows_of(table).columns if c not in key]
+        new = reduce(DataFrame.unionByName, sets).groupBy(*key).agg(F.min("via").alias("via"), *(F.first(c).alias(c) for c in others))
+        if table in seen:
+            new = new.join(reduce(DataFrame.unionByName, seen[table]).select(*key), key, "left_anti")
+        return table, *counted(new.withColumn("depth", F.lit(depth)), f"keys-{table}")
+
     def fresh(found: dict[str, list[DataFrame]], depth: int) -> dict[str, DataFrame]:
         out = {}
-        for table, sets in sorted(found.items()):
-            key = list(model.table(table).key)
-            new = reduce(DataFrame.unionByName, sets).groupBy(*key).agg(F.min("via").alias("via"))
-            if table in seen:
-                new = new.join(reduce(DataFrame.unionByName, seen[table]).select(*key), key, "left_anti")
-            new = materialise(new.select(*key, F.lit(depth).alias("depth"), "via"), f"keys-{table}")
-            if not new.isEmpty():
-                out[table] = new
-                seen.setdefault(table, []).append(new)
+        with ThreadPoolExecutor(4) as pool:
+            for table, new, n in pool.map(lambda x: write(*x, depth), sorted(found.items(), key=lambda x: x[0])):
+                if n:
+                    out[table] = new
+                    seen.setdefault(table, []).append(new)
         return out
 
-    frontier = fresh({root: [keys.select(*model.table(root).key, F.lit("root").alias("via"))]}, 0)
+    def first(sets: list[DataFrame]) -> DataFrame:
+        return reduce(DataFrame.unionByName, sets)
+
+    start = rows_of(root).join(keys.select(*model.table(root).key), list(model.table(root).key), "left_semi")
+    frontier = fresh({root: [start.withColumn("via", F.lit("root"))]}, 0)
     for depth in range(child_depth + 1):
         level: dict[str, list[DataFrame]] = {}
         while frontier:
@@ -115,16 +199,23 @@ def closure(model: RelationalModel, root: str, keys: DataFrame, child_depth: int
             for table, new in frontier.items():
                 level.setdefault(table, []).append(new)
                 for fk in model.parents(table):
-                    found.setdefault(fk.parent, []).append(parent_keys(model, fk, new).withColumn("via", F.lit(fk.name)))
+                    above = _with_values(rows_of(fk.parent), fk.ref_columns, _values(_references(model, fk, new), fk.columns))
+                    found.setdefault(fk.parent, []).append(above.withColumn("via", F.lit(fk.name)))
             frontier = fresh(found, depth)
         if depth < child_depth:
             found = {}
             for table, sets in level.items():
                 for fk in model.children(table):
-                    below = child_keys(model, fk, reduce(DataFrame.unionByName, sets), child_limit)
+                    below = _with_values(_references(model, fk, rows_of(fk.child)), fk.columns, _values(first(sets), fk.ref_columns))
+                    if child_limit is not None:
+                        place = F.row_number().over(Window.partitionBy(*fk.columns).orderBy(*model.table(fk.child).key))
+                        below = below.withColumn("_place", place).where(F.col("_place") <= (child_limit if child_limit > 0 else CHILD_LIMIT)).drop("_place")
                     found.setdefault(fk.child, []).append(below.withColumn("via", F.lit(fk.name)))
             frontier = fresh(found, depth + 1)
-    return {t: reduce(DataFrame.unionByName, sets) for t, sets in sorted(seen.items())}
+    for table, rows in links.items():
+        if not model.table(table).pk:
+            forget(rows)
+    return {t: first(sets).select(*model.table(t).key, "depth", "via") for t, sets in sorted(seen.items())}
 
 
 def parent_closure(model: RelationalModel, root: str, keys: DataFrame) -> dict[str, DataFrame]:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -50,64 +49,76 @@ def restore_cycle(image: DataFrame, deferred: DataFrame, pk: list[str], columns:
     return out.withColumns({c: F.coalesce(f"_d_{c}", c) for c in columns}).select(*image.columns)
 
 
-@dataclass(frozen=True)
-class Break:
-    table: str
-    columns: tuple[str, ...]
-    fk: str
-    reason: str
+def reference_counts(model: RelationalModel, fks: list[ForeignKey]) -> DataFrame:
+    """(fk, n_rows, n_set): rows of the child, and those whose reference is set."""
+    out = []
+    for fk in fks:
+        used = " and ".join(f"`{c}` is not null" for c in fk.columns)
+        out.append(model.table(fk.child).df.agg(F.count("*").alias("n_rows"), F.count(F.when(F.expr(used), 1)).alias("n_set")).select(F.lit(fk.name).alias("fk"), "n_rows", "n_set"))
+    return reduce(DataFrame.unionByName, out)
 
 
-def break_candidates(model: RelationalModel) -> list[Break]:
-    """One relationship to break for each cycle, and for each self-reference, that can't be deferred.
+def cycle_links(model: RelationalModel) -> DataFrame | None:
+    """(cycle, fk, table_name, columns, deferrable, may_be_null, n_rows, n_set) of the relationships on cycles; None without any.
 
-    All may be broken by deferring if every constraint involved is deferrable (then none is needed);
-    else the first by name whose columns may be null. A table can have several breaks.
+    A cycle is named by its tables; a self-reference is a cycle of its own.
     """
-    groups = [(g, [f for f in model.fks if f.child in g and f.parent in g and f.child != f.parent]) for g in model.cycles() if len(g) > 1]
-    groups += [([f.child], [g for g in model.fks if g.child == g.parent == f.child]) for f in model.fks if f.child == f.parent]
-    groups = list({tuple(g): (g, fks) for g, fks in groups}.values())
-    involved = {f for _, fks in groups for f in fks}
-    if involved and all(f.deferrable for f in involved):
-        return []
-    out = []
-    for group, fks in groups:
-        free = [f for f in fks if not set(f.columns) & model.table(f.child).not_null_columns()]
-        if not free:
-            raise ModelError(f"tables {', '.join(group)} form a cycle with no deferrable and no nullable relationship")
-        best = min(free, key=lambda f: f.name)
-        if not model.table(best.child).pk:
-            raise ModelError(f"the cycle through {best.child} can't be broken: it has no primary key")
-        blockers = sorted(f.name for f in fks if not f.deferrable)
-        out.append(Break(best.child, best.columns, best.name, f"{', '.join(blockers)} not deferrable" if blockers else "cycle can't be deferred"))
-    return sorted(out, key=lambda b: (b.table, b.fk))
-
-
-@dataclass(frozen=True)
-class SoftKey:
-    table: str
-    column: str
-    guess: str | None
-    type_column: str | None
-
-
-def soft_keys(model: RelationalModel) -> list[SoftKey]:
-    """Columns named like a reference (`<base>_id`) that no key and no relationship covers.
-
-    The guess is the table `<base>s`, `<base>` or `<base>es`; a `<base>_type` column beside it makes
-    it polymorphic.
+    member = {t: "+".join(g) for g in model.cycles() for t in g}
+    on = [(member[f.child] if f.child != f.parent else f.child, f) for f in model.fks if member.get(f.child) and member.get(f.child) == member.get(f.parent)]
+    if not on:
+        return None
+    rows = [(c, f.name, f.child, list(f.columns), f.deferrable, not set(f.columns) & model.table(f.child).not_null_columns(), bool(model.table(f.child).pk)) for c, f in on]
+    spark = model.table(on[0][1].child).df.sparkSession
+    known = spark.createDataFrame(rows, "cycle string, fk string, table_name string, columns array<string>, deferrable boolean, may_be_null boolean, has_key boolean")
+    return known.join(reference_counts(model, [f for _, f in on]), "fk")
+
+
+def break_candidates(model: RelationalModel) -> DataFrame | None:
+    """(cycle, table_name, columns, fk, n_deferred, blockers): the reference to load as null and restore later, for each cycle.
+
+    Of those that may be null, the one with the fewest rows to restore, then the first by name;
+    ``blockers`` are the cycle's relationships that can't be deferred. None if there is no cycle or
+    all of their constraints can be deferred; a cycle that can't be broken is an error.
     """
-    covered = {(f.child, c) for f in model.fks for c in f.columns}
-    out = []
-    for t in model.tables.values():
-        for c in t.df.columns:
-            base = c.lower().removesuffix("_id")
-            if t.partition_of or not c.lower().endswith("_id") or not base or c in t.pk or (t.name, c) in covered:
-                continue
-            prefix, _, _ = t.name.rpartition(".")
-            names = [f"{prefix}.{n}" if prefix else n for n in (f"{base}s", base, f"{base}es")]
-            out.append(SoftKey(t.name, c, next((n for n in names if n in model.tables), None), f"{base}_type" if f"{base}_type" in t.df.columns else None))
-    return out
+    links = cycle_links(model)
+    if links is None or links.where("not deferrable").isEmpty():
+        return None
+    best = links.groupBy("cycle").agg(
+        F.min(F.when(F.col("may_be_null"), F.struct("n_set", "fk", "table_name", "columns", "has_key"))).alias("b"),
+        F.array_sort(F.collect_list(F.when(~F.col("deferrable"), F.col("fk")))).alias("blockers"))
+    for r in best.where("b is null or not b.has_key").collect():  # a row for each cycle of the schema
+        raise ModelError(f"the cycle {r.cycle} can't be broken: " + ("its table has no primary key" if r.b else "no reference may be null"))
+    return best.select("cycle", "b.table_name", "b.columns", "b.fk", F.col("b.n_set").alias("n_deferred"), "blockers")
+
+
+def soft_keys(model: RelationalModel) -> DataFrame:
+    """(table_name, column_name, guess, type_column, inclusion): columns that look like references nobody declared.
+
+    A column `<base>_id` that no key and no relationship covers. Tables whose name is the base, or
+    its plural, are candidates; the guess is the one that has the largest share of the column's
+    distinct values among its key's (``inclusion``; null for a column without values), then the
+    first by name. A column `<base>_type` beside it makes it polymorphic.
+    """
+    spark = next(iter(model.tables.values())).df.sparkSession
+    covered = {(f.child, c) for f in model.fks for c in f.columns} | {(t.name, c) for t in model.tables.values() for c in t.pk}
+    columns = spark.createDataFrame([(t.name, c) for t in model.tables.values() if not t.partition_of for c in t.df.columns if (t.name, c) not in covered], "table_name string, column_name string")
+    base = F.regexp_extract(F.lower("column_name"), "^(.+)_id$", 1)
+    place = F.regexp_extract("table_name", r"^(.*?)[^.]*$", 1)  # the schema and its dot
+    asked = columns.select("*", base.alias("base"), place.alias("place")).where("base <> ''")
+    types = columns.select("table_name", F.col("column_name").alias("type_column"), F.regexp_extract("column_name", "^(.+)_type$", 1).alias("base"))
+    targets = spark.createDataFrame([(t.name,) for t in model.tables.values() if len(t.pk) == 1 and not t.partition_of], "guess string").select(
+        "guess", F.regexp_extract("guess", r"^(.*?)[^.]*$", 1).alias("place"), F.regexp_extract("guess", r"([^.]*)$", 1).alias("n"))
+    named = targets.select("guess", "place", F.explode(F.array("n", F.regexp_replace("n", "s$", ""), F.regexp_replace("n", "es$", ""))).alias("base")).distinct()
+    pairs = asked.join(named, ["base", "place"])
+    measured = [spark.createDataFrame([], "table_name string, column_name string, guess string, inclusion double")]
+    for r in pairs.collect():  # as many as the schema has such names
+        found = inclusion_profile(model, r.table_name, r.column_name, r.guess, model.table(r.guess).pk[0])
+        measured.append(found.select(F.lit(r.table_name).alias("table_name"), F.lit(r.column_name).alias("column_name"), F.lit(r.guess).alias("guess"), F.col("ratio").alias("inclusion")))
+    share = reduce(DataFrame.unionByName, measured)
+    best = pairs.join(share, ["table_name", "column_name", "guess"], "left").groupBy("table_name", "column_name").agg(
+        F.min(F.struct((-F.coalesce("inclusion", F.lit(0.0))).alias("less"), "guess", "inclusion")).alias("b"))
+    return (asked.join(best, ["table_name", "column_name"], "left").join(types, ["table_name", "base"], "left")
+            .select("table_name", "column_name", "b.guess", "type_column", "b.inclusion"))
 
 
 def inclusion_profile(model: RelationalModel, child: str, column: str, parent: str, ref_column: str, by: str | None = None) -> DataFrame:

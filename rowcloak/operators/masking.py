@@ -4,19 +4,20 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 from functools import reduce
+from math import lcm
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructType
+from pyspark.sql.types import StructType
 
-from ..functions.rules import FIRST_NAMES, LAST_NAMES, STREETS, UnsupportedType, kind_of, mask, parse_rule, rule_for_name
+from ..functions.rules import FIRST_NAMES, INT_BOUNDS, LAST_NAMES, STREETS, UnsupportedType, kind_of, mask, parse_rule, rule_for_name
 from ..model import ModelError, RelationalModel, TableSpec
-from ..scratch import materialise
+from ..scratch import counted, materialise
 
 MAX_SALT = 999
 #: How many values a rule can give, whatever the salt; for the others a salt always finds more.
 DOMAINS = {"first_name": len(FIRST_NAMES), "last_name": len(LAST_NAMES), "name": len(FIRST_NAMES) * len(LAST_NAMES), "ip": 254,
-           "address": 900 * len(STREETS), "phone": 10**7}
+           "address": lcm(900, len(STREETS)), "phone": 10**7}
 # Parts of names that speak of free text.
 FREE_TEXT = ("body", "text", "note", "comment", "description", "content", "message", "summary", "bio", "about", "reason", "feedback", "answer")
 
@@ -107,42 +108,66 @@ def check_unique_rule(t: TableSpec, columns: tuple[str, ...], rule_of: dict[str,
         raise ModelError(f"{t.name}.{columns[0]} is unique and not null, so it can't be redacted")
 
 
+def domain(rule: str, kind, max_len: int | None = None) -> int:
+    """How many values a rule can give a column, whatever the salt (10^30: no bound that matters)."""
+    what = kind_of(kind)
+    if what == "int":
+        return next(b for t, b in INT_BOUNDS.items() if isinstance(kind, t))
+    if what == "float":
+        return 10**9
+    if what == "decimal":
+        return 100 * 10 ** min(9, max(0, kind.precision - kind.scale))
+    if what != "text":
+        return 10**30
+    room = DOMAINS.get(rule, 10**30)
+    if max_len:  # fixed beginnings, then hexadecimal or decimal digits
+        head, base, most = {"email": (5, 16, 16), "phone": (5, 10, 7), "govid": (0, 16, 11), "secret": (9, 16, 12)}.get(rule, (0, 0, 0))
+        if base:
+            room = min(room, base ** min(most, max(0, max_len - head)) + (rule == "secret" and max_len >= head))
+    return room
+
+
 def mask_unique(df: DataFrame, columns: list[str], rules: dict[str, str], order: list[str], seed: str, **types) -> DataFrame:
     """``df`` with ``columns`` masked so that their values stay unique together.
 
     Every row starts with salt 0; of rows with equal masked values the first in ``order`` (a key)
     keeps its own, the others try the next salt, against each other and all values kept before.
     Rows with a null in a column are exempt. ``types`` maps a column to keyword arguments of mask.
-    Each pass is decided by a minimum for each masked value and joins on the key, so a value that
-    all rows share (a constant rule) is no hot group.
+    Only rows whose masked value occurs twice go into the passes; each is decided by a minimum for
+    each value and joins on the key, so a value that all rows share (a constant rule) is no hot group.
     """
     def masked(rows: DataFrame, salt) -> list:
         return [mask(F.col(c), rules[c], df.schema[c].dataType, seed, salt=salt, **types.get(c, {})).alias(f"_m{i}") for i, c in enumerate(columns)]
 
     names = [f"_m{i}" for i in range(len(columns))]
-    pending = df.where(" and ".join(f"`{c}` is not null" for c in columns)).select(*order, *columns)
+    whole = df.where(" and ".join(f"`{c}` is not null" for c in columns)).select(*order, *columns)
     room = 1
     for c in columns:
-        room *= DOMAINS.get(rules[c], 10**30) if isinstance(df.schema[c].dataType, StringType) else 10**30
-    if all(rules[c] != "keep" for c in columns) and room < 10**30 and pending.count() > room:
+        room *= 10**30 if rules[c] == "keep" else domain(rules[c], df.schema[c].dataType, types.get(c, {}).get("max_len"))
+    if room < 10**30 and whole.count() > room:
         raise ModelError(f"{columns} hold more values than the rules {[rules[c] for c in columns]} can give")
+    at_first = whole.select(*order, *masked(whole, 0))
+    place = F.struct(*order)
+    twice, n = counted(at_first.groupBy(*names).agg(F.min(place).alias("_first"), F.count("*").alias("_n")).where("_n > 1").select(*names, "_first"), "unique")
+    put = {c: mask(F.col(c), rules[c], df.schema[c].dataType, seed, salt=F.col("_salt"), **types.get(c, {})) for c in columns}
+    if not n:
+        return df.withColumn("_salt", F.lit(0)).withColumns(put).select(*df.columns)
+    losers = at_first.join(twice, names).where(place != F.col("_first")).select(*order)
+    pending = materialise(whole.join(losers, order, "left_semi"), "unique-left")
     salts: list[DataFrame] = []
-    for salt in range(MAX_SALT + 1):
-        tried = pending.select(*order, *masked(pending, salt))
-        best = tried.groupBy(*names).agg(F.min(F.struct(*order)).alias("_first"))
-        if salts:
-            best = best.join(reduce(DataFrame.unionByName, salts).select(*names), names, "left_anti")
+    for salt in range(1, MAX_SALT + 1):
+        best = pending.select(*order, *masked(pending, salt)).groupBy(*names).agg(F.min(place).alias("_first"))
+        for kept in (at_first, *salts):
+            best = best.join(kept.select(*names), names, "left_anti")
         won = materialise(best.select("_first.*", *names, F.lit(salt).alias("_salt")), "unique")
         salts.append(won)
-        pending = materialise(pending.join(won.select(*order), order, "left_anti"), "unique-left")
-        if pending.isEmpty():
+        pending, left = counted(pending.join(won.select(*order), order, "left_anti"), "unique-left")
+        if not left:
             break
     else:
         raise ModelError(f"no {MAX_SALT} salts keep {columns} unique under {[rules[c] for c in columns]}")
     found = reduce(DataFrame.unionByName, salts).select(*order, "_salt")
-    out = df.join(found, order, "left").withColumn("_salt", F.coalesce("_salt", F.lit(0)))
-    put = {c: mask(F.col(c), rules[c], df.schema[c].dataType, seed, salt=F.col("_salt"), **types.get(c, {})) for c in columns}
-    return out.withColumns(put).select(*df.columns)
+    return df.join(found, order, "left").withColumn("_salt", F.coalesce("_salt", F.lit(0))).withColumns(put).select(*df.columns)
 
 
 def mask_table(model: RelationalModel, table: str, seed: str, classifier: Classifier | None = None, df: DataFrame | None = None) -> DataFrame:

@@ -14,15 +14,18 @@ from .masking import Classifier, recommend
 def profile_frame(df: DataFrame, name: str) -> DataFrame:
     """(table_name, column_name, type, n_rows, n_null, n_distinct, max_length) of each column.
 
-    Columns are unpivoted and counted by value first, so one shuffle of distinct values does for all.
+    Each column is counted by value in its own type from a scan of that column alone.
     """
-    cells = F.array(*(F.struct(F.lit(f.name).alias("column_name"), F.lit(f.dataType.simpleString()).alias("type"),
-                               (F.to_json(F.col(f.name)) if f.dataType.typeName() in ("array", "map", "struct") else F.col(f.name).cast("string")).alias("v"),
-                               F.lit(f.dataType.typeName() in ("string", "varchar")).alias("t")) for f in df.schema))
-    values = df.select(F.inline(cells)).groupBy("column_name", "type", "t", "v").agg(F.count("*").alias("n"))
-    return values.groupBy("column_name", "type").agg(
-        F.sum("n").alias("n_rows"), F.sum(F.when(F.col("v").isNull(), F.col("n")).otherwise(0)).alias("n_null"), F.count("v").alias("n_distinct"),
-        F.max(F.when(F.col("t"), F.length("v"))).cast("long").alias("max_length")).select(F.lit(name).alias("table_name"), "*")
+    out = []
+    for f in df.schema:
+        c = F.col(f"`{f.name}`")
+        v = F.to_json(F.struct(c)) if f.dataType.typeName() in ("array", "map", "struct", "variant") else c
+        values = df.groupBy(F.when(c.isNotNull(), v).alias("v")).agg(F.count("*").alias("n"))
+        longest = F.max(F.length("v")).cast("long") if f.dataType.typeName() in ("string", "varchar") else F.lit(None).cast("long")
+        out.append(values.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows"), F.coalesce(F.sum(F.when(F.col("v").isNull(), F.col("n"))), F.lit(0)).alias("n_null"),
+                              F.count("v").alias("n_distinct"), longest.alias("max_length")).select(
+            F.lit(name).alias("table_name"), F.lit(f.name).alias("column_name"), F.lit(f.dataType.simpleString()).alias("type"), "n_rows", "n_null", "n_distinct", "max_length"))
+    return reduce(DataFrame.unionByName, out)
 
 
 def profile(model: RelationalModel) -> DataFrame:
@@ -46,8 +49,22 @@ def check_keys(model: RelationalModel) -> DataFrame:
 
 
 def discover_unique(model: RelationalModel) -> DataFrame:
-    """(table_name, column_name): single columns without nulls whose values are all distinct."""
-    return profile(model).where("n_rows > 0 and n_null = 0 and n_distinct = n_rows").select("table_name", "column_name")
+    """(table_name, column_name): single columns without nulls whose values are all distinct.
+
+    One pass counts rows, nulls and, to a standard error of 5 %, distinct values; only columns that
+    come to half of the rows at least, ten such errors below all, are counted exactly.
+    """
+    spark = next(iter(model.tables.values())).df.sparkSession
+    out = [spark.createDataFrame([], "table_name string, column_name string")]
+    for t in model.tables.values():
+        plain = [f.name for f in t.df.schema if f.dataType.typeName() not in ("array", "map", "struct", "variant")]
+        aggs = [x for i, c in enumerate(plain) for x in (F.count(f"`{c}`").alias(f"c{i}"), F.approx_count_distinct(f"`{c}`", 0.05).alias(f"d{i}"))]
+        facts = t.df.agg(F.count("*").alias("n"), *aggs).first()
+        for i, c in enumerate(plain):
+            if facts["n"] and facts[f"c{i}"] == facts["n"] and facts[f"d{i}"] >= 0.5 * facts["n"]:
+                twice = t.df.groupBy(f"`{c}`").agg(F.count("*").alias("n")).agg(F.max("n").alias("most")).where("most = 1")
+                out.append(twice.select(F.lit(t.name).alias("table_name"), F.lit(c).alias("column_name")))
+    return reduce(DataFrame.unionByName, out)
 
 
 def recommendations(model: RelationalModel, undecided: list[tuple[str, str]]) -> DataFrame:

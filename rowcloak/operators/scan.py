@@ -25,24 +25,26 @@ def text_columns(df: DataFrame) -> list[str]:
 def scan_frame(df: DataFrame, name: str, key: list[str], checks=CHECKS, ignore=(), sample: int | None = None, token_level: bool = False) -> DataFrame:
     """Findings of one DataFrame; the sample is that of the first match by ``key``.
 
-    All columns and checks are conditional sums of one aggregation. ``sample`` caps the rows looked
-    at for each column and check to the first by key that match, after confirmation.
+    One pass: each check runs once on each cell, only hits go on to be counted. ``sample`` caps the
+    matches that are looked for, for each column and check: every task stops at so many, so the
+    count is exact up to the cap and the sample is that of any of the matches found.
     """
     columns = [c for c in text_columns(df) if not {f"{name}.{c}", c, f"{name.rpartition('.')[2]}.{c}"} & set(ignore)]
     if not columns or not checks:
         return df.sparkSession.createDataFrame([], FINDINGS)
-    order = F.struct(*(F.col(k) for k in key)) if key else None
-    cells, aggs = [], []
-    for i, c in enumerate(columns):
+    at = F.struct(*(F.col(k) for k in key)) if key else F.lit(0)
+
+    def cell(c: str, check: Check) -> Column:
         text = F.col(c).cast("string")
-        for j, check in enumerate(checks):
-            hit = matches(text, check, token_level)
-            shown = F.struct(order.alias("at"), redact_sample(text).alias("s")) if order is not None else F.struct(redact_sample(text).alias("s"))
-            aggs += [F.sum(F.when(hit, 1).otherwise(0)).alias(f"n{i}_{j}"), F.min(F.when(hit, shown)).alias(f"s{i}_{j}")]
-            n = F.least(F.col(f"n{i}_{j}"), F.lit(sample)) if sample else F.col(f"n{i}_{j}")
-            cells.append(F.struct(F.lit(name).alias("table_name"), F.lit(c).alias("column_name"), F.lit(check.kind).alias("kind"),
-                                  n.cast("long").alias("matches"), F.col(f"s{i}_{j}.s").alias("sample")))
-    return df.agg(*aggs).select(F.inline(F.array(*cells))).where("matches > 0")
+        return F.struct(F.lit(c).alias("column_name"), F.lit(check.kind).alias("kind"), redact_sample(text).alias("sample"))
+
+    hit = lambda c, check: matches(F.col(c).cast("string"), check, token_level)
+    if sample:
+        found = reduce(DataFrame.unionByName, (df.where(hit(c, k)).limit(sample).select(at.alias("at"), cell(c, k).alias("x")).select("at", "x.*") for c in columns for k in checks))
+    else:
+        found = df.select(at.alias("at"), F.inline(F.array_compact(F.array(*(F.when(hit(c, k), cell(c, k)) for c in columns for k in checks)))))
+    out = found.groupBy("column_name", "kind").agg(F.count("*").alias("matches"), F.min(F.struct("at", "sample")).alias("s"))
+    return out.select(F.lit(name).alias("table_name"), "column_name", "kind", "matches", F.col("s.sample").alias("sample"))
 
 
 def scan(model: RelationalModel, checks=CHECKS, ignore=(), sample: int | None = None, token_level: bool = False, tables: list[str] | None = None) -> DataFrame:

@@ -13,9 +13,12 @@ from .masking import Classifier, mask_table, require_reviewed
 
 
 def slice_model(model: RelationalModel, root: str, seed: str, where: str | None = None, limit: int | None = ROOT_LIMIT, sample_percent: float | None = None,
-                child_depth: int = 1, child_limit: int | None = CHILD_LIMIT, classifier: Classifier | None = None, strict: bool = False,
+                child_depth: int = 1, child_limit: int | None = CHILD_LIMIT, classifier: Classifier | None = None, strict: bool = True,
                 pii_tables: list[str] | None = None) -> dict[str, DataFrame]:
-    """The rows of the closure of the root rows, masked, for each table that has any."""
+    """The rows of the closure of the root rows, masked, for each table that has any.
+
+    ``strict``: refuse text columns that nobody has ruled on; without, they pass as they are.
+    """
     classifier = classifier or Classifier()
     if strict:
         require_reviewed(model, classifier, pii_tables)

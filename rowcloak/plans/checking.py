@@ -2,20 +2,27 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.detect import CHECKS, custom_checks, luhn, redact_sample
 from ..functions.literals import sql_literal
 from ..functions.rules import mask
-from ..model import RelationalModel, TableSpec
-from ..operators.integrity import break_cycle, inclusion_profile, orphan_counts, restore_cycle, soft_keys, suggest_root
+from ..model import ForeignKey, RelationalModel, TableSpec
+from ..operators.closure import closure, read_slice, root_keys
+from ..operators.integrity import break_candidates, break_cycle, inclusion_profile, orphan_counts, restore_cycle, soft_keys, suggest_root
+from ..operators.masking import Classifier, rule_plan
 from ..operators.profile import check_keys, discover_unique, profile
 from ..operators.scan import canary_counts, matching_rows, scan, scan_frame
+from ..operators.slicing import slice_model, slice_summary, sliced
 from ..scratch import scratch_path
-from ..sources.sinks import insert_statements, next_key_values, target_status, write_slice
+from ..sources.sinks import each_table, insert_statements, next_key_values, target_status, write_slice, write_summaries
 from ..sources.tables import STAR_FKS, full_model, load_tables, star_model, STAR, TEXTS
 from ..streaming.streams import mask_stream, scan_stream
 from .masking import SEED, SQL as MASK_SQL
+from .selection import _LINE as LINE, _ORDER as ORDER, ROOT, closure_sql
 
 LUHN_SQL = """(len(r) BETWEEN 13 AND 19 AND list_sum(list_transform(range(1, len(r) + 1), lambda i: CASE WHEN i % 2 = 1 THEN substr(reverse(r), i::INT, 1)::INT
     ELSE substr(reverse(r), i::INT, 1)::INT * 2 // 10 + substr(reverse(r), i::INT, 1)::INT * 2 % 10 END)) % 10 = 0)"""
@@ -39,8 +46,25 @@ def sample_sql(col: str = "text") -> str:
 CUSTOM = custom_checks([("license", r"MIT License"), ("skipped", "")])
 
 
+#: What a third of the documents get at their end, for detectors that the given texts have nothing for.
+_ADDED = {"secret token": "concat(' AKIA', upper(substr(md5(cast(doc_id as string)), 1, 16)))",
+          "national id": "concat(' ', lpad(cast(doc_id % 1000 as string), 3, '0'), '-', lpad(cast(doc_id % 100 as string), 2, '0'), '-', lpad(cast(doc_id % 10000 as string), 4, '0'), '.')"}
+
+
+def _text_of(kind: str, sql: bool = False) -> str:
+    """The scanned text, in Spark's or the other SQL."""
+    if kind not in _ADDED:
+        return "text"
+    added = _ADDED[kind].replace("cast(doc_id as string)", "doc_id::VARCHAR") if sql else _ADDED[kind]
+    return f"(case when doc_id % 3 = 0 then concat(coalesce(text, ''), {added}) else text end)"
+
+
 def scan_kind(check):
-    return lambda spark, d: matching_rows(full_model(spark, d).table("documents"), "text", check)
+    def run(spark, d):
+        t = full_model(spark, d).table("documents")
+        return matching_rows(TableSpec("documents", t.df.withColumn("text", F.expr(_text_of(check.kind))), t.pk), "text", check)
+
+    return run
 
 
 def scan_findings(spark, d):
@@ -109,10 +133,12 @@ def restored(spark, d):
 
 
 def soft(spark, d):
+    """References that nobody declared: orders under another name for their customer, events with theirs."""
     m = load_tables(spark, d, STAR | TEXTS, STAR_FKS)
-    found = soft_keys(m)
-    rows = spark.createDataFrame([(s.table, s.column, s.guess, s.type_column) for s in found], "table_name string, column_name string, guess string, type_column string")
-    return profile(RelationalModel([m.table(t) for t in {s.table for s in found}])).join(rows, ["table_name", "column_name"]).select("table_name", "column_name", "guess", "type_column", "n_distinct")
+    customers = m.table("customer").df.where("c_custkey % 10 < 7")
+    orders = m.table("orders").df.select("o_orderkey", F.col("o_custkey").alias("customer_id"), F.col("o_orderstatus").alias("customer_type"))
+    extra = [TableSpec("customers", customers, ("c_custkey",)), TableSpec("bought", orders, ("o_orderkey",))]
+    return soft_keys(RelationalModel([*(t for t in m.tables.values() if t.name != "customer"), *extra]))
 
 
 def inclusion(spark, d):
@@ -176,11 +202,17 @@ def next_keys(spark, d):
     return next_key_values(RelationalModel([*m.tables.values(), empty])).withColumn("is_called", F.col("is_called").cast("string"))
 
 
-def written_status(spark, d):
-    """A slice of three tables, one of them empty, written and looked at."""
+def _slice(spark, d, depth: int):
     m = star_model(spark, d)
+    keys = closure(m, "customer", root_keys(m, "customer", ROOT, limit=None), depth, child_limit=None)
+    return m, keys, {t: read_slice(m, k, t) for t, k in keys.items()}
+
+
+def written_status(spark, d):
+    """The slice of some customers, and an empty table with it, written and looked at."""
+    m, _, frames = _slice(spark, d, 1)
     path = scratch_path(spark, "slice")
-    write_slice(m, {"region": m.table("region").df, "nation": m.table("nation").df, "part": m.table("part").df.where("p_size < 0")}, path, source=d)
+    write_slice(m, frames | {"part": m.table("part").df.where("p_size < 0")}, path, source=d)
     return target_status(spark, m, path).withColumns({c: F.col(c).cast("string") for c in ("is_there", "has_rows")})
 
 
@@ -194,6 +226,59 @@ def written_orphans(spark, d):
     return orphan_counts(back)
 
 
+def written_append(spark, d):
+    """Orders written in two parts, the second one added to the first."""
+    m = star_model(spark, d, events=False)
+    path = scratch_path(spark, "slice")
+    for mode, part in (("errorifexists", "o_orderkey % 2 = 0"), ("append", "o_orderkey % 2 <> 0")):
+        write_slice(m, {"orders": m.table("orders").df.where(part)}, path, mode, source=d)
+    return spark.read.parquet(f"{path}/orders").groupBy("o_orderstatus").agg(F.count("*").alias("n_orders"), F.sum("o_orderkey").alias("keys"))
+
+
+def written_summaries(spark, d):
+    """The metadata of a slice, written and read again."""
+    m, keys, _ = _slice(spark, d, 0)
+    path = scratch_path(spark, "summaries")
+    write_summaries(slice_summary(m, keys), rule_plan(m, Classifier()).select("table_name", "column_name", "rule"), path)
+    return spark.read.schema("table_name string, n_source long, n_extracted long, n_masked_columns long").json(f"{path}/summary")
+
+
+def sink_rows(spark, d):
+    """A sink of one's own gets every table of a slice, parents first."""
+    m, _, frames = _slice(spark, d, 0)
+    path = scratch_path(spark, "sink")
+    each_table(m, frames, lambda t, df: df.agg(F.count("*").alias("n_rows")).select(F.lit(t).alias("table_name"), "n_rows").write.mode("append").parquet(path))
+    return spark.read.parquet(path)
+
+
+def cycle_breaks(spark, d):
+    """A nation's head customer and a customer's nation make a cycle; the head may be null."""
+    nation, customer = TableSpec("nation", _headed(spark, d), ("n_nationkey",)), star_model(spark, d).table("customer")
+    customer = TableSpec("customer", customer.df, customer.pk, not_null=frozenset({"c_nationkey"}))
+    m = RelationalModel([nation, customer], [ForeignKey("nation", ("head_customer",), "customer", ("c_custkey",)), ForeignKey("customer", ("c_nationkey",), "nation", ("n_nationkey",))])
+    return break_candidates(m).select("table_name", F.col("columns")[0].alias("column_name"), "n_deferred")
+
+
+def end_to_end(spark, d):
+    """The whole job: root rows, closure, masking, a written slice, and on that its rows, findings and orphans."""
+    m = star_model(spark, d)
+    ruled = Classifier(dict.fromkeys(("p_brand", "p_type", "c_mktsegment", "o_orderstatus", "o_orderpriority", "l_returnflag", "l_linestatus", "event_type"), "keep") | {"events.props": "redact", "customer.c_name": "secret"})
+    frames = slice_model(m, "orders", SEED, where="o_totalprice > 450000", limit=None, child_limit=None, classifier=ruled)
+    path = scratch_path(spark, "job")
+    write_slice(m, frames, path, source=d)
+    back = sliced(m, {t: spark.read.parquet(f"{path}/{t}") for t in frames})
+    rows = reduce(DataFrame.unionByName, (t.df.agg(F.count("*").alias("n_rows")).select(F.lit(t.name).alias("table_name"), "n_rows") for t in back.tables.values()))
+    leaks = scan(back).groupBy("table_name").agg(F.sum("matches").alias("n_findings"))
+    lost = orphan_counts(back).groupBy(F.regexp_extract("fk", r"^([^(]*)", 1).alias("table_name")).agg(F.sum("n_orphans").alias("n_orphans"))
+    return rows.join(leaks, "table_name", "left").join(lost, "table_name", "left").fillna(0, ["n_findings", "n_orphans"])
+
+
+def scan_capped(spark, d):
+    """The scan of the documents, at most three matches for each column and check."""
+    t = full_model(spark, d).table("documents")
+    return scan_frame(t.df, "documents", ["doc_id"], sample=3).drop("sample")
+
+
 def _run(writer) -> None:
     writer.trigger(availableNow=True).start().awaitTermination()
 
@@ -213,7 +298,17 @@ def stream_scan(spark, d):
     return found.groupBy("table_name", "column_name", "kind").agg(F.sum("matches").alias("matches"))
 
 
-QUERIES = {f"scan_{check.kind.replace(' ', '_')}": (scan_kind(check), f"SELECT doc_id, {sample_sql()} AS sample FROM documents WHERE {match_sql(check)}") for check in [*CHECKS, *CUSTOM]} | {
+QUERIES = {f"scan_{check.kind.replace(' ', '_')}": (scan_kind(check), f"WITH d AS (SELECT doc_id, {_text_of(check.kind, True)} AS text FROM documents) SELECT doc_id, {sample_sql()} AS sample FROM d WHERE {match_sql(check)}") for check in [*CHECKS, *CUSTOM]} | {
+    "scan_capped": (scan_capped, "SELECT table_name, column_name, kind, least(matches, 3) AS matches FROM (" + " UNION ALL ".join(_finding_sql("documents", c, "doc_id", check) for c in ("text", "lang", "source") for check in CHECKS) + ") WHERE matches > 0"),
+    "written_append": (written_append, "SELECT o_orderstatus, count(*) AS n_orders, sum(o_orderkey)::BIGINT AS keys FROM orders GROUP BY 1"),
+    "written_summaries": (written_summaries, closure_sql(0) + ", r AS (" + " UNION ALL ".join(
+        f"SELECT '{t}' AS table_name, (SELECT count(*) FROM {t}) AS n_source, (SELECT count(*) FROM k0_{t}) AS n_extracted, {int(t in ('region', 'nation', 'customer', 'supplier', 'part'))} AS n_masked_columns" for t in ORDER)
+        + ") SELECT * FROM r UNION ALL SELECT 'total', sum(n_source)::BIGINT, sum(n_extracted)::BIGINT, sum(n_masked_columns)::BIGINT FROM r"),
+    "sink_rows": (sink_rows, closure_sql(0) + " SELECT * FROM (" + " UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS n_rows FROM k0_{t}" for t in ORDER) + ") WHERE n_rows > 0"),
+    "cycle_breaks": (cycle_breaks, f"SELECT 'nation' AS table_name, 'head_customer' AS column_name, count(head_customer) AS n_deferred FROM ({_HEADED})"),
+    "slice_end_to_end": (end_to_end, closure_sql(1, "orders", "o_totalprice > 450000") + " SELECT * FROM (" + " UNION ALL ".join(
+        f"SELECT '{t}' AS table_name, (SELECT count(*) FROM k1_{t}) AS n_rows, 0 AS n_findings, 0 AS n_orphans" for t in ORDER if t != "lineitem")
+        + f" UNION ALL SELECT 'lineitem', (SELECT count(*) FROM lineitem WHERE {LINE} IN (SELECT k FROM k1_lineitem)), 0, 0) WHERE n_rows > 0"),
     "scan_findings": (scan_findings, "SELECT * FROM (" + " UNION ALL ".join(_finding_sql(t, c, k, check) for t, c, k in _SCANNED for check in [*CHECKS, *CUSTOM]) + ") WHERE matches > 0"),
     "redact_samples": (redact_samples, f"SELECT doc_id, {sample_sql()} AS sample FROM documents"),
     "luhn": (luhn_numbers, f"SELECT o_orderkey, (WITH x AS (SELECT lpad((o_orderkey * 7919)::VARCHAR, 16, '4') AS r) SELECT {LUHN_SQL} FROM x)::VARCHAR AS valid FROM orders"),
@@ -225,7 +320,9 @@ QUERIES = {f"scan_{check.kind.replace(' ', '_')}": (scan_kind(check), f"SELECT d
     "break_image": (break_image, f"SELECT n_nationkey, n_name, NULL::BIGINT AS head_customer FROM ({_HEADED})"),
     "break_deferred": (break_deferred, f"SELECT n_nationkey, head_customer FROM ({_HEADED}) WHERE head_customer IS NOT NULL"),
     "restore_cycle": (restored, _HEADED),
-    "soft_keys": (soft, "SELECT 'events' AS table_name, 'user_id' AS column_name, NULL::VARCHAR AS guess, NULL::VARCHAR AS type_column, count(DISTINCT user_id) AS n_distinct FROM events"),
+    "soft_keys": (soft, """SELECT 'events' AS table_name, 'user_id' AS column_name, NULL::VARCHAR AS guess, 'event_type' AS type_column, NULL::DOUBLE AS inclusion WHERE false
+        UNION ALL SELECT 'events', 'user_id', NULL, NULL, NULL
+        UNION ALL SELECT 'bought', 'customer_id', 'customers', 'customer_type', count(DISTINCT CASE WHEN o_custkey % 10 < 7 AND o_custkey IN (SELECT c_custkey FROM customer) THEN o_custkey END) / count(DISTINCT o_custkey) FROM orders"""),
     "inclusion_profile": (inclusion, "SELECT event_type AS discriminator, count(DISTINCT user_id) AS n_distinct, count(DISTINCT CASE WHEN user_id IN (SELECT c_custkey FROM customer) THEN user_id END) AS n_contained, count(DISTINCT CASE WHEN user_id IN (SELECT c_custkey FROM customer) THEN user_id END) / count(DISTINCT user_id) AS ratio FROM events WHERE user_id IS NOT NULL GROUP BY 1"),
     "suggest_root": (roots, " UNION ALL ".join(f"SELECT '{t}' AS table_name, {dict(region=1, nation=2, customer=102, supplier=1, part=1, orders=1, documents=1).get(t, 0)}::BIGINT AS score, count(*) AS n_rows FROM {t}" for t in (STAR | TEXTS))),
     "profile_columns": (profiled, _profile_sql()),
@@ -237,7 +334,8 @@ QUERIES = {f"scan_{check.kind.replace(' ', '_')}": (scan_kind(check), f"SELECT d
     "sql_literals": (literals, """SELECT event_id, user_id::VARCHAR AS lit_user_id, '''' || event_type || '''' AS lit_event_type, '''' || regexp_replace(strftime(ts, '%Y-%m-%dT%H:%M:%S.%f'), '\\.?0+$', '') || 'Z''' AS lit_ts,
         upper((value > 50)::VARCHAR) AS lit_flag, '''\\x' || lower(hex(event_type)) || '''::bytea' AS lit_raw, '''it''''s ' || props || '''' AS lit_odd FROM events"""),
     "next_key_values": (next_keys, "SELECT 'orders' AS table_name, 'o_orderkey' AS column_name, max(o_orderkey) AS value, 'true' AS is_called FROM orders UNION ALL SELECT 'customer', 'c_custkey', max(c_custkey), 'true' FROM customer UNION ALL SELECT 'part', 'p_partkey', 1, 'false'"),
-    "target_status": (written_status, "SELECT t AS table_name, (t IN ('region', 'nation', 'part'))::VARCHAR AS is_there, ((t = 'region' AND EXISTS (FROM region)) OR (t = 'nation' AND EXISTS (FROM nation)))::VARCHAR AS has_rows FROM (SELECT unnest(['region', 'nation', 'customer', 'supplier', 'part', 'orders', 'lineitem', 'events']) AS t)"),
+    "target_status": (written_status, closure_sql(1) + " " + " UNION ALL ".join(
+        f"SELECT '{t}' AS table_name, {'true' if t == 'part' else f'EXISTS (FROM k1_{t})'}::VARCHAR AS is_there, EXISTS (FROM k1_{t})::VARCHAR AS has_rows" for t in ORDER)),
     "written_orphans": (written_orphans, " UNION ALL ".join(f"SELECT '{f.name}' AS fk, count(*) FILTER ({f.columns[0]} NOT IN (SELECT {f.ref_columns[0]} FROM {f.parent})) AS n_orphans FROM {f.child}"
                                                             for f in STAR_FKS if f.child in ("nation", "customer", "orders"))),
     "stream_mask": (stream_mask, f"SELECT c_custkey, {MASK_SQL['email']} AS c_name, c_nationkey, c_acctbal, 'REDACTED' AS c_mktsegment FROM customer"),

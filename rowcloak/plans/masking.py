@@ -69,18 +69,21 @@ def clamped(spark, d):
 
 def date_text(spark, d):
     df = _table(spark, d, "orders")
-    text = F.when(F.col("o_orderstatus") == "F", F.date_format("o_orderdate", "yyyy-MM-dd")).when(
-        F.col("o_orderstatus") == "O", F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss")).otherwise(F.concat(F.lit("on "), F.col("o_orderpriority")))
+    day = F.date_format("o_orderdate", "yyyy-MM-dd")
+    texts = [F.concat(day, F.lit(tail)) for tail in _TAILS] + [F.concat(F.lit("on "), F.col("o_orderpriority")), F.concat(day, F.lit(" 99:99:99"))]
+    text = F.element_at(F.array(*texts), (F.col("o_orderkey") % len(texts) + 1).cast("int"))
     return df.select("o_orderkey", mask(text, "date_shift", StringType(), SEED).alias("masked"))
 
 
-_TEXT_SQL = "CASE o_orderstatus WHEN 'F' THEN strftime(o_orderdate, '%Y-%m-%d') WHEN 'O' THEN strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') ELSE 'on ' || o_orderpriority END"
+#: What follows the day in each layout.
+_TAILS = ["", " 01:02:03", " 01:02:03.25", " 01:02:03+02", " 01:02:03.5-07", "T01:02:03Z", "T01:02:03.125+05:30"]
+_TEXT_SQL = "[" + ", ".join(f"strftime(o_orderdate, '%Y-%m-%d') || '{tail}'" for tail in _TAILS) + ", 'on ' || o_orderpriority, strftime(o_orderdate, '%Y-%m-%d') || ' 99:99:99'][o_orderkey % 9 + 1]"
 
 
-def unique(rules: dict[str, str]):
+def unique(rules: dict[str, str], **types):
     def run(spark, d):
         df = _table(spark, d, "customer").select("c_custkey", "c_name", "c_mktsegment")
-        return mask_unique(df, list(rules), rules, ["c_custkey"], SEED)
+        return mask_unique(df, list(rules), rules, ["c_custkey"], SEED, **types)
 
     return run
 
@@ -176,6 +179,19 @@ _RECOMMENDED = " UNION ALL ".join(
     f"SELECT '{t}' AS table_name, '{c}' AS column_name, max(length({c})) AS max_length, CASE WHEN max(length({c})) <= 32 THEN 'keep' ELSE 'redact' END AS rule FROM {t}"
     for t, c, r in _STRINGS if r == "keep")
 
+
+def _salted_sql(salts: int = 8) -> str:
+    """The salts walked one by one: of equal values the lowest key stays, the others go on; values kept before are taken."""
+    at = lambda s, x: f"('0x' || substr({H(x, s)}, 1, 16))::UBIGINT"
+    both = lambda s: f"upper(substr({H('c_name', s)}, 1, 3)) AS a, {_words(LAST_NAMES, at(s, 'c_mktsegment') + ' % 16')} AS b"
+    ctes = []
+    for s in range(salts):
+        rows = "customer" if s == 0 else f"(SELECT * FROM customer WHERE c_custkey NOT IN ({' UNION ALL '.join(f'SELECT c_custkey FROM w{i}' for i in range(s))}))"
+        free = "" if s == 0 else f"WHERE (a, b) NOT IN ({' UNION ALL '.join(f'SELECT (a, b) FROM w{i}' for i in range(s))})"
+        ctes.append(f"w{s} AS MATERIALIZED (SELECT min(c_custkey) AS c_custkey, a, b FROM (SELECT c_custkey, {both(s)} FROM {rows}) {free} GROUP BY a, b)")
+    return f"WITH {', '.join(ctes)} SELECT c_custkey, a AS c_name, b AS c_mktsegment FROM ({' UNION ALL '.join(f'SELECT * FROM w{s}' for s in range(salts))})"
+
+
 QUERIES = {f"mask_{rule}": (_masked("customer", "c_custkey", "c_name", rule), f"SELECT c_custkey, {sql} AS masked FROM customer") for rule, sql in SQL.items()} | {
     "mask_redact": (_masked("customer", "c_custkey", "c_mktsegment", "redact", nullable=False), "SELECT c_custkey, '' AS masked FROM customer"),
     "mask_int": (_masked("part", "p_partkey", "p_size", "phone"), f"SELECT p_partkey, ({N('p_size::VARCHAR')} % 1000000000)::INT AS masked FROM part"),
@@ -192,12 +208,13 @@ QUERIES = {f"mask_{rule}": (_masked("customer", "c_custkey", "c_name", rule), f"
                              f"SELECT o_orderkey, o_orderdate + to_days({_off('''strftime(o_orderdate, '%Y-%m-%dT%H:%M:%SZ')''')}) AS masked FROM orders"),
     "date_shift_text": (date_text, f"""
         WITH x AS (SELECT o_orderkey, o_orderdate, {_TEXT_SQL} AS v FROM orders)
-        SELECT o_orderkey, CASE WHEN v LIKE 'on %' THEN printf('%04d-%02d-%02d', (2020 + {N('v')} % 6)::INT, (1 + {N('v')} % 12)::INT, (1 + {N('v')} % 28)::INT)
+        SELECT o_orderkey, CASE WHEN v LIKE 'on %' OR v LIKE '% 99:99:99' THEN printf('%04d-%02d-%02d', (2020 + {N('v')} % 6)::INT, (1 + {N('v')} % 12)::INT, (1 + {N('v')} % 28)::INT)
           ELSE strftime(substr(v, 1, 10)::DATE + {_off('v')}, '%Y-%m-%d') || substr(v, 11) END AS masked FROM x"""),
     "clamp": (clamped, f"SELECT c_custkey, substr({SQL['email']}, 1, 20) AS masked, substr(c_name, 1, 12) AS clamped FROM customer"),
     "unique_secret": (unique({"c_name": "secret"}), f"SELECT c_custkey, CASE WHEN c_custkey = (SELECT min(c_custkey) FROM customer) THEN 'REDACTED' ELSE 'REDACTED-' || substr({H(V, 1)}, 1, 12) END AS c_name, c_mktsegment FROM customer"),
     "unique_email": (unique({"c_name": "email"}), f"SELECT c_custkey, {SQL['email']} AS c_name, c_mktsegment FROM customer"),
     "unique_composite": (unique({"c_name": "email", "c_mktsegment": "secret"}), f"SELECT c_custkey, {SQL['email']} AS c_name, 'REDACTED' AS c_mktsegment FROM customer"),
+    "unique_salted": (unique({"c_name": "govid", "c_mktsegment": "last_name"}, c_name={"max_len": 3}), _salted_sql()),
     "mask_json": (json_query, f"SELECT c_custkey, {_JSON_SQL} AS masked FROM customer"),
     "mask_json_schema": (json_schema_query, f"""SELECT c_custkey, '{{"contact":{{"email":"user_' || substr({H(_MAIL)}, 1, 16) || '@example.invalid"}},"full_name":"' || {SQL['name']} || '"}}' AS masked FROM customer"""),
     "mask_nested": (nested_query, f"SELECT c_custkey, {SQL['name']} AS display_name, {SQL['email']} AS email, c_custkey AS id, {SQL['phone']} AS phone, c_mktsegment AS other FROM customer"),

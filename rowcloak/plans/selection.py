@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..model import ForeignKey, RelationalModel, TableSpec
-from ..operators.closure import child_keys, closure, keyset_counts, parent_keys, read_slice, root_keys
+from ..operators.closure import child_keys, closure, keyset_counts, load_keys, parent_keys, preset_estimates, read_slice, root_keys, save_keys
 from ..operators.integrity import edges, orphan_counts
 from ..operators.slicing import partition_rollup, slice_summary
+from ..scratch import scratch_path
 from ..sources.tables import EVENTS_FK, STAR_FKS, full_model, logical_table, star_model
 
 ROOT = "c_mktsegment = 'BUILDING' and c_acctbal > 9000"
@@ -90,6 +91,30 @@ def closure_via(spark, d):
     return found.groupBy("via").agg(F.count("*").alias("n_keys"), F.min("depth").cast("long").alias("min_depth"))
 
 
+_HEADS = "SELECT n_nationkey, n_regionkey, (SELECT max(c_custkey) FROM customer WHERE c_nationkey % 24 = n_nationkey - 1 AND c_acctbal > 5000) AS head_customer FROM nation"
+
+
+def closure_cycle(spark, d):
+    """A cycle of nations and customers: a nation's head lives in another nation."""
+    m = star_model(spark, d)
+    heads = m.table("customer").df.where("c_acctbal > 5000").groupBy((F.col("c_nationkey") % 24 + 1).alias("n_nationkey")).agg(F.max("c_custkey").alias("head_customer"))
+    nation = TableSpec("nation", m.table("nation").df.join(heads, "n_nationkey", "left"), ("n_nationkey",))
+    m = RelationalModel([nation, m.table("customer")], [ForeignKey("nation", ("head_customer",), "customer", ("c_custkey",)), _fk("customer", "nation")])
+    return keyset_counts(closure(m, "nation", _keys(m, "nation", "n_nationkey % 5 = 1"), 0))
+
+
+def saved_keys(spark, d):
+    """Key sets kept and loaded again."""
+    _, keys = _closed(spark, d, 0)
+    path = scratch_path(spark, "saved")
+    save_keys(keys, path)
+    return keyset_counts(load_keys(spark, path, list(keys)))
+
+
+def presets(spark, d):
+    return preset_estimates(star_model(spark, d), "customer", "c_acctbal > 0")
+
+
 def slice_orders(spark, d):
     m, keys = _closed(spark, d, 1)
     return read_slice(m, keys["orders"], "orders")
@@ -181,7 +206,20 @@ QUERIES = {
     "closure_depth1": (closure_counts(1), _counts_sql(1)),
     "closure_depth2": (closure_counts(2), _counts_sql(2)),
     "closure_depths": (closure_depths, _DEPTHS),
-    "closure_via": (closure_via, None),
+    "closure_via": (closure_via, closure_sql(1) + """, r AS (SELECT 'root' AS via, (SELECT count(*) FROM k0_customer) AS n_keys, 0 AS min_depth """
+        + " ".join(f"UNION ALL SELECT '{_fk(c, p).name}', {f'(SELECT count(*) FROM k0_{p}) + ' if up else ''}(SELECT count(*) FROM k1_{c}) - (SELECT count(*) FROM k0_{c}), {0 if up else 1}"
+                   for c, p, up in (("customer", "nation", True), ("nation", "region", True), ("supplier", "nation", False), ("orders", "customer", False), ("events", "customer", False)))
+        + ") SELECT * FROM r WHERE n_keys > 0"),
+    "closure_cycle": (closure_cycle, f"""WITH RECURSIVE h AS ({_HEADS}), w(t, k) AS (
+            SELECT 'nation', n_nationkey FROM h WHERE n_nationkey % 5 = 1
+            UNION (SELECT 'customer', head_customer FROM h, w WHERE t = 'nation' AND k = n_nationkey AND head_customer IS NOT NULL
+                   UNION ALL SELECT 'nation', c_nationkey FROM customer, w WHERE t = 'customer' AND k = c_custkey))
+        SELECT t AS table_name, count(*) AS n_keys FROM w GROUP BY 1"""),
+    "saved_keys": (saved_keys, _counts_sql(0)),
+    "preset_estimates": (presets, """WITH n AS (SELECT (SELECT count(*) FROM customer WHERE c_acctbal > 0) AS roots, (SELECT count(*) FROM customer) AS c, (SELECT count(*) FROM orders) AS o,
+            (SELECT count(*) FROM events) AS e, (SELECT count(*) FROM lineitem) AS l),
+        p AS (SELECT unnest(['small', 'medium', 'large']) AS preset, unnest([1000, 10000, 100000]) AS most, unnest([1, 1, 2]) AS depth)
+        SELECT preset, least(roots, most) AS root_rows, round(least(roots, most) * (1 + o / c + e / c + CASE WHEN depth > 1 THEN o / c * l / o ELSE 0 END))::BIGINT AS estimated_rows FROM n, p"""),
     "slice_orders": (slice_orders, closure_sql(1) + " SELECT * FROM orders WHERE o_orderkey IN (SELECT k FROM k1_orders)"),
     "slice_lineitem": (slice_lineitem, closure_sql(1, "orders", "o_totalprice > 450000") + f" SELECT * FROM lineitem WHERE {_LINE} IN (SELECT k FROM k1_lineitem)"),
     "slice_summary": (summary_of_slice, closure_sql(1) + ", r AS (" + " UNION ALL ".join(

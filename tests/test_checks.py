@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from rowcloak.functions.detect import CHECKS, KINDS, custom_checks, luhn, matches, redact_sample
 from rowcloak.model import ForeignKey, ModelError, RelationalModel, TableSpec
-from rowcloak.operators.integrity import OrphanFound, assert_referential, break_candidates, break_cycle, inclusion_profile, orphan_counts, restore_cycle, soft_keys, suggest_root
+from rowcloak.operators.integrity import OrphanFound, assert_referential, break_candidates, break_cycle, cycle_links, inclusion_profile, orphan_counts, restore_cycle, soft_keys, suggest_root
 from rowcloak.operators.profile import check_key, discover_unique, profile_frame
 from rowcloak.operators.ranking import global_row_number
 from rowcloak.operators.scan import LeakFound, assert_clean, capped_rows, scan, scan_frame
@@ -66,22 +66,31 @@ def test_orphans_and_cycles(spark):
     image, later = break_cycle(companies, ["id"], ["owner_id"])
     assert image.where("owner_id is not null").isEmpty() and later.count() == 3
     assert restore_cycle(image, later, ["id"], ["owner_id"]).orderBy("id").collect() == companies.orderBy("id").collect()
-    found = break_candidates(m)
-    assert [(b.table, b.columns) for b in found] == [("companies", ("owner_id",)), ("users", ("manager_id",))]
+    found = break_candidates(m).orderBy("table_name").collect()
+    assert [(b.table_name, b["columns"], b.n_deferred, b.blockers) for b in found] == [
+        ("companies", ["owner_id"], 3, ["users(company_id)->companies(id)"]), ("users", ["manager_id"], 11, ["users(manager_id)->users(id)"])]
+    assert {r.fk: (r.may_be_null, r.n_rows, r.n_set) for r in cycle_links(m).collect()} == {
+        "companies(owner_id)->users(id)": (True, 3, 3), "users(company_id)->companies(id)": (False, 12, 12), "users(manager_id)->users(id)": (True, 12, 11)}
+    assert break_candidates(RelationalModel([m.table("events")])) is None
     stuck = RelationalModel([TableSpec("a", spark.range(1).selectExpr("id", "id as b_id"), ("id",), not_null=frozenset({"b_id"})), TableSpec("b", spark.range(1).selectExpr("id", "id as a_id"), ("id",), not_null=frozenset({"a_id"}))],
                             [ForeignKey("a", ("b_id",), "b", ("id",)), ForeignKey("b", ("a_id",), "a", ("id",))])
     with pytest.raises(ModelError):
         break_candidates(stuck)
     easy = RelationalModel(list(stuck.tables.values()), [ForeignKey(f.child, f.columns, f.parent, f.ref_columns, deferrable=True) for f in stuck.fks])
-    assert break_candidates(easy) == []
+    assert break_candidates(easy) is None
+    # of two that may be null the one with fewer rows to restore
+    free = RelationalModel([TableSpec("a", spark.range(3).selectExpr("id", "id as b_id"), ("id",)), TableSpec("b", spark.range(3).selectExpr("id", "if(id = 1, id, null) as a_id"), ("id",))], stuck.fks)
+    assert [(r.fk, r.n_deferred) for r in break_candidates(free).collect()] == [("b(a_id)->a(id)", 1)]
 
 
 def test_soft_keys(spark):
     t = lambda name, cols, pk=("id",): TableSpec(name, spark.createDataFrame([], ", ".join(f"{c} {'string' if c.endswith('type') else 'long'}" for c in cols)), pk)
     m = RelationalModel([t("users", ["id"]), t("posts", ["id", "user_id"]), t("events", ["id", "account_id"]), t("comments", ["id", "commentable_id", "commentable_type"]),
                          t("memberships", ["user_id", "team_id"], ("user_id", "team_id"))], [])
-    assert [(s.table, s.column, s.guess, s.type_column) for s in soft_keys(m)] == [
-        ("comments", "commentable_id", None, "commentable_type"), ("events", "account_id", None, None), ("posts", "user_id", "users", None)]
+    assert [tuple(s) for s in soft_keys(m).orderBy("table_name").collect()] == [
+        ("comments", "commentable_id", None, "commentable_type", None), ("events", "account_id", None, None, None), ("posts", "user_id", "users", None, None)]
+    own = RelationalModel([TableSpec("s.box", spark.range(4), ("id",)), TableSpec("s.boxes", spark.range(2, 9), ("id",)), TableSpec("s.things", spark.range(1, 5).selectExpr("id", "id as box_id"), ("id",)), TableSpec("boxs", spark.range(9), ("id",))])
+    assert [tuple(s) for s in soft_keys(own).collect()] == [("s.things", "box_id", "s.box", None, 0.75)]
     k = kitchen_sink(spark)
     got = {r.discriminator: r.ratio for r in inclusion_profile(k, "comments", "commentable_id", "users", "id", by="commentable_type").collect()}
     assert got == {"User": 1.0, "Post": 1.0}
@@ -96,6 +105,9 @@ def test_profiles(spark):
     assert check_key(df.limit(0), ["id"]).first().holds
     m = RelationalModel([TableSpec("t", df)])
     assert discover_unique(m).isEmpty()
+    many = spark.range(30_000).selectExpr("id", "id % 29999 as nearly", "cast(id as string) as text", "if(id = 5, null, id) as gap", "cast(id as double) / 7 as x", "array(id) as list")
+    assert {r.column_name for r in discover_unique(RelationalModel([TableSpec("t", many), TableSpec("none", many.limit(0))])).collect()} == {"id", "text", "x"}
+    assert profile_frame(many, "t").where("column_name = 'list'").first().n_distinct == 30_000
 
 
 def test_row_numbers(spark):

@@ -2,11 +2,12 @@ import pytest
 from fixtures import CANARIES, RULES, kitchen_sink
 
 from rowcloak.model import ForeignKey, ModelError, RelationalModel, TableSpec
-from rowcloak.operators.closure import closure, in_sample, keyset_counts, load_keys, root_keys, save_keys
+from rowcloak.operators.closure import closure, fit_preset, in_sample, keyset_counts, load_keys, preset_estimates, root_keys, save_keys
 from rowcloak.operators.integrity import assert_referential, orphan_counts
 from rowcloak.operators.masking import Classifier
 from rowcloak.operators.scan import canary_counts, scan
 from rowcloak.operators.slicing import slice_model, sliced
+from rowcloak.scratch import scratch_path
 from rowcloak.sources.tables import star_model
 
 
@@ -74,7 +75,9 @@ def test_keyless_rows_and_null_references(spark):
     p = spark.range(2)
     c = spark.createDataFrame([(0, "a"), (0, "a"), (None, "b"), (1, "c")], "p_id long, v string")
     m = RelationalModel([TableSpec("p", p, ("id",)), TableSpec("c", c)], [ForeignKey("c", ("p_id",), "p", ("id",))])
-    frames = slice_model(m, "p", "s", where="id = 0", child_depth=1)
+    frames = slice_model(m, "p", "s", where="id = 0", child_depth=1, strict=False)
+    with pytest.raises(ModelError, match="c.v"):
+        slice_model(m, "p", "s", where="id = 0", child_depth=1)
     assert [tuple(r) for r in frames["c"].collect()] == [(0, "a"), (0, "a")]
     assert orphan_counts(m).first().n_orphans == 0
 
@@ -94,6 +97,34 @@ def test_model_errors(spark):
         RelationalModel([TableSpec("t", spark.range(1), ("no",))])
 
 
+def test_names_without_a_schema(spark):
+    t = lambda n: TableSpec(n, spark.range(3).selectExpr("id", "id as u_id"), ("id",))
+    m = RelationalModel([t("a.users"), t("a.posts"), t("b.posts")], [ForeignKey("a.posts", ("u_id",), "users", ("id",), virtual=True)])
+    assert m.fks[0].parent == "a.users" and m.table("users").name == "a.users"
+    assert counts(closure(m, "users", root_keys(m, "users", "id = 1"), 1)) == {"a.users": 1, "a.posts": 1}
+    with pytest.raises(ModelError, match="may be any of"):
+        m.table("posts")
+
+
+def test_presets_fit(spark):
+    p, c = spark.range(2_000), spark.range(20_000).selectExpr("id", "id % 2000 as p_id")
+    m = RelationalModel([TableSpec("p", p, ("id",)), TableSpec("c", c, ("id",))], [ForeignKey("c", ("p_id",), "p", ("id",))])
+    assert {r.preset: (r.root_rows, r.estimated_rows) for r in preset_estimates(m, "p").collect()} == {"small": (1_000, 11_000), "medium": (2_000, 22_000), "large": (2_000, 22_000)}
+    assert [fit_preset(m, "p", n) for n in (10, 11_000, 21_999, 10**6)] == ["small", "small", "small", "large"]
+
+
+def test_a_cluster_needs_a_shared_folder(spark):
+    class Conf(dict):
+        def get(self, key, default=None):
+            return super().get(key, default)
+
+    class Session:
+        conf = Conf({"spark.master": "yarn"})
+
+    with pytest.raises(ValueError, match="checkpoint"):
+        scratch_path(Session, "x")
+
+
 def test_load_order_and_partitions(model):
     order = model.load_order([f for f in model.fks if f.child == "companies"])
     assert order.index("companies") < order.index("users") < order.index("events")

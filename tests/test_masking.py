@@ -11,7 +11,7 @@ from rowcloak.functions.digest import digest, number
 from rowcloak.functions.nested import mask_json
 from rowcloak.functions.rules import FIRST_NAMES, UnsupportedType, mask, parse_rule, rule_for_name
 from rowcloak.model import ModelError, RelationalModel, TableSpec
-from rowcloak.operators.masking import Classifier, mask_table, mask_unique, maskable_schema, recommend, unclassified
+from rowcloak.operators.masking import Classifier, domain, mask_table, mask_unique, maskable_schema, recommend, unclassified
 
 
 def h(value, seed="s", salt=0):
@@ -75,6 +75,15 @@ def test_dates(spark):
     assert one(spark, "2020-13-45", "date_shift")[:2] == "20"
 
 
+def test_dates_in_columns_and_in_json_agree(spark):
+    texts = ["1990-05-15", "1990-05-15 10:11:12", "1990-05-15 10:11:12.25", "1990-05-15T10:11:12Z", "1990-05-15T10:11:12.5+02:00", "1990-05-15 10:11:12+02", "9999-12-31", "9999-12-31 23:59:59",
+             "0001-01-01", "0000-05-05", "2020-01-01 99:99:99", "2020-01-01 24:00:00", "2020-02-30", "2020-02-29 23:59:60", "soon", "", "2020-01-01 10:11", " 2020-01-01"]
+    df = spark.createDataFrame([(t, json.dumps({"dob": t})) for t in texts * 3], "v string, j string")
+    got = df.select("v", mask(F.col("v"), "date_shift", StringType(), "s").alias("a"), F.get_json_object(mask_json(F.col("j"), "s"), "$.dob").alias("b")).collect()
+    assert [(r.v, r.a) for r in got] == [(r.v, r.b) for r in got]
+    assert all(len(r.a) in (10, 19, 20, 22, 27) and r.a[4] == "-" for r in got)
+
+
 @pytest.mark.parametrize("name,rule", [
     ("password_hash", "secret"), ("api_key", "secret"), ("email", "email"), ("billing_email", "email"), ("user_mail", "email"), ("phone", "phone"), ("ssn", "govid"), ("iban", "govid"),
     ("license_no", "govid"), ("first_name", "first_name"), ("surname", "last_name"), ("full_name", "name"), ("c_name", "name"), ("ip_address", "ip"), ("last_login_ip", "ip"),
@@ -104,6 +113,12 @@ def test_unique_repair(spark):
     assert len({r.api_key for r in names}) == 16
     with pytest.raises(ModelError):
         mask_unique(df, ["api_key"], {"api_key": "first_name"}, ["id"], "s")
+    small = spark.range(101).selectExpr("id", "cast(id as tinyint) as n", "concat('k', id) as t")
+    for column, kw in (("n", {}), ("t", {"t": {"max_len": 6}}), ("t", {"t": {"max_len": 9}})):  # 100, 16 and 2 values, or 1
+        rule = {"n": "phone", "t": "email" if kw.get("t", {}).get("max_len") == 6 else "secret"}
+        with pytest.raises(ModelError, match="more values"):
+            mask_unique(small, [column], rule, ["id"], "s", **kw)
+    assert domain("secret", StringType(), 12) == 16**3 + 1 and domain("email", StringType(), 200) == 16**16 and domain("name", StringType(), 30) == 256
     two = spark.createDataFrame([(i, f"a{i % 3}", f"b{i}") for i in range(30)], "id long, a string, b string")
     pairs = mask_unique(two, ["a", "b"], {"a": "first_name", "b": "last_name"}, ["id"], "s").collect()
     assert len({(r.a, r.b) for r in pairs}) == 30
@@ -126,6 +141,11 @@ def test_json(spark):
     x = json.loads(got[0])
     assert x["customer"]["email"] == f"user_{h('a@b.c')[:16]}@example.invalid" and x["phone"] == 5 and x["tags"] == ["x"] and x["list"][0]["ip"].startswith("203.")
     assert got[1:] == ["{}", None, "[1,2]", "9007199254740993"]
+    odd = spark.createDataFrame([('{"a":NaN}',), ('{"a":1e999}',), ('{"a":"\\ud800"}',), ('{"email":"\\ud800"}',), ("[" * 100_000,)], "v string")
+    assert {r[0] for r in odd.select(mask_json(F.col("v"), "s")).collect()} == {"{}"}
+    variant = spark.createDataFrame([('{"email":"a@b.c","n":[1,null]}',), (None,)], "v string").select(F.parse_json("v").alias("v"))
+    out = [r[0] for r in variant.select(F.to_json(mask(F.col("v"), "name", variant.schema["v"].dataType, "s"))).collect()]
+    assert json.loads(out[0]) == {"email": x["customer"]["email"], "n": [1, None]} and out[1] is None
     strict = json.loads(df.select(mask_json(F.col("v"), "s", strict=True)).first()[0])
     assert strict["phone"].startswith("+1555") and strict["count"] == 2
     assert mask(F.col("v"), "secret", StringType(), "s", tag="json") is not None and one(spark, "{}", "secret", tag="json") == "{}"
