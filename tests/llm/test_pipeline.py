@@ -4,32 +4,19 @@ import numpy as np
 import pytest
 
 import corpus_pipeline as P
-from test_simhash import brute_components
+from test_exact_line import brute_lines
+from test_near_dedup import brute as brute_near
 from test_suffix_dedup import brute as brute_spans
 from rowcloak.llm.queries import vocabulary
-from rowcloak.llm.simhash import fingerprints_of
-
-
-def brute_lines(rows):
-    seen, out = set(), []
-    for d, text in sorted(rows):
-        lines, gone = text.split("\n"), set()
-        for i in range(len(lines) - 2):
-            w = tuple(lines[i:i + 3])
-            if w in seen:
-                gone |= {i, i + 1, i + 2}
-            seen.add(w)
-        out.append((d, "\n".join(x for i, x in enumerate(lines) if i not in gone)))
-    return out
 
 
 def brute(rows):
     from tokenizers import Tokenizer
 
     rows = sorted((d, t) for d, t in rows if t and re.search(r"[^\W\d_]", t))
-    rows = brute_lines(rows)
-    comp = brute_components(fingerprints_of([t for _, t in rows]))
-    rows = [r for i, r in enumerate(rows) if comp[i] == i]
+    rows = [(r[0], r[1]) for r in brute_lines(rows, 40)]
+    stay = set(brute_near(rows))
+    rows = [r for r in rows if r[0] in stay]
     cut = brute_spans([t.encode() for _, t in rows], 200)
     tok = Tokenizer.from_file(vocabulary("word_bpe_49k.json"))
     return {d: tok.encode(c[3].decode("utf-8", "ignore"), add_special_tokens=False).ids + [2] for (d, _), c in zip(rows, cut)}
