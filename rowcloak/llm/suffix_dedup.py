@@ -22,10 +22,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from .common import KeyFilter, drop_table, packed, skew_join, text_of, write_table
 
@@ -324,41 +324,33 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def suffix_dedup(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, group_limit: int = GROUP_LIMIT) -> DataFrame:
-    """All columns of ``docs`` plus ``_n_bytes``, ``_spans`` (removed byte runs) and ``_kept`` (binary).
+    """All columns of ``docs`` plus ``_n_bytes``, ``_spans`` (removed byte runs), ``_kept`` (binary) and ``_kept_text``.
 
     Texts are UTF-8 bytes, a null one empty. Each byte covered by a ``length``-byte string that also
     starts anywhere else, in the same document or another, is removed; matches don't cross
     documents and are judged on the input, so no copy is spared. Rows that repeat doc_id and text
-    are copies of each other. Texts under ``length`` bytes are kept whole; an empty table gives no
+    are copies of each other. ``_kept_text`` is what is kept without the bytes of characters that
+    were cut in two. Texts under ``length`` bytes are kept whole; an empty table gives no
     rows; columns named like the new ones are replaced, others pass unchanged.
     """
-    new = ["_n_bytes", "_spans", "_kept"]
+    new = ["_n_bytes", "_spans", "_kept", "_kept_text"]
     spans = repeated_spans(docs.select("doc_id", "text"), length, anchor, group_limit)
     key = F.xxhash64(*DOC)
     none = F.expr("cast(array() as array<array<bigint>>)")
     marked = KeyFilter(spans, key).mark(keyed(packed(docs, new)), key, "_hit")
     raw = F.col("_text").cast("binary")
     size = F.octet_length("_text").cast("long").alias("_n_bytes")
-    same = marked.where("not _hit").select("_row.*", size, none.alias("_spans"), raw.alias("_kept"))
+    same = marked.where("not _hit").select("_row.*", size, none.alias("_spans"), raw.alias("_kept"), F.col("_text").alias("_kept_text"))
     hit = marked.where("_hit").join(spans, DOC, "left").select("_row", size, F.coalesce("_spans", none).alias("_spans"), raw.alias("_kept"))
+    schema = StructType([*hit.schema, StructField("_kept_text", StringType())])
 
     def between(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """What lies between the runs: from the end of one to the start of the next."""
-        for b in batches:
+        for b in (whole.slice(lo, 256) for whole in batches for lo in range(0, whole.num_rows, 256)):
             kept = []
             for spans, text in zip(b.column(2).to_pylist(), b.column(3)):
                 text, ends = memoryview(text.as_buffer()), [0, *(z for _, z in spans)]
                 kept.append(b"".join(text[a:z] for a, z in zip(ends, [*(a for a, _ in spans), len(text)])))
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(kept, pa.binary())], b.schema.names)
-
-    return same.unionByName(hit.mapInArrow(between, hit.schema).select("_row.*", *new))
-
-
-def whole_characters(kept: Column) -> Column:
-    """The kept bytes as text, without the bytes of characters that were cut in two."""
-    @F.pandas_udf("string")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for s in batches:
-            yield pd.Series([None if b is None else bytes(b).decode("utf-8", "ignore") for b in s], dtype=object)
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(kept, pa.binary()), pa.array([x.decode("utf-8", "ignore") for x in kept], pa.string())], schema.names)
 
-    return run(kept)
+    return same.unionByName(hit.mapInArrow(between, schema).select("_row.*", *new))

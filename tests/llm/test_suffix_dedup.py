@@ -92,3 +92,13 @@ def test_columns_against_brute_force():
             want = len(w) == 3 and (weight[i] > 1 or any(
                 k != i and group[k] == group[i] and j >= lead[k] and text[k][j - lead[k]:j - lead[k] + 3] == w for k in range(len(text))))
             assert got[i, j] == want
+
+
+def test_characters_cut_in_two_go_from_the_text(spark):
+    shared = "é" * 100  # 200 bytes; a window of them ends inside the euro sign
+    rows = [(1, "a" + shared + "€x"), (2, "b" + shared + "€y"), (3, "own"), (4, None)]
+    got = {r.doc_id: (r._kept_text, bytes(r._kept)) for r in suffix_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: ("ax", b"ax"), 2: ("by", b"by"), 3: ("own", b"own"), 4: ("", b"")}
+    rows = [(1, "a" + shared + "€"), (2, "b" + shared + "¥" + "z" * 3), (3, "c" + shared + "₭")]
+    for r in suffix_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        assert r._kept_text == bytes(r._kept).decode("utf-8", "ignore")
