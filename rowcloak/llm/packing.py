@@ -17,7 +17,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType, LongType, BinaryType, StringType
@@ -25,7 +25,7 @@ from pyspark.sql.types import StructField, StructType, LongType, BinaryType, Str
 from .common import text_of, write_table
 
 SHARES = 1 << 16  # a share is a whole number of these parts
-CACHE_WORDS = 600_000
+CACHE_WORDS = 300_000
 
 
 class ChunkTokenizer(dict):
@@ -94,23 +94,22 @@ def tokenised(docs: DataFrame, tokenizer_path: str, end_id: int, source: str = "
                          StructField("start_in_part", LongType()), StructField("n", LongType()),
                          StructField("ids", BinaryType())])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok, at = tokenizer(tokenizer_path), {}
-        for pdf in batches:
-            for lo in range(0, len(pdf), 256):
-                cut = pdf.iloc[lo:lo + 256]
-                ids = tok.encode(cut["text"].tolist(), end_id)
+        for b in batches:
+            for lo in range(0, b.num_rows, 256):
+                cut = b.slice(lo, 256)
+                ids = tok.encode(cut.column(3).to_pylist(), end_id)
                 n = [len(x) // np.dtype(tok.kind).itemsize for x in ids]
                 starts = []
-                for q, k in zip(cut["queue"], n):
+                for q, k in zip(cut.column(1).to_pylist(), n):
                     starts.append(at.get(q, 0))
                     at[q] = starts[-1] + k
-                yield pd.DataFrame({"doc_id": cut["doc_id"], "queue": cut["queue"], "part": cut["part"],
-                                    "start_in_part": starts, "n": n, "ids": ids})
+                yield pa.RecordBatch.from_arrays([*cut.columns[:3], pa.array(starts, pa.int64()), pa.array(n, pa.int64()), pa.array(ids, pa.binary())], schema.names)
 
     return docs.select("doc_id", F.coalesce(F.col(source).cast("string"), F.lit("")).alias("queue"),
                        F.spark_partition_id().cast("long").alias("part"), text_of().alias("text")
-                       ).mapInPandas(run, schema)
+                       ).mapInArrow(run, schema)
 
 
 class Plan:
@@ -215,14 +214,16 @@ def pack(docs: DataFrame, tokenizer_path: str, size: int = 4096, end_id: int = 2
         StructField(c, LongType()) for c in ("start", "length", "doc_tokens", "sequence_id", "offset")),
         StructField("ids", BinaryType())])
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for lo in range(0, len(pdf), 500):
-                rows = []
-                for doc, queue, q, first, n, ids in pdf.iloc[lo:lo + 500].itertuples(index=False):
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo in range(0, b.num_rows, 500):
+                some, at, rows = b.slice(lo, 500), [], []
+                for i, (q, first, n, ids) in enumerate(zip(*(c.to_pylist() for c in some.columns[2:]))):
                     wide = memoryview(np.frombuffer(ids, np.uint16 if len(ids) == 2 * n else np.uint32).astype("<u4").tobytes())
-                    rows += [(doc, queue, s, k, n, w, o, bytes(wide[4 * s:4 * (s + k)]))
-                             for s, k, w, o in plan.pieces(q, first, n)]
-                yield pd.DataFrame(rows, columns=schema.names)
+                    for s, k, w, o in plan.pieces(q, first, n):
+                        at.append(i)
+                        rows.append((s, k, n, w, o, bytes(wide[4 * s:4 * (s + k)])))
+                *numbers, ids = zip(*rows)
+                yield pa.RecordBatch.from_arrays([*(c.take(pa.array(at)) for c in some.columns[:2]), *(pa.array(x, pa.int64()) for x in numbers), pa.array(ids, pa.binary())], schema.names)
 
-    return placed.mapInPandas(cut, schema)
+    return placed.mapInArrow(cut, schema)
