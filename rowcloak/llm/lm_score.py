@@ -9,7 +9,8 @@ counts. Scores then use the counts of all training documents.
 N-grams are 64-bit hashes. A chunk of documents is counted by itself; its sorted distinct hashes go
 to buckets by their leading bits, where the corpus counts are summed and sent back to each chunk in
 the order of its hashes. So a shuffle carries each chunk's distinct n-grams once, whatever their
-frequency, and neither the vocabulary nor the counts meet in one place.
+frequency, and neither the vocabulary nor the counts meet in one place. There is a bucket for every
+few chunks, each in a partition of its own, so that one holds as much whatever the corpus.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ from pyspark.sql.types import ArrayType, BinaryType, BooleanType, DoubleType, Lo
 from .common import crc_fold, drop_table, text_of, write_table
 
 ORDER, CHUNK_BYTES, BUCKETS = 2, 8 << 20, 20
+CHUNKS_A_BUCKET = 4  # a bucket gets as many n-grams as this many chunks have
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 START, END = 8, 16  # what stands for the places before a text and for its end, beside word hashes
 
@@ -163,14 +165,12 @@ def corpus_counts(chunks: DataFrame, order: int, buckets: int) -> DataFrame:
             for chunk, part, ends, vocabulary, tokens in zip(*(c.to_pylist() for c in b.columns)):
                 u, (kept, deleted) = Chunk(ends, vocabulary, tokens, part, order).distinct()
                 bucket = ((u >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
-                cut = np.searchsorted(bucket, np.arange(buckets + 1))
-                for k in range(buckets):
-                    lo, hi = cut[k], cut[k + 1]
-                    if lo < hi:
-                        step = np.diff(u[lo:hi], prepend=np.uint64(0))
-                        yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (k, chunk)] + [
-                            pa.array([planes(x)], pa.binary()) for x in (step, kept[lo:hi], deleted[lo:hi])],
-                            ["bucket", "chunk", "hashes", "kept", "deleted"])
+                starts = np.flatnonzero(np.diff(bucket, prepend=-1))  # at most one row for each n-gram, however many buckets
+                for lo, hi in zip(starts.tolist(), [*starts[1:].tolist(), len(u)]):
+                    step = np.diff(u[lo:hi], prepend=np.uint64(0))
+                    yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (int(bucket[lo]), chunk)] + [
+                        pa.array([planes(x)], pa.binary()) for x in (step, kept[lo:hi], deleted[lo:hi])],
+                        ["bucket", "chunk", "hashes", "kept", "deleted"])
 
     def merge(t: pa.Table) -> pa.Table:
         chunk = _column(t, "chunk")
@@ -191,7 +191,7 @@ def corpus_counts(chunks: DataFrame, order: int, buckets: int) -> DataFrame:
 
     sent = chunks.select("chunk", "part", "ends", "vocabulary", "tokens").mapInArrow(
         emit, "bucket long, chunk long, hashes binary, kept binary, deleted binary")
-    return sent.groupBy("bucket").applyInArrow(merge, "chunk long, bucket long, kept binary, trained binary, stats array<double>")
+    return sent.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(merge, "chunk long, bucket long, kept binary, trained binary, stats array<double>")
 
 
 def learn_weights(samples: DataFrame, width: int, size: int, rounds: int = 30, close: float = 1e-5) -> np.ndarray:
@@ -239,9 +239,9 @@ def lm_score(docs: DataFrame, held_out: Column, deleted: Column, order: int = OR
     an empty table gives no rows; other columns are not looked at.
     """
     spark = docs.sparkSession
-    buckets = buckets or max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
     held = F.coalesce(held_out, F.lit(False))
     chunks = write_table(split_chunks(docs, ~held, F.coalesce(deleted, F.lit(False))), "lm-chunks")
+    buckets = buckets or max(8, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-chunks.count() // CHUNKS_A_BUCKET))
     answers = write_table(corpus_counts(chunks, order, buckets), "lm-counts")
     stats = answers.where("chunk = -1").select(*(F.sum(F.col("stats")[i]) for i in range(4))).first()
     n_kept, v_kept, n, v = (float(x or 0) for x in stats)
@@ -261,7 +261,9 @@ def lm_score(docs: DataFrame, held_out: Column, deleted: Column, order: int = OR
         some = np.flatnonzero(chunk.token_part == 1)
         p, bucket = chunk.components(counts_of(right, "kept"), place, n_kept, v_kept)
         rows = np.column_stack([bucket[some], *p[1:, some].astype(np.float32).view(np.int32).astype(np.int64)])
-        key, first, times = np.unique(rows[:, 0] << 56 ^ sum(c * m for c, m in zip(rows.T[1:], (0x9E3779B1, 0x85EBCA6B5, 0xC2B2AE35D))), return_index=True, return_counts=True)
+        o = np.lexsort(rows.T)  # equal estimates are told by all their columns and sent once
+        new = np.flatnonzero(np.concatenate([[True], (rows[o[1:]] != rows[o[:-1]]).any(axis=1)])[:len(o)])
+        first, times = o[new], np.diff(new, append=len(o))
         k = bucket[some][first].astype(np.uint8)
         return pa.table([pa.array([k.tobytes()], pa.binary()), pa.array([planes(p[:, some][:, first].astype(np.float32).ravel())], pa.binary()),
                          pa.array([planes(times.astype(np.uint32))], pa.binary())], ["bucket", "p", "n"])
