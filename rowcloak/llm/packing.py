@@ -8,7 +8,8 @@ windows the queues up to the k-th have therefore been served ``floor(i * size *
 known without serving the windows one after the other. When a queue runs dry its share of that
 window is refilled by the others, which then divide its share; every window but the last is full.
 
-Only a token total for each source passes the driver. The tokens stay with their document: a task
+Only the token totals of sources that are large enough for a queue of their own pass the driver,
+and two sums for all others, so many sources (hosts, say) do no harm. The tokens stay with their document: a task
 turns a document's place in its queue into its pieces by the plan, without a shuffle by window.
 """
 
@@ -26,6 +27,7 @@ from .common import text_of, write_table
 
 SHARES = 1 << 16  # a share is a whole number of these parts
 CACHE_WORDS = 300_000
+SMALL, UNNAMED = "small", "unnamed"  # queues that sources without one of their own share
 
 
 class ChunkTokenizer(dict):
@@ -184,29 +186,42 @@ def pack(docs: DataFrame, tokenizer_path: str, size: int = 4096, end_id: int = 2
 
     ``targets`` gives the token shares of sources; without it each source has its share of all
     tokens, so that all queues end together. Sources it does not name are packed once the named
-    ones are used up. Sources with a share under two tokens a window share one queue. ``ids`` has
-    the piece's ids as little-endian unsigned 32-bit numbers. A null text is empty: its document is
-    ``end_id`` alone; a null source is the queue ''; rows that repeat a doc_id are packed each; an
+    ones are used up. Sources with a share under two tokens a window share one queue, unnamed ones
+    with so few of all tokens another. ``ids`` has the piece's ids as little-endian unsigned 32-bit
+    numbers. A null text is empty: its document is ``end_id`` alone; a null source is the queue '';
+    rows that repeat a doc_id are packed each; an
     empty table gives no rows; other columns are not looked at.
     """
     spark = docs.sparkSession
     tokens = write_table(tokenised(docs, tokenizer_path, end_id, source), "pack-tokens")
     parts = write_table(tokens.groupBy("queue", "part").agg(F.sum("n").alias("n")), "pack-parts")
-    totals = sorted((r["queue"], int(r["n"])) for r in parts.groupBy("queue").agg(F.sum("n").alias("n")).collect())
-    whole = sum(n for _, n in totals)
-    aim = {q: float((targets or {}).get(q, 0.0)) if targets else n / whole for q, n in totals}
-    least = 2 / size * (sum(aim.values()) or 1)
-    small = {q for q, _ in totals if 0 < aim[q] < least}
-    queues = [[q] for q, _ in totals if q not in small] + ([sorted(small)] if small else [])
-    number = {q: k for k, names in enumerate(queues) for q in names}
-    size_of = dict(totals)
-    plan = Plan([sum(size_of[q] for q in names) for names in queues], [sum(aim[q] for q in names) for names in queues], size)
-
-    numbers = spark.createDataFrame([(q, k) for q, k in number.items()], "queue string, q int")
-    before = Window.partitionBy("q").orderBy("part", "queue").rowsBetween(Window.unboundedPreceding, -1)
-    bases = parts.join(F.broadcast(numbers), "queue").select(
-        "queue", "part", "q", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    if parts.count() <= broadcast_rows:
+    totals = write_table(parts.groupBy("queue").agg(F.sum("n").alias("n")), "pack-totals")
+    whole = totals.agg(F.sum("n")).first()[0] or 0
+    # a queue of its own needs two tokens a window, so at most size / 2 sources a kind have one; the others go by two sums
+    given = spark.createDataFrame([(q, float(w)) for q, w in (targets or {}).items()], "queue string, target double")
+    least = 2 / size * (sum(max(w, 0) for w in (targets or {}).values()) or 1)
+    share = F.col("n") / F.lit(float(whole or 1))
+    aimed = totals.join(F.broadcast(given), "queue", "left").withColumn("aim", F.coalesce("target", F.lit(0.0)) if targets else share)
+    own = F.when(F.col("aim") > 0, F.col("aim") >= least).otherwise(share >= 2 / size)
+    kinds = write_table(aimed.select("queue", "n", "aim", own.alias("own"), F.when(F.col("aim") > 0, SMALL).otherwise(UNNAMED).alias("shared")), "pack-queues")
+    queues = [tuple(r) for r in kinds.where("own").select("queue", "n", "aim").orderBy("queue").collect()]
+    rest = {r["shared"]: (r["n"], r["aim"]) for r in kinds.where("not own").groupBy("shared").agg(F.sum("n").alias("n"), F.sum("aim").alias("aim")).collect()}
+    number = [(q, k) for k, (q, _, _) in enumerate(queues)]
+    at = {kind: len(queues) + k for k, kind in enumerate(sorted(rest))}
+    both = [(n, aim) for _, n, aim in queues] + [rest[kind] for kind in sorted(rest)]
+    plan = Plan([int(n) for n, _ in both], [float(aim) for _, aim in both], size)
+
+    numbers = spark.createDataFrame(number, "queue string, number int")
+    place = F.coalesce("number", F.when(F.col("shared") == SMALL, at.get(SMALL)).otherwise(at.get(UNNAMED)))
+    placed_queues = kinds.join(F.broadcast(numbers), "queue", "left").select("queue", place.cast("int").alias("q"))
+    # a place in the queue: the parts before, then within the part the sources that share the queue
+    by_part = write_table(parts.join(placed_queues, "queue"), "pack-places")
+    earlier = Window.partitionBy("q").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("q", "part").orderBy("queue").rowsBetween(Window.unboundedPreceding, -1)
+    starts = by_part.groupBy("q", "part").agg(F.sum("n").alias("n")).select("q", "part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("start"))
+    bases = by_part.withColumn("inside", F.coalesce(F.sum("n").over(inside), F.lit(0))).join(starts, ["q", "part"]).select(
+        "queue", "part", "q", (F.col("start") + F.col("inside")).alias("base"))
+    if by_part.count() <= broadcast_rows:
         bases = F.broadcast(bases)
     placed = tokens.join(bases, ["queue", "part"]).select(
         "doc_id", "queue", "q", (F.col("base") + F.col("start_in_part")).alias("first"), "n", "ids")

@@ -100,6 +100,15 @@ def test_packing_targets_and_empty(spark, docs):
     assert pack(docs.limit(0), vocabulary("word_bpe_49k.json")).count() == 0
 
 
+@pytest.mark.parametrize("targets", [None, {"h1": 0.7, "h2": 0.001, "b": 0.3}])
+def test_packing_many_sources_share_queues(spark, targets):
+    """Most sources have one short document, one has a third of all; the pieces stay gapless and whole."""
+    many = spark.range(0, 900).select("id", F.lit("a few words").alias("text"), F.concat(F.lit("h"), "id").alias("source"))
+    big = spark.range(900, 1350).select("id", F.lit("a few words").alias("text"), F.lit("b").alias("source"))
+    df = many.unionByName(big).withColumnRenamed("id", "doc_id").repartition(7, "doc_id")
+    check_pieces(spark, df, 256, targets=targets)
+
+
 def test_plan_serves_every_token_once():
     for totals, weights in (([5, 1000, 3], [1, 1, 1]), ([100_000, 1, 7777], [.5, .001, .4]), ([0, 9], [0, 0]), ([300] * 60, [1 / 60] * 60)):
         plan, full = Plan(totals, weights, 128), {}
