@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .bpe import bpe_decode, bpe_encode
 from .common import crc_fold, table
+from .divergence import divergence_audit
 from .exact_dedup import exact_dedup
 from .html_extract import extract_main_text
 from .jpeg import read_media, store_media
@@ -88,6 +89,10 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.size("_spans").cast("long").alias("n_spans"), F.sha2("_kept", 256).alias("kept_sha256"))
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence_audit(table(spark, sf_dir, "documents").select("text", "lang", "source"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lm_score": op1_lm_score,
     "op2_exact_dedup": op2_exact_dedup,
@@ -99,6 +104,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash": op8_simhash,
     "op9_langid": op9_langid,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op11_divergence": op11_divergence,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -124,4 +130,29 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed, count(*) FILTER (begins) AS n_runs,
                sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
         FROM r GROUP BY doc_id""",
+    "op11_divergence": r"""
+        WITH d AS (SELECT row_number() OVER () AS i, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                          regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                             '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS ts FROM documents),
+        t AS (SELECT i, lang, source, unnest(ts) AS term FROM d),
+        v AS (SELECT lang, term, count(*) AS cl FROM t GROUP BY lang, term HAVING count(DISTINCT i) >= 3),
+        c AS (SELECT t.lang, t.source, t.term, count(*) AS c FROM t JOIN v ON t.lang = v.lang AND t.term = v.term GROUP BY ALL),
+        l AS (SELECT lang, count(*)::HUGEINT AS nv, sum(cl)::HUGEINT AS nl FROM v GROUP BY lang),
+        g AS (SELECT s.lang, s.source, coalesce(sum(c.c), 0)::HUGEINT AS n FROM (SELECT DISTINCT lang, source FROM d) s
+              LEFT JOIN c ON s.lang = c.lang AND s.source = c.source GROUP BY ALL),
+        m AS (SELECT g.lang, g.source, v.term, coalesce(c.c, 0) AS c,
+                     1 + (1000000000 * (coalesce(c.c, 0) + 1)::HUGEINT) // (g.n + l.nv) AS p,
+                     1 + (1000000000 * (v.cl + 1)::HUGEINT) // (l.nl + l.nv) AS q
+              FROM g JOIN l ON g.lang = l.lang JOIN v ON g.lang = v.lang
+              LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = v.term),
+        x AS (SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // b.p) AS value
+              FROM m a JOIN m b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+        r AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(x.value, 0)::BIGINT AS value
+              FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+              LEFT JOIN x ON x.lang = a.lang AND x.source = a.source AND x.item = b.source
+              UNION ALL
+              SELECT lang, source, 'term', term, (((p - q) * (p - q)) // q)::BIGINT FROM m WHERE c > 0 AND p > q)
+        SELECT lang, source, part, item, value, rank::INTEGER AS rank
+        FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM r)
+        WHERE part = 'pair' OR rank <= 200""",
 }
