@@ -19,6 +19,7 @@ from .lm_score import folds, lm_score
 from .packing import pack
 from .simhash import simhash_dedup
 from .suffix_dedup import suffix_dedup
+from .vector_code import books_digest, label_errors, vector_codes
 
 
 def vocabulary(name: str) -> str:
@@ -93,6 +94,13 @@ def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence_audit(table(spark, sf_dir, "documents").select("text", "lang", "source"))
 
 
+def op13_vector_code(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = vector_codes(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
+    out = label_errors(coded.select("vec_id", "label", "_code", "_error"))
+    return out.select("vec_id", F.col("_code").alias("code"), F.col("_error").alias("error"), F.col("_label_error").alias("label_error"),
+                      F.lit(books_digest(books)).alias("codebooks_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lm_score": op1_lm_score,
     "op2_exact_dedup": op2_exact_dedup,
@@ -105,8 +113,36 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_langid": op9_langid,
     "op10_suffix_dedup": op10_suffix_dedup,
     "op11_divergence": op11_divergence,
+    "op13_vector_code": op13_vector_code,
 }
 
+def _codes_sql(rounds: int = 4) -> str:
+    """The rounds of op13 one after another; distances as |p|^2 - 2 p e + |e|^2, whole numbers that doubles hold exactly."""
+    parts = "unnest([1, 2, 3, 4])"
+    steps = ["""
+        WITH k AS MATERIALIZED (SELECT vec_id, label, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS v FROM embeddings
+              WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        p AS MATERIALIZED (SELECT vec_id, label, part, v[(part - 1) * (len(v) // 4) + 1 : part * (len(v) // 4)] AS w FROM (SELECT *, %s AS part FROM k)),
+        b0 AS MATERIALIZED (SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS e, w AS c FROM p
+               QUALIFY row_number() OVER (PARTITION BY part ORDER BY vec_id) <= 256)""" % parts]
+    near = """
+        a{i} AS MATERIALIZED (SELECT vec_id, label, p.part, w, min({{'d': list_inner_product(w, w) - 2 * list_inner_product(w, c) + list_inner_product(c, c), 'e': e}}) AS m
+               FROM p JOIN b{i} b ON p.part = b.part GROUP BY vec_id, label, p.part, w)"""
+    mean = """
+        s{i} AS (SELECT part, m.e AS e, unnest(w) AS x, generate_subscripts(w, 1) AS j FROM a{i}),
+        n{i} AS (SELECT part, e, list(x ORDER BY j) AS c FROM (SELECT part, e, j, floor(sum(x) / count(*)) AS x FROM s{i} GROUP BY ALL) GROUP BY ALL),
+        b{j} AS MATERIALIZED (SELECT b.part, b.e, coalesce(n.c, b.c) AS c FROM b{i} b LEFT JOIN n{i} n ON b.part = n.part AND b.e = n.e)"""
+    for i in range(rounds):
+        steps += [near.format(i=i), mean.format(i=i, j=i + 1)]
+    steps.append(near.format(i=rounds))
+    return ",".join(steps) + """,
+        r AS (SELECT vec_id, label, string_agg(lower(printf('%02x', m.e)), '' ORDER BY part) AS code, sum(m.d)::BIGINT AS error
+              FROM a{i} GROUP BY vec_id, label),
+        h AS (SELECT sha256(string_agg(t, ',' ORDER BY part, e)) AS codebooks_sha256
+              FROM (SELECT part, e, array_to_string(list_transform(c, lambda x: x::BIGINT), ',') AS t FROM b{i}))
+        SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, codebooks_sha256 FROM r, h""".replace("{i}", str(rounds))
+
+
 ORACLE_SQL: dict[str, str] = {
     "op2_exact_dedup": r"""
         WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS norm FROM documents),
@@ -155,4 +191,5 @@ ORACLE_SQL: dict[str, str] = {
         SELECT lang, source, part, item, value, rank::INTEGER AS rank
         FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM r)
         WHERE part = 'pair' OR rank <= 200""",
+    "op13_vector_code": _codes_sql(),
 }
