@@ -32,7 +32,7 @@ from .common import KeyFilter, filter_bits, skew_join, text_of, salts_for, write
 from .words import byte_class, bytes_of, codes_of, counted, cut, passes, word_starts
 
 SCALE, MIN_DOCS, RANKS = 1_000_000_000, 3, 200
-BLOCK, PAIRS, HOT = 8_192, 1 << 21, 4_096
+BLOCK, PAIRS, HOT, PASS = 8_192, 1 << 21, 4_096, 1 << 20
 LETTER = byte_class((0x41, 0x5A), (0x61, 0x7A), (0x80, 0xFF))
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 32
@@ -45,7 +45,7 @@ def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs, lang_names = codes_of(batch.column(0))
         sources, source_names = codes_of(batch.column(1))
         group = langs * len(source_names) + sources
-        for lo, hi in passes(batch.column(2)):
+        for lo, hi in passes(batch.column(2), PASS):
             data, begins = bytes_of(batch.column(2).slice(lo, hi - lo))
             inside = LETTER[data]
             first = word_starts(inside, begins)

@@ -17,6 +17,7 @@ from .langid import fit_language_model, predict_language, train_fold
 from .line_dedup import line_dedup
 from .lm_score import folds, lm_score
 from .packing import pack
+from .rule_forest import fit_rule_forest, judge_rules
 from .simhash import simhash_dedup
 from .suffix_dedup import suffix_dedup
 from .vector_code import books_digest, label_errors, vector_codes
@@ -94,6 +95,13 @@ def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence_audit(table(spark, sf_dir, "documents").select("text", "lang", "source"))
 
 
+def op12_rule_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = judge_rules(docs, fit_rule_forest(docs, table(spark, sf_dir, "labels")))
+    return out.select("doc_id", *(F.col(f"_{c}").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")),
+                      F.col("_base_failed").alias("base_failed"), F.col("_kept").alias("kept"), F.col("_score").alias("score"))
+
+
 def op13_vector_code(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded, books = vector_codes(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
     out = label_errors(coded.select("vec_id", "label", "_code", "_error"))
@@ -113,6 +121,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_langid": op9_langid,
     "op10_suffix_dedup": op10_suffix_dedup,
     "op11_divergence": op11_divergence,
+    "op12_rule_forest": op12_rule_forest,
     "op13_vector_code": op13_vector_code,
 }
 

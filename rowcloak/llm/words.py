@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-PASS_BYTES = 4 << 20  # texts that are worked on at once; a longer one is alone
+PASS_BYTES = 1 << 18  # texts that are worked on at once, so that tables of their words stay small; a longer one is alone
 
 
 def byte_class(*ranges: tuple[int, int]) -> np.ndarray:
