@@ -5,6 +5,10 @@ letters being space (presence, blended spectrum). The kernel of two texts is the
 they share over the root of the product of their numbers. A Nystroem map over landmark texts turns
 it into vectors, on which one ridge regression a language is fitted (one against the rest). Texts
 are scored in batches: presence matrix times landmarks, then times the regressions' weights.
+
+A text with all n-grams is as near to every language, so presence says nothing on very long texts. They
+are cut into segments of about SEGMENT characters, each is scored by itself, and the text's decision
+values are the means of its segments', each weighing as much as it has characters.
 """
 
 from __future__ import annotations
@@ -19,7 +23,7 @@ from pyspark.sql.types import DoubleType, StringType, StructField
 
 from .common import crc_fold, map_beside
 
-DIM, BATCH = 1 << 15, 64
+DIM, BATCH, SEGMENT = 1 << 15, 64, 8_192
 SAMPLE, LANGUAGES = 25_600, 4_000  # rows that are learned from at most, and languages
 UNKNOWN = "und"
 
@@ -32,12 +36,12 @@ def letters() -> np.ndarray:
 _LETTER: list[np.ndarray] = []
 
 
-def presence(text: str, longest: int = 4) -> np.ndarray | None:
-    """Which of DIM hashed n-grams the whole text has; None for a text without letters."""
+def normalised(text: str) -> np.ndarray:
+    """The code points of the lower-cased text, one space for each run of other characters than letters and at the ends."""
     if not _LETTER:
         _LETTER.append(letters())
     low, parts, before, step = text.lower(), [np.array([32], np.uint32)], False, 1 << 20
-    for lo in range(0, len(low), step):  # one space for each run of other characters
+    for lo in range(0, len(low), step):
         code = np.frombuffer(low[lo:lo + step].encode("utf-32-le", "surrogatepass"), np.uint32)
         alpha = _LETTER[0][code]
         keep = alpha | np.concatenate([[before], alpha[:-1]])
@@ -46,17 +50,30 @@ def presence(text: str, longest: int = 4) -> np.ndarray | None:
     if before:
         parts.append(parts[0])
     code = np.concatenate(parts)
+    return code[1:] if len(code) > 1 and code[1] == 32 else code
+
+
+def segments(text: str, longest: int = 4) -> list[np.ndarray]:
+    """The normalised text in parts of about SEGMENT code points, none for a text without letters.
+
+    Parts overlap by what an n-gram needs, so each n-gram is in one.
+    """
+    code = normalised(text)
     if len(code) < 2:
-        return None
-    code = code[1:] if code[1] == 32 else code
-    out = np.zeros(DIM, np.uint8)
-    for lo in range(0, len(code), step):  # windows overlap by what an n-gram needs
-        some = code[lo:lo + step + longest - 1].astype(np.uint64)
-        h = np.zeros(len(some), np.uint64)
-        for n in range(1, min(longest, len(some)) + 1):
-            h = h[:len(some) - n + 1] * np.uint64(0x100000001B3) + some[n - 1:] + np.uint64(n)
-            mixed = (h ^ (h >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15)
-            out[mixed >> np.uint64(49)] = 1
+        return []
+    many = max(1, round(len(code) / SEGMENT))
+    cuts = np.linspace(0, len(code), many + 1).astype(int)
+    return [code[a:z + longest - 1] for a, z in zip(cuts[:-1], cuts[1:], strict=True)]
+
+
+def presence(code: np.ndarray, longest: int = 4) -> np.ndarray:
+    """Which of DIM hashed n-grams a segment has."""
+    out, some = np.zeros(DIM, np.uint8), code.astype(np.uint64)
+    h = np.zeros(len(some), np.uint64)
+    for n in range(1, min(longest, len(some)) + 1):
+        h = h[:len(some) - n + 1] * np.uint64(0x100000001B3) + some[n - 1:] + np.uint64(n)
+        mixed = (h ^ (h >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15)
+        out[mixed >> np.uint64(49)] = 1
     return out
 
 
@@ -94,14 +111,36 @@ class KernelModel:
         beta = np.linalg.solve((phi * share[:, None]).T @ phi + ridge * np.eye(phi.shape[1]), (phi * share[:, None]).T @ target)
         return cls(marks.astype(np.uint8), langs, np.vstack([root @ beta[:-1], beta[-1:]]))
 
-    def predict(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The index of the best language and its share of exp(4 f) over the languages' f."""
+    def decide(self, x: np.ndarray) -> np.ndarray:
+        """The decision values of each row of features, one for each language."""
         if self._wide is None:
             self._wide = np.unpackbits(self.marks, axis=1, count=DIM).astype(np.float32)
-        f = self.kernel(x.astype(np.float32), self._wide) @ self.weights[:-1] + self.weights[-1]
+        return self.kernel(x.astype(np.float32), self._wide) @ self.weights[:-1] + self.weights[-1]
+
+    def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
+        """Each text's language and its share of exp(4 f) over the languages' f; without letters, UNKNOWN and 0."""
+        total, weight = np.zeros((len(texts), len(self.langs))), np.zeros(len(texts))
+        held: list[tuple[int, np.ndarray]] = []
+
+        def settle() -> None:
+            at = np.array([i for i, _ in held])
+            size = np.array([len(code) for _, code in held], float)
+            np.add.at(total, at, self.decide(np.stack([presence(code) for _, code in held])) * size[:, None])
+            np.add.at(weight, at, size)
+            held.clear()
+
+        for i, text in enumerate(texts):
+            for code in segments(text or ""):
+                held.append((i, code))
+                if len(held) == BATCH:
+                    settle()
+        if held:
+            settle()
+        f = total / np.maximum(weight, 1)[:, None]
         e = np.exp(4 * (f - f.max(1, keepdims=True)))
-        best = f.argmax(1)
-        return best, e[np.arange(len(f)), best] / e.sum(1)
+        best, known = f.argmax(1), weight > 0
+        score = np.where(known, e[np.arange(len(f)), best] / e.sum(1), 0.0)
+        return [self.langs[k] if ok else UNKNOWN for k, ok in zip(best, known, strict=True)], score
 
 
 def fit_language_model(docs: DataFrame, train, per_language: int = 400, sample: int = SAMPLE, landmarks: int = 192) -> KernelModel | None:
@@ -111,7 +150,7 @@ def fit_language_model(docs: DataFrame, train, per_language: int = 400, sample:
     from one row at least and with three landmarks where ``landmarks`` are too few for that; above
     LANGUAGES of them, which one kernel matrix can't hold, this raises an error. The rows of a
     language are those with the smallest hash of doc_id and text, so the choice doesn't depend on
-    the partitioning. The features of the chosen rows (4 KB each, 100 MB for the whole sample) are
+    the partitioning; of a long text one segment is learned from, which the hash picks. The features of the chosen rows (4 KB each, 100 MB for the whole sample) are
     all that reaches the driver. None without any.
     """
     rows = docs.where(train).where("lang is not null and text is not null").select(
@@ -133,8 +172,8 @@ def fit_language_model(docs: DataFrame, train, per_language: int = 400, sample:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = [presence(t) for t in b.column(1).to_pylist()]
-            bits = [None if v is None else np.packbits(v).tobytes() for v in x]
+            parts = [segments(t) for t in b.column(1).to_pylist()]
+            bits = [np.packbits(presence(s[h % len(s)])).tobytes() if s else None for s, h in zip(parts, b.column(2).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(bits, pa.binary())], ["lang", "h", "x"])
 
     texts = (docs.where(train).withColumn("h", F.xxhash64("doc_id", "text")).select("h", "text")
@@ -149,6 +188,9 @@ def fit_language_model(docs: DataFrame, train, per_language: int = 400, sample:
 def predict_language(docs: DataFrame, model: KernelModel | None, text: str = "text", pred: str = "_lang_pred", score: str = "_score") -> DataFrame:
     """``docs`` with the language of the whole text and a score from 0 to 1.
 
+    The score is near the reciprocal of the number of languages where a text's segments speak for
+    none of them, or for several alike.
+
     A text that is null, empty or without a letter gets `und` and score 0, as does every text when
     there was nothing to learn from. Columns named like the new ones are replaced, others pass
     unchanged; repeated rows get the same answer; an empty table gives no rows.
@@ -160,14 +202,8 @@ def predict_language(docs: DataFrame, model: KernelModel | None, text: str = "te
         for b in batches:
             for lo in range(0, b.num_rows, BATCH):
                 cut = b.slice(lo, BATCH)
-                x = [None if t is None or model is None else presence(t) for t in cut.column(1).to_pylist()]
-                lang, points = [UNKNOWN] * len(x), np.zeros(len(x))
-                some = [i for i, v in enumerate(x) if v is not None]
-                if some:
-                    best, share = model.predict(np.stack([x[i] for i in some]))
-                    points[some] = share
-                    for i, k in zip(some, best):
-                        lang[i] = model.langs[k]
+                texts = cut.column(1).to_pylist()
+                lang, points = model.predict(texts) if model else ([UNKNOWN] * len(texts), np.zeros(len(texts)))
                 yield pa.RecordBatch.from_arrays([cut.column(0), pa.array(lang, pa.string()), pa.array(points)], ["_row", pred, score])
 
     return map_beside(docs, kept, [F.col(text).cast("string")], run, new)

@@ -1,8 +1,10 @@
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from rowcloak.llm.langid import DIM, KernelModel, fit_language_model, predict_language, presence, train_fold
+from rowcloak.llm.langid import DIM, SEGMENT, KernelModel, fit_language_model, predict_language, presence, segments, train_fold
 from rowcloak.llm.queries import op9_langid
 
 
@@ -15,18 +17,52 @@ def test_held_out_accuracy(spark):
     assert all(0 <= r.score <= 1 for r in rows)
 
 
-def test_presence():
-    assert presence("") is None and presence("12 !?\n") is None
-    one = presence("Ab, aB")
-    assert (one == presence("ab ab")).all() and one.sum() <= 12
-    long = "the quick brown fox " * 120_000  # windows don't change a text's features
-    assert (presence(long) == presence("the quick brown fox " * 3)).all()
-    assert presence("\U00020000") is not None and presence("\U0001f600") is None
+def whole(text):
+    return presence(np.concatenate([segments(text)[0], *(s[3:] for s in segments(text)[1:])]))
+
+
+def test_segments():
+    assert segments("") == segments("12 !?\n") == []
+    one = presence(segments("Ab, aB")[0])
+    assert (one == presence(segments("ab ab")[0])).all() and one.sum() <= 12
+    text = "the quick brown fox " * 120_000
+    parts = segments(text)
+    assert len(parts) == round(len(text) / SEGMENT) and max(map(len, parts)) <= SEGMENT * 1.5 + 3
+    assert (np.maximum.reduce([presence(p) for p in parts]) == whole("the quick brown fox " * 3)).all()
+    assert segments("\U00020000") and not segments("\U0001f600")
+
+
+def test_long_texts_with_noise(spark):
+    """Two megabytes of English stay English with as much of random words behind them; with more the score falls."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    model = fit_language_model(docs.select("doc_id", "text", "lang"), train_fold())
+    english = " ".join(r.text for r in docs.where("lang = 'en' and text is not null").orderBy("doc_id").limit(1_200).collect())[:2_000_000]
+    rng = random.Random(1)
+    noise = " ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=8)) for _ in range(1_000_000))
+    lang, score = model.predict([english, english + noise[:1_800_000], english + noise, noise])
+    assert lang[:2] == ["en", "en"] and score[0] > 0.9 and score[1] > 0.5
+    assert lang[2] == "en" or score[2] < 0.5
+    assert score[0] > score[1] > score[2]
+
+
+def test_ridge_against_dense_version():
+    """With every row a landmark, the map is the kernel itself: the regression is solved here by gradients' zero."""
+    rng = np.random.default_rng(3)
+    x = (rng.random((12, DIM)) < 0.002 + 0.05 * (rng.random(DIM) < 0.02)).astype(np.uint8)
+    labels = ["a", "b", "b"] * 4
+    model = KernelModel.fit(x, labels, landmarks=12, ridge=1e-2)
+    k = np.array([[(p & q).sum() / np.sqrt(float(p.sum()) * float(q.sum())) for q in x] for p in x])
+    y = np.array([[1.0 if c == m else -1.0 for m in "ab"] for c in labels])
+    share = np.array([1 / labels.count(c) for c in labels])
+    values, vectors = np.linalg.eigh(k)
+    phi = np.hstack([vectors * np.sqrt(np.maximum(values, 0)), np.ones((12, 1))])  # K^(1/2): the same inner products
+    beta = np.linalg.lstsq(np.vstack([phi * np.sqrt(share)[:, None], np.sqrt(1e-2) * np.eye(13)]), np.vstack([y * np.sqrt(share)[:, None], np.zeros((13, 2))]), rcond=None)[0]
+    assert np.allclose(model.decide(x), phi @ beta, atol=1e-3)
 
 
 def test_kernel_against_sets():
     texts = ["abab", "abba", "xyz"]
-    x = np.stack([presence(t) for t in texts]).astype(np.float32)
+    x = np.stack([presence(segments(t)[0]) for t in texts]).astype(np.float32)
     assert x.shape[1] == DIM
 
     def grams(t):
