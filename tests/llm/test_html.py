@@ -62,6 +62,48 @@ def test_class_names_raise_doubts_that_texts_defend(part, kept):
     assert main_text(ARTICLE.format(part)) == " ".join(x for x in ("Title One, two, and three.", kept, "Last, but not least.") if x)
 
 
+POST = '<{0} class="p-{1}"><span class="author">Jo</span> <time>3 May</time><p>I, for one, do not agree with that. Not at all.</p></{0}>'
+
+
+@pytest.mark.parametrize("part, kept", [
+    (f'<ol class="commentlist"><li><p>{LONG}</p></li></ol>', ""), (f'<section id="discussion"><h2>3 Comments</h2><p>{LONG}</p></section>', ""),
+    (f'<div class="user-reviews"><p>{LONG}</p></div>', ""), (f"<h2>Comments</h2><ul><li>{LONG}</li><li>{LONG}</li></ul>", ""),
+    ("<div>" + POST.format("div", 1) * 3 + "</div>", ""), ("<ol>" + POST.format("li", 2) * 2 + "</ol>", ""),
+    (f'<div class="social"><p>The social question: {LONG}</p></div>', f"The social question: {LONG}"), ('<div class="social">Share this</div>', ""),
+    (f'<div class="commentary"><p>{LONG}</p></div>', LONG), (f"<section><h2>Discussion</h2><p>{LONG}</p></section>", f"Discussion {LONG}"),
+    (POST.format("div", 1), "Jo 3 May I, for one, do not agree with that. Not at all."), (f"<h2>Comments</h2><p>{LONG}</p>", f"Comments {LONG}")])
+def test_reader_comments_by_class_heading_and_structure(part, kept):
+    page = ARTICLE.replace("One, two, and three.", LONG + " " + LONG).format(part)
+    assert main_text(page) == " ".join(x for x in (f"Title {LONG} {LONG}", kept, "Last, but not least.") if x)
+
+
+def test_comments_behind_an_article():
+    page = f'<body><article><h1>T</h1><p>{LONG}</p><p>{LONG}</p></article><section id="discussion"><h2>Comments</h2><div><p>{LONG} {LONG}</p></div></section></body>'
+    assert main_text(page) == f"T {LONG} {LONG}"
+
+
+def test_short_paragraphs_between_kept_siblings():
+    many = "a, b, c, d, e, f, g, h, i, j, k, and so on, and on, and on. " * 3
+    page = f"<body><h1>T</h1><p>Short one.</p><p>{LONG}</p><p>Short two.</p><div><p>{many}</p></div><p>tail</p></body>"
+    assert main_text(page) == f"T Short one. {LONG} Short two. {many.strip()}"
+
+
+def test_points_against_a_recursive_version():
+    from rowcloak.llm.html_extract import TreeBuilder, drop_boilerplate, score_tree
+
+    tree = TreeBuilder()
+    tree.feed(PAGE)
+    tree.close()
+    drop_boilerplate(tree.nodes)
+    score_tree(tree)
+
+    def points(node, share):
+        return node.given + share * sum(points(x, share) for x in node.items if not isinstance(x, str))
+
+    assert all(abs(n.points - points(n, 0.5)) < 1e-9 and abs(n.total - points(n, 1)) < 1e-9 for n in tree.nodes)
+    assert max(n.given for n in tree.nodes) > 2
+
+
 def test_pages_without_an_article():
     text = f"<h1>Head</h1><p>{LONG}</p><p>{LONG}</p>"
     around = '<div class="site-header">Name, and, more.</div>{}<div class="footer-links"><p>Imprint, terms, and more, of it.</p></div>'
