@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections import defaultdict
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
@@ -132,27 +131,59 @@ class RelationalModel:
         own = {c for f in self.parents(table) for c in f.columns}
         return set(self.table(table).pk) | own | {c for f in self.children(table) for c in f.ref_columns}
 
-    def load_order(self, breaks: list[ForeignKey] = ()) -> list[str]:
-        """Tables, parents first; relationships in ``breaks`` and self-references don't count.
+    def levels(self, breaks: list[ForeignKey] = ()) -> list[list[str]]:
+        """Tables by level, each sorted: those of a level reference earlier levels only.
 
-        What is left of a cycle comes in name order.
+        Relationships in ``breaks`` and self-references don't count; a cycle that is left is an error.
         """
-        waits = defaultdict(set)
-        for f in self.fks:
-            if f not in breaks and f.child != f.parent:
-                waits[f.child].add(f.parent)
-        order: list[str] = []
-        left = sorted(self.tables)
-        while left:
-            ready = [t for t in left if not waits[t] - set(order)] or left[:1]
-            order += ready
-            left = [t for t in left if t not in ready]
-        return order
+        skip = {f.signature for f in breaks}
+        waits = {t: {f.parent for f in self.parents(t) if f.signature not in skip and f.parent != t} for t in self.tables}
+        out, done = [], set()
+        while waits:
+            ready = sorted(t for t, w in waits.items() if w <= done)
+            if not ready:
+                raise ModelError(f"a cycle is left among {', '.join(sorted(waits))}: break one of its relationships")
+            out.append(ready)
+            done |= set(ready)
+            for t in ready:
+                del waits[t]
+        return out
+
+    def load_order(self, breaks: list[ForeignKey] = ()) -> list[str]:
+        """Tables, parents first; relationships in ``breaks`` and self-references don't count."""
+        return [t for level in self.levels(breaks) for t in level]
 
     def cycles(self) -> list[list[str]]:
-        """Groups of tables that reach each other, each sorted; self-references count."""
-        reach = {t: {f.parent for f in self.parents(t)} for t in self.tables}
-        for _ in self.tables:
-            reach = {t: r | {y for x in r for y in reach[x]} for t, r in reach.items()}
-        groups = {tuple(sorted(x for x in self.tables if x in reach[t] and t in reach[x])) for t in self.tables if t in reach[t]}
-        return [list(g) for g in sorted(groups)]
+        """Groups of tables that reach each other, each sorted; self-references count.
+
+        Strongly connected components in one walk: a table's low mark is the earliest table on the
+        walk's stack that it reaches, and one that reaches nothing earlier closes a group.
+        """
+        after = {t: sorted({f.parent for f in self.parents(t)}) for t in self.tables}
+        seen: dict[str, int] = {}
+        low: dict[str, int] = {}
+        stack, on, groups = [], set(), []
+        for start in self.tables:
+            todo = [(start, iter(after[start]))] if start not in seen else []
+            while todo:
+                t, rest = todo[-1]
+                if t not in seen:
+                    seen[t] = low[t] = len(seen)
+                    stack.append(t)
+                    on.add(t)
+                step = next((p for p in rest if p not in seen or p in on), None)
+                if step is None:
+                    todo.pop()
+                    if todo:
+                        low[todo[-1][0]] = min(low[todo[-1][0]], low[t])
+                    if low[t] == seen[t]:
+                        group = stack[stack.index(t):]
+                        del stack[len(stack) - len(group):]
+                        on -= set(group)
+                        if len(group) > 1 or t in after[t]:
+                            groups.append(sorted(group))
+                elif step in seen:
+                    low[t] = min(low[t], seen[step])
+                else:
+                    todo.append((step, iter(after[step])))
+        return sorted(groups)

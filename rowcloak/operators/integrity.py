@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from ..model import ForeignKey, ModelError, RelationalModel
 
 
+EXACT = 14  # tables of a group whose best order is found exactly
+
+
 class OrphanFound(AssertionError):
     """A reference without its parent."""
 
@@ -73,22 +76,103 @@ def cycle_links(model: RelationalModel) -> DataFrame | None:
     return known.join(reference_counts(model, [f for _, f in on]), "fk")
 
 
+def least_feedback(tables: list[str], weights: dict[tuple[str, str], float]) -> set[tuple[str, str]]:
+    """The arcs (child, parent) of least total weight without which the tables can be put in an order.
+
+    Up to EXACT tables by the best order of each subset: the last of a subset pays for its arcs from
+    tables in front of it. Above, cycles pay their least arc until none is left, and arcs that were
+    paid for without need come back, the heaviest first.
+    """
+    if len(tables) > EXACT:
+        return _local_ratio(tables, weights)
+    n = len(tables)
+    place = {t: i for i, t in enumerate(tables)}
+    costs = [[0.0] * n for _ in range(n)]  # of arc i -> j: i waits for j
+    for (child, parent), w in weights.items():
+        costs[place[child]][place[parent]] += w
+    best, last = [0.0] * (1 << n), [0] * (1 << n)
+    for s in range(1, 1 << n):
+        inside = [i for i in range(n) if s >> i & 1]
+        best[s], last[s] = min((best[s & ~(1 << v)] + sum(costs[i][v] for i in inside if i != v), v) for v in inside)
+    order, s = [], (1 << n) - 1
+    while s:
+        order.append(last[s])
+        s &= ~(1 << last[s])
+    at = {tables[v]: n - k for k, v in enumerate(order)}
+    return {(c, p) for c, p in weights if c != p and at[c] < at[p]}
+
+
+def _local_ratio(tables: list[str], weights: dict[tuple[str, str], float]) -> set[tuple[str, str]]:
+    left = {a: w for a, w in weights.items() if a[0] != a[1]}
+    gone: set[tuple[str, str]] = set()
+    while cycle := _a_cycle(tables, set(left)):
+        least = min(left[a] for a in cycle)
+        for a in cycle:
+            left[a] -= least
+            if left[a] <= 0 or left[a] != left[a]:  # infinity less infinity
+                gone.add(a)
+                del left[a]
+    for a in sorted(gone, key=lambda a: (-weights[a], a)):
+        if not _a_cycle(tables, {*left, a}):
+            left[a] = weights[a]
+    return {a for a in weights if a[0] != a[1] and a not in left}
+
+
+def _a_cycle(tables: list[str], arcs: set[tuple[str, str]]) -> list[tuple[str, str]]:
+    """The arcs of some cycle; none if there is none."""
+    after = {t: sorted(p for c, p in arcs if c == t) for t in tables}
+    done: set[str] = set()
+    for start in tables:
+        path, todo = [], [(start, iter(after[start]))] if start not in done else []
+        while todo:
+            t, rest = todo[-1]
+            if not path or path[-1] != t:
+                path.append(t)
+            step = next((p for p in rest if p not in done), None)
+            if step is None:
+                done.add(t)
+                todo.pop()
+                path.pop()
+            elif step in path:
+                ring = [*path[path.index(step):], step]
+                return list(zip(ring, ring[1:]))
+            else:
+                todo.append((step, iter(after[step])))
+    return []
+
+
 def break_candidates(model: RelationalModel) -> DataFrame | None:
-    """(cycle, table_name, columns, fk, n_deferred, blockers): the reference to load as null and restore later, for each cycle.
+    """(cycle, table_name, columns, fk, n_deferred, blockers): the references to load as null and restore later.
 
-    Of those that may be null, the one with the fewest rows to restore, then the first by name;
-    ``blockers`` are the cycle's relationships that can't be deferred. None if there is no cycle or
-    all of their constraints can be deferred; a cycle that can't be broken is an error.
+    Of each group of tables that reach each other the references whose removal leaves no cycle, of
+    all such choices the one with the fewest rows to restore; self-references are cycles of their
+    own. Only references that may be null, of tables with a primary key, can be chosen; ``blockers``
+    are the group's relationships that can't be deferred. None if there is no cycle or all of their
+    constraints can be deferred; a cycle that can't be broken is an error.
     """
     links = cycle_links(model)
-    if links is None or links.where("not deferrable").isEmpty():
+    if links is None:
         return None
-    best = links.groupBy("cycle").agg(
-        F.min(F.when(F.col("may_be_null"), F.struct("n_set", "fk", "table_name", "columns", "has_key"))).alias("b"),
-        F.array_sort(F.collect_list(F.when(~F.col("deferrable"), F.col("fk")))).alias("blockers"))
-    for r in best.where("b is null or not b.has_key").collect():  # a row for each cycle of the schema
-        raise ModelError(f"the cycle {r.cycle} can't be broken: " + ("its table has no primary key" if r.b else "no reference may be null"))
-    return best.select("cycle", "b.table_name", "b.columns", "b.fk", F.col("b.n_set").alias("n_deferred"), "blockers")
+    rows = sorted(links.collect(), key=lambda r: r.fk)  # as many as the schema has relationships on cycles
+    parent = {f.name: f.parent for f in model.fks}
+    out = []
+    for cycle in sorted({r.cycle for r in rows}):
+        mine = [r for r in rows if r.cycle == cycle]
+        blockers = [r.fk for r in mine if not r.deferrable]
+        if not blockers:
+            continue
+        weights: dict[tuple[str, str], float] = {}
+        for r in mine:
+            arc = r.table_name, parent[r.fk]
+            weights[arc] = weights.get(arc, 0) + (r.n_set if r.may_be_null and r.has_key else float("inf"))
+        arcs = set(weights) if all(c == p for c, p in weights) else least_feedback(sorted({t for a in weights for t in a}), weights)
+        chosen = [r for r in mine if (r.table_name, parent[r.fk]) in arcs]
+        if any(not (r.may_be_null and r.has_key) for r in chosen):
+            raise ModelError(f"the cycle {cycle} can't be broken: " + ("its table has no primary key" if any(r.may_be_null for r in mine if not r.has_key) else "no reference may be null"))
+        out += [(cycle, r.table_name, r["columns"], r.fk, r.n_set, blockers) for r in chosen]
+    spark = next(iter(model.tables.values())).df.sparkSession
+    shape = "cycle string, table_name string, columns array<string>, fk string, n_deferred long, blockers array<string>"
+    return spark.createDataFrame(out, shape) if out else None
 
 
 def soft_keys(model: RelationalModel) -> DataFrame:

@@ -18,7 +18,9 @@ from ..operators.profile import check_keys, discover_unique, profile
 from ..operators.scan import canary_counts, matching_rows, scan, scan_frame
 from ..operators.slicing import slice_model, slice_summary, sliced
 from ..scratch import scratch_path
-from ..sources.sinks import each_table, insert_statements, next_key_values, target_status, write_slice, write_summaries
+from ..sources.commits import read_tables
+from ..sources.script import insert_statements
+from ..sources.sinks import each_table, next_key_values, target_status, write_slice, write_summaries
 from ..sources.tables import STAR_FKS, full_model, load_tables, star_model, STAR, TEXTS
 from ..streaming.streams import mask_stream, scan_stream
 from .masking import SEED, SQL as MASK_SQL
@@ -222,8 +224,7 @@ def written_orphans(spark, d):
     path = scratch_path(spark, "slice")
     frames = {t: m.table(t).df for t in ("region", "nation", "customer", "orders")}
     write_slice(m, frames, path, source=d)
-    back = RelationalModel([TableSpec(t, spark.read.parquet(f"{path}/{t}"), m.table(t).pk) for t in frames], [f for f in m.fks if f.child in frames and f.parent in frames])
-    return orphan_counts(back)
+    return orphan_counts(sliced(m, read_tables(spark, m, path)))
 
 
 def written_append(spark, d):
@@ -232,7 +233,7 @@ def written_append(spark, d):
     path = scratch_path(spark, "slice")
     for mode, part in (("errorifexists", "o_orderkey % 2 = 0"), ("append", "o_orderkey % 2 <> 0")):
         write_slice(m, {"orders": m.table("orders").df.where(part)}, path, mode, source=d)
-    return spark.read.parquet(f"{path}/orders").groupBy("o_orderstatus").agg(F.count("*").alias("n_orders"), F.sum("o_orderkey").alias("keys"))
+    return read_tables(spark, m, path)["orders"].groupBy("o_orderstatus").agg(F.count("*").alias("n_orders"), F.sum("o_orderkey").alias("keys"))
 
 
 def written_summaries(spark, d):
@@ -266,7 +267,7 @@ def end_to_end(spark, d):
     frames = slice_model(m, "orders", SEED, where="o_totalprice > 450000", limit=None, child_limit=None, classifier=ruled)
     path = scratch_path(spark, "job")
     write_slice(m, frames, path, source=d)
-    back = sliced(m, {t: spark.read.parquet(f"{path}/{t}") for t in frames})
+    back = sliced(m, read_tables(spark, m, path))
     rows = reduce(DataFrame.unionByName, (t.df.agg(F.count("*").alias("n_rows")).select(F.lit(t.name).alias("table_name"), "n_rows") for t in back.tables.values()))
     leaks = scan(back).groupBy("table_name").agg(F.sum("matches").alias("n_findings"))
     lost = orphan_counts(back).groupBy(F.regexp_extract("fk", r"^([^(]*)", 1).alias("table_name")).agg(F.sum("n_orphans").alias("n_orphans"))

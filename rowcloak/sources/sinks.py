@@ -1,4 +1,4 @@
-"""Where slices go: Parquet datasets, SQL scripts, and metadata files."""
+"""Where slices go: published Parquet tables, SQL scripts, and metadata files."""
 
 from __future__ import annotations
 
@@ -8,11 +8,10 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.literals import identifier, sql_literal
-from ..model import ModelError, RelationalModel, TableSpec
-from ..operators.ranking import global_row_number
-
-BATCH = 500  # rows of one INSERT
+from ..model import ModelError, RelationalModel
+from ..operators.loading import LoadPlan, load, load_plan
+from .commits import ParquetSink, current
+from .script import ScriptSink
 
 
 def _same_place(a: str, b: str) -> bool:
@@ -20,66 +19,36 @@ def _same_place(a: str, b: str) -> bool:
     return plain(a) == plain(b)
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
-
-
 def target_status(spark: SparkSession, model: RelationalModel, path: str) -> DataFrame:
-    """(table_name, is_there, has_rows) of each table's dataset below ``path``."""
-    rows = []
-    for t in model.tables:
-        there = _exists(spark, f"{path}/{t}")
-        rows.append((t, there, there and not spark.read.parquet(f"{path}/{t}").isEmpty()))
+    """(table_name, is_there, has_rows) of each table in what was published below ``path``."""
+    there = current(spark, path).tables
+    rows = [(t, t in there, t in there and there[t].n_rows > 0) for t in model.tables]
     return spark.createDataFrame(rows, "table_name string, is_there boolean, has_rows boolean")
 
 
-def write_slice(model: RelationalModel, frames: dict[str, DataFrame], path: str, mode: str = "errorifexists", source: str | None = None) -> list[str]:
-    """Write each table's rows to ``path/<table>``, parents first; the order comes back.
+def write_slice(model: RelationalModel, frames: dict[str, DataFrame], path: str, mode: str = "errorifexists", source: str | None = None, plan: LoadPlan | None = None) -> list[str]:
+    """Write the tables below ``path``, all or none, in load order, which comes back; ``commits.read_tables`` reads them.
 
-    ``overwrite`` empties first, ``append`` adds and refuses keys that are there already,
-    ``errorifexists`` refuses a table that is there. The source itself is never a target.
+    ``overwrite`` replaces what is there, ``append`` adds and refuses keys that are there already,
+    ``errorifexists`` refuses a table that is there. References that cycles defer are null in their
+    tables and a dataset of their own beside them. The source itself is never a target.
     """
     if source and _same_place(source, path):
         raise ModelError("the target is the source")
-    order = [t for t in model.load_order() if t in frames]
-    for t in order:
-        target, spec = f"{path}/{t}", model.table(t)
-        if mode == "append" and spec.pk and _exists(frames[t].sparkSession, target):
-            old = frames[t].sparkSession.read.parquet(target)
-            if not old.join(frames[t], list(spec.pk), "left_semi").isEmpty():
-                raise ModelError(f"{t}: keys are in the target already")
-        frames[t].write.mode(mode).parquet(target)
-    return order
+    spark = next(iter(frames.values())).sparkSession
+    return load(model, frames, ParquetSink(spark, path, mode), plan).order
 
 
 def each_table(model: RelationalModel, frames: dict[str, DataFrame], sink: Callable[[str, DataFrame], None]) -> None:
-    """Hand every table to a sink of one's own, parents first."""
-    for t in model.load_order():
-        if t in frames:
-            sink(t, frames[t])
-
-
-def insert_statements(df: DataFrame, t: TableSpec, schema: str = "public", batch: int = BATCH) -> DataFrame:
-    """(statement_no, statement): one INSERT for each ``batch`` rows in key order."""
-    columns = [c for c in df.columns if c not in t.generated]
-    order = list(t.pk) or columns
-    literals = F.concat(F.lit("("), F.concat_ws(", ", *(sql_literal(F.col(c), df.schema[c].dataType) for c in columns)), F.lit(")"))
-    numbered = global_row_number(df.select(*order, literals.alias("_tuple")) if t.pk else df.select(*columns, literals.alias("_tuple")), order)
-    override = " OVERRIDING SYSTEM VALUE" if t.identity_always & set(columns) else ""
-    head = f"INSERT INTO {identifier(schema)}.{identifier(t.name)} ({', '.join(map(identifier, columns))}){override} VALUES "
-    rows = numbered.groupBy(F.floor((F.col("_n") - 1) / batch).cast("long").alias("statement_no")).agg(
-        F.array_sort(F.collect_list(F.struct("_n", "_tuple"))).alias("r"))
-    return rows.select("statement_no", F.concat(F.lit(head), F.array_join("r._tuple", ", "), F.lit(";")).alias("statement"))
-
-
-def write_sql(model: RelationalModel, frames: dict[str, DataFrame], path: str, schema: str = "public") -> None:
-    """A script for each table below ``path``, with the transaction's frame beside them, in load order."""
-    for i, t in enumerate(x for x in model.load_order() if x in frames):
-        insert_statements(frames[t], model.table(t), schema).orderBy("statement_no").select(F.col("statement").alias("value")).write.text(f"{path}/{i + 1:03d}-{t}.sql")
-    spark = next(iter(frames.values())).sparkSession
-    for name, line in (("000-begin.sql", "BEGIN;"), ("999-commit.sql", "COMMIT;")):
-        spark.createDataFrame([(line,)], "value string").coalesce(1).write.text(f"{path}/{name}")
+    """Hand every table, whole, to a function, parents first; ``loading.load`` has sinks with a life cycle."""
+    own = RelationalModel([model.table(t) for t in frames], [f for f in model.fks if f.child in frames and f.parent in frames])
+    for t in load_plan(own).order:
+        sink(t, frames[t])
+
+
+def write_sql(model: RelationalModel, frames: dict[str, DataFrame], path: str, schema: str = "public", overwrite: bool = False, plan: LoadPlan | None = None) -> list[str]:
+    """The load as one SQL script below ``path``: rows in load order, deferred references, sequences, in one transaction."""
+    return load(model, frames, ScriptSink(path, schema, overwrite), plan).order
 
 
 def next_key_values(model: RelationalModel) -> DataFrame:

@@ -8,7 +8,9 @@ from rowcloak.operators.integrity import OrphanFound, assert_referential, break_
 from rowcloak.operators.profile import check_key, discover_unique, profile_frame
 from rowcloak.operators.ranking import global_row_number
 from rowcloak.operators.scan import LeakFound, assert_clean, capped_rows, scan, scan_frame
-from rowcloak.sources.sinks import each_table, insert_statements, next_key_values, target_status, write_slice, write_sql, write_summaries
+from rowcloak.sources.commits import read_tables
+from rowcloak.sources.script import insert_statements, read_script
+from rowcloak.sources.sinks import each_table, next_key_values, target_status, write_slice, write_sql, write_summaries
 
 #: Texts and whether the detector has to find them.
 CASES = [
@@ -130,14 +132,16 @@ def test_sinks(spark, tmp_path):
     with pytest.raises(Exception, match="exist"):
         write_slice(m, frames, path)
     write_slice(m, frames, path, "overwrite")
+    assert {t: df.count() for t, df in read_tables(spark, m, path).items()} == {"users": 12, "companies": 3, "order_items": 2}
     rows = insert_statements(m.table("companies").df, m.table("companies"), batch=2).orderBy("statement_no").collect()
     assert [r.statement for r in rows] == [
         """INSERT INTO "public"."companies" ("id", "owner_id", "name", "slug") OVERRIDING SYSTEM VALUE VALUES (1, 1, 'CanaryCorp 1', 'corp-1'), (2, 5, 'CanaryCorp 2', 'corp-2');""",
         """INSERT INTO "public"."companies" ("id", "owner_id", "name", "slug") OVERRIDING SYSTEM VALUE VALUES (3, 9, 'CanaryCorp 3', 'corp-3');"""]
     assert "full_name" not in insert_statements(m.table("users").df, m.table("users")).first().statement
     write_sql(m, frames, str(tmp_path / "sql"))
-    got = [r.value for r in spark.read.text(str(tmp_path / "sql" / "*")).collect()]
-    assert "BEGIN;" in got and "COMMIT;" in got and len(got) == 5
+    got = [(r.section, r.statement) for r in read_script(spark, str(tmp_path / "sql")).orderBy("section", "statement_no").collect()]
+    assert [s for s, _ in got] == ["000-begin", "001-insert-companies", "002-insert-order_items", "003-insert-users", "004-update-companies", "005-update-users", "006-sequences", "006-sequences", "999-commit"]
+    assert got[4][1] == 'UPDATE "public"."companies" AS t SET "owner_id" = v."owner_id" FROM (VALUES (1, 1), (2, 5), (3, 9)) AS v ("id", "owner_id") WHERE t."id" = v."id";'
     assert {r.table_name: (r.value, r.is_called) for r in next_key_values(m).collect()} == {"companies": (3, True), "users": (12, True)}
     seen = []
     each_table(m, frames, lambda t, df: seen.append((t, df.count())))
