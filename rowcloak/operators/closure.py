@@ -5,12 +5,15 @@ from __future__ import annotations
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import reduce
+from typing import Protocol
+from zlib import crc32
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..model import ForeignKey, ModelError, RelationalModel
 from ..scratch import counted, forget, materialise
+from .ranking import global_row_number
 
 ROOT_LIMIT, CHILD_LIMIT = 1000, 100_000
 
@@ -113,32 +116,50 @@ def child_keys(model: RelationalModel, fk: ForeignKey, keys: DataFrame, child_li
         *(F.col(c).alias(n) for c, n in zip(fk.ref_columns, names))).distinct()
     rows = _child_rows(model, fk).select(*child.key, *(F.col(c).alias(n) for c, n in zip(fk.columns, names)))
     rows = rows.join(refs, names, "left_semi")
-    if child_limit is not None:
-        place = F.row_number().over(Window.partitionBy(*names).orderBy(*child.key))
-        rows = rows.withColumn("_place", place).where(F.col("_place") <= (child_limit if child_limit > 0 else CHILD_LIMIT))
-    return rows.select(*child.key).distinct()
+    return capped(rows, names, list(child.key), child_limit).select(*child.key).distinct()
 
 
-def link_rows(model: RelationalModel, table: str) -> DataFrame:
-    """What the closure needs of a table: key, the columns of its relationships, and whether each ``when`` holds.
+def capped(rows: DataFrame, values: list[str], key: list[str], limit: int | None) -> DataFrame:
+    """Of each value's rows the first ``limit`` by key; the default limit for zero or less, all for None.
 
-    A table with a primary key is read anew by pruned scans; the rows of one without are digested
-    once and written.
+    Rows are counted for each value first, which aggregates before anything moves, and only values
+    with more than the limit are put in order: over all of them by range partitions of (value, key),
+    so the rows of one value lie in as many tasks as they need. Values that go over are not null.
     """
+    if limit is None:
+        return rows
+    limit = limit if limit > 0 else CHILD_LIMIT
+    over, n = counted(rows.groupBy(*values).agg(F.count("*").alias("_many")).where(F.col("_many") > limit).select(*values), "capped")
+    if not n:
+        return rows
+    hot = rows.join(over, values, "left_semi").select(*rows.columns)
+    numbered = global_row_number(hot, list(dict.fromkeys([*values, *key])), "_nth")
+    first = materialise(numbered.groupBy(*values).agg(F.min("_nth").alias("_first")), "capped-first")
+    kept = numbered.join(first, values).where(F.col("_nth") - F.col("_first") < limit).select(*rows.columns)
+    return rows.join(over, values, "left_anti").select(*rows.columns).unionByName(kept)
+
+
+def link_view(model: RelationalModel, table: str) -> DataFrame:
+    """What the closure needs of a table: key, the columns of its relationships, and whether each ``when`` holds."""
     t = model.table(table)
     columns = {c for fk in model.parents(table) for c in fk.columns} | {c for fk in model.children(table) for c in fk.ref_columns}
-    held = [F.coalesce(F.expr(fk.when), F.lit(False)).alias(_when(model, fk)) for fk in model.parents(table) if fk.when]
-    rows = t.rows().select(*t.key, *sorted(columns - set(t.key)), *held)
-    return rows if t.pk else materialise(rows, f"links-{table}")
+    held = [F.coalesce(F.expr(fk.when), F.lit(False)).alias(_when(fk)) for fk in model.parents(table) if fk.when]
+    return t.rows().select(*t.key, *sorted(columns - set(t.key)), *held)
+
+
+def link_rows(model: RelationalModel, table: str) -> DataFrame:
+    """The link view, read anew by pruned scans where there is a primary key; else the rows' digests are made once and written."""
+    rows = link_view(model, table)
+    return rows if model.table(table).pk else materialise(rows, f"links-{table}")
 
 
-def _when(model: RelationalModel, fk: ForeignKey) -> str:
-    return f"_when{model.fks.index(fk)}"
+def _when(fk: ForeignKey) -> str:
+    return f"_when{crc32(f'{fk.name} {fk.when}'.encode())}"
 
 
-def _references(model: RelationalModel, fk: ForeignKey, rows: DataFrame) -> DataFrame:
+def referencing(model: RelationalModel, fk: ForeignKey, rows: DataFrame) -> DataFrame:
     """The rows among ``link_rows`` of the child that use the relationship."""
-    used = [F.col(c).isNotNull() for c in fk.columns] + ([F.col(_when(model, fk))] if fk.when else [])
+    used = [F.col(c).isNotNull() for c in fk.columns] + ([F.col(_when(fk))] if fk.when else [])
     return rows.where(reduce(lambda a, b: a & b, used))
 
 
@@ -151,7 +172,13 @@ def _with_values(rows: DataFrame, columns: tuple[str, ...], values: DataFrame) -
     return rows.join(values, same, "left_semi")
 
 
-def closure(model: RelationalModel, root: str, keys: DataFrame, child_depth: int = 1, child_limit: int | None = CHILD_LIMIT) -> dict[str, DataFrame]:
+class ChildIndex(Protocol):
+    """Where child rows are kept by what they reference; None for a relationship without an index."""
+
+    def children(self, fk: ForeignKey) -> list[DataFrame] | None: ...
+
+
+def closure(model: RelationalModel, root: str, keys: DataFrame, child_depth: int = 1, child_limit: int | None = CHILD_LIMIT, index: ChildIndex | None = None) -> dict[str, DataFrame]:
     """The key sets of a referentially complete slice: (key columns, depth, via) for each table.
 
     Parents keep the depth of the row that needs them and are followed to the end; children of the
@@ -159,7 +186,8 @@ def closure(model: RelationalModel, root: str, keys: DataFrame, child_depth: int
     other, so ``depth`` is the least possible; ``via`` is the first by name of the relationships
     that found the key in that round. Only new keys expand, so cyclic schemas end. Each round's
     keys are written to the shared folder with the values of their relationships, so a step joins
-    those with the other side only; the tables of a round are written side by side.
+    those with the other side only; the tables of a round are written side by side. ``index`` has
+    child rows by what they reference, which spares a child step the scan and shuffle of its table.
     """
     root = model.table(root).name
     links: dict[str, DataFrame] = {}
@@ -172,7 +200,7 @@ def closure(model: RelationalModel, root: str, keys: DataFrame, child_depth: int
 
     def write(table: str, sets: list[DataFrame], depth: int) -> tuple[str, DataFrame, int]:
         key = list(model.table(table).key)
-        others = [c for c in rows_of(table).columns if c not in key]
+        others = [c for c in link_view(model, table).columns if c not in key]
         new = reduce(DataFrame.unionByName, sets).groupBy(*key).agg(F.min("via").alias("via"), *(F.first(c).alias(c) for c in others))
         if table in seen:
             new = new.join(reduce(DataFrame.unionByName, seen[table]).select(*key), key, "left_anti")
@@ -199,17 +227,17 @@ def closure(model: RelationalModel, root: str, keys: DataFrame, child_depth: int
             for table, new in frontier.items():
                 level.setdefault(table, []).append(new)
                 for fk in model.parents(table):
-                    above = _with_values(rows_of(fk.parent), fk.ref_columns, _values(_references(model, fk, new), fk.columns))
+                    above = _with_values(rows_of(fk.parent), fk.ref_columns, _values(referencing(model, fk, new), fk.columns))
                     found.setdefault(fk.parent, []).append(above.withColumn("via", F.lit(fk.name)))
             frontier = fresh(found, depth)
         if depth < child_depth:
             found = {}
             for table, sets in level.items():
                 for fk in model.children(table):
-                    below = _with_values(_references(model, fk, rows_of(fk.child)), fk.columns, _values(first(sets), fk.ref_columns))
-                    if child_limit is not None:
-                        place = F.row_number().over(Window.partitionBy(*fk.columns).orderBy(*model.table(fk.child).key))
-                        below = below.withColumn("_place", place).where(F.col("_place") <= (child_limit if child_limit > 0 else CHILD_LIMIT)).drop("_place")
+                    held = index.children(fk) if index else None
+                    values = _values(first(sets), fk.ref_columns)
+                    below = first([_with_values(rows, fk.columns, values) for rows in held or [referencing(model, fk, rows_of(fk.child))]])
+                    below = capped(below, list(fk.columns), list(model.table(fk.child).key), child_limit)
                     found.setdefault(fk.child, []).append(below.withColumn("via", F.lit(fk.name)))
             frontier = fresh(found, depth + 1)
     for table, rows in links.items():

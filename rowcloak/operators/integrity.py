@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from ..model import ForeignKey, ModelError, RelationalModel
 
@@ -194,17 +195,47 @@ def soft_keys(model: RelationalModel) -> DataFrame:
         "guess", F.regexp_extract("guess", r"^(.*?)[^.]*$", 1).alias("place"), F.regexp_extract("guess", r"([^.]*)$", 1).alias("n"))
     named = targets.select("guess", "place", F.explode(F.array("n", F.regexp_replace("n", "s$", ""), F.regexp_replace("n", "es$", ""))).alias("base")).distinct()
     pairs = asked.join(named, ["base", "place"])
-    measured = [spark.createDataFrame([], "table_name string, column_name string, guess string, inclusion double")]
-    for r in pairs.collect():  # as many as the schema has such names
-        found = inclusion_profile(model, r.table_name, r.column_name, r.guess, model.table(r.guess).pk[0])
-        measured.append(found.select(F.lit(r.table_name).alias("table_name"), F.lit(r.column_name).alias("column_name"), F.lit(r.guess).alias("guess"), F.col("ratio").alias("inclusion")))
-    share = reduce(DataFrame.unionByName, measured)
+    asked_for = [(r.table_name, r.column_name, r.guess, model.table(r.guess).pk[0]) for r in pairs.collect()]  # as many as the schema has such names
+    share = inclusions(model, asked_for).select("table_name", "column_name", "guess", F.col("ratio").alias("inclusion"))
     best = pairs.join(share, ["table_name", "column_name", "guess"], "left").groupBy("table_name", "column_name").agg(
         F.min(F.struct((-F.coalesce("inclusion", F.lit(0.0))).alias("less"), "guess", "inclusion")).alias("b"))
     return (asked.join(best, ["table_name", "column_name"], "left").join(types, ["table_name", "base"], "left")
             .select("table_name", "column_name", "b.guess", "type_column", "b.inclusion"))
 
 
+def _cells(model: RelationalModel, columns: set[tuple[str, str]], role: str, number: dict[tuple[str, str], int]) -> list[DataFrame]:
+    """(role, column, v) of the distinct values of columns: one scan for each table that has some."""
+    out = []
+    for t in sorted({t for t, _ in columns}):
+        df = model.table(t).df
+        as_text = lambda c: (F.col(f"`{c}`").cast("decimal(38,10)") if isinstance(df.schema[c].dataType, NumericType) else F.col(f"`{c}`")).cast("string")  # noqa: B023, E731
+        cells = F.array(*(F.struct(F.lit(number[t, c]).alias("column"), as_text(c).alias("v")) for _, c in sorted(x for x in columns if x[0] == t)))
+        out.append(df.select(F.inline(cells)).where("v is not null").distinct().select(F.lit(role).alias("role"), "column", "v"))
+    return out
+
+
+def inclusions(model: RelationalModel, pairs: list[tuple[str, str, str, str]]) -> DataFrame:
+    """(table_name, column_name, guess, n_distinct, n_contained, ratio) of pairs (child, column, parent, its column), all at once.
+
+    An inverted index from value to the columns that have it: each table is read once for its
+    columns, whose distinct values meet in one shuffle; a value then has at most a row for each
+    column of the schema, so none is hot. Numbers compare by value across types (to ten decimals).
+    A pair whose child column has no value has no row.
+    """
+    spark = next(iter(model.tables.values())).df.sparkSession
+    shape = "table_name string, column_name string, guess string, n_distinct long, n_contained long, ratio double"
+    if not pairs:
+        return spark.createDataFrame([], shape)
+    asking, asked = {(a, b) for a, b, _, _ in pairs}, {(c, d) for _, _, c, d in pairs}
+    number = {x: i for i, x in enumerate(sorted(asking | asked))}
+    index = reduce(DataFrame.unionByName, [*_cells(model, asking, "child", number), *_cells(model, asked, "parent", number)]).groupBy("v").agg(
+        F.collect_set(F.when(F.col("role") == "child", F.col("column"))).alias("children"), F.collect_set(F.when(F.col("role") == "parent", F.col("column"))).alias("parents"))
+    wanted = spark.createDataFrame([(a, b, c, number[a, b], number[c, d]) for a, b, c, d in pairs], "table_name string, column_name string, guess string, child int, parent int")
+    held = index.select(F.explode("children").alias("child"), "parents").join(F.broadcast(wanted), "child")  # a row for each pair of the schema
+    return held.groupBy("table_name", "column_name", "guess").agg(
+        F.count("*").alias("n_distinct"), F.count(F.when(F.array_contains("parents", F.col("parent")), 1)).alias("n_contained")).withColumn("ratio", F.col("n_contained") / F.col("n_distinct"))
+
+
 def inclusion_profile(model: RelationalModel, child: str, column: str, parent: str, ref_column: str, by: str | None = None) -> DataFrame:
     """How many distinct values of a column are values of a possible parent's, for each ``by`` value."""
     keys = [F.col(by).alias("discriminator")] if by else [F.lit(None).cast("string").alias("discriminator")]

@@ -4,28 +4,107 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType, StructField
 
 from ..model import RelationalModel, TableSpec
 from .masking import Classifier, recommend
 
 
+def _comparable(f: StructField) -> Column:
+    """The column as something that can be counted by value."""
+    c = F.col(f"`{f.name}`")
+    return F.when(c.isNotNull(), F.to_json(F.struct(c))) if f.dataType.typeName() in ("array", "map", "struct", "variant") else c
+
+
+def _is_text(f: StructField) -> bool:
+    return f.dataType.typeName() in ("string", "varchar")
+
+
 def profile_frame(df: DataFrame, name: str) -> DataFrame:
-    """(table_name, column_name, type, n_rows, n_null, n_distinct, max_length) of each column.
+    """(table_name, column_name, type, n_rows, n_null, n_distinct, max_length) of each column, exact.
 
-    Each column is counted by value in its own type from a scan of that column alone.
+    One scan of the table: a row goes on once for each column, with that column's value in its own
+    type, and distinct values are counted after a partial aggregation. ``ProfileStore`` estimates
+    them from sketches instead, and reads each file once.
     """
-    out = []
-    for f in df.schema:
-        c = F.col(f"`{f.name}`")
-        v = F.to_json(F.struct(c)) if f.dataType.typeName() in ("array", "map", "struct", "variant") else c
-        values = df.groupBy(F.when(c.isNotNull(), v).alias("v")).agg(F.count("*").alias("n"))
-        longest = F.max(F.length("v")).cast("long") if f.dataType.typeName() in ("string", "varchar") else F.lit(None).cast("long")
-        out.append(values.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows"), F.coalesce(F.sum(F.when(F.col("v").isNull(), F.col("n"))), F.lit(0)).alias("n_null"),
-                              F.count("v").alias("n_distinct"), longest.alias("max_length")).select(
-            F.lit(name).alias("table_name"), F.lit(f.name).alias("column_name"), F.lit(f.dataType.simpleString()).alias("type"), "n_rows", "n_null", "n_distinct", "max_length"))
-    return reduce(DataFrame.unionByName, out)
+    fields = df.schema.fields
+    own = df.select(*(_comparable(f).alias(f"v{i}") for i, f in enumerate(fields)))
+    aggs = [x for i, f in enumerate(fields) for x in (
+        F.count(f"v{i}").alias(f"set{i}"), F.count_distinct(f"v{i}").alias(f"distinct{i}"),
+        (F.max(F.length(f"v{i}")).cast("long") if _is_text(f) else F.lit(None).cast("long")).alias(f"longest{i}"))]
+    facts = own.agg(F.count("*").alias("n"), *aggs)
+    rows = [F.struct(F.lit(f.name).alias("column_name"), F.lit(f.dataType.simpleString()).alias("type"), F.col("n").alias("n_rows"), (F.col("n") - F.col(f"set{i}")).alias("n_null"),
+                     F.col(f"distinct{i}").alias("n_distinct"), F.col(f"longest{i}").alias("max_length")) for i, f in enumerate(fields)]
+    return facts.select(F.lit(name).alias("table_name"), F.inline(F.array(*rows)))
+
+
+class ProfileStore:
+    """Profiles that grow with their tables: what one scan of a file says is kept, and merged for the table.
+
+    For each file and column the store has counts, bounds, the greatest length, a HyperLogLog sketch of the
+    values and, for numbers, a KLL sketch of their distribution; sketches of files merge to those of all.
+    Files are told by their paths, so a file that is there must not change. Rows of files that are
+    gone don't count.
+    """
+
+    def __init__(self, path: str):
+        self.path = path.rstrip("/")
+
+    def _table(self, name: str) -> str:
+        return f"{self.path}/{name}"
+
+    def _known(self, spark: SparkSession, name: str) -> DataFrame | None:
+        try:
+            return spark.read.parquet(self._table(name))
+        except AnalysisException:  # nothing was kept yet
+            return None
+
+    def update(self, df: DataFrame, name: str) -> list[str]:
+        """Read the files of ``df``, a table of files, that the store doesn't have; their paths come back."""
+        spark = df.sparkSession
+        known = self._known(spark, name)
+        held = {r.file for r in known.select("file").distinct().collect()} if known is not None else set()
+        new = sorted(set(df.inputFiles()) - held)
+        if new:
+            self._facts(spark.read.schema(df.schema).parquet(*new)).write.mode("append").parquet(self._table(name))
+        return new
+
+    @staticmethod
+    def _facts(df: DataFrame) -> DataFrame:
+        fields = df.schema.fields
+        own = df.select(F.input_file_name().alias("file"), *(_comparable(f).alias(f"v{i}") for i, f in enumerate(fields)))
+        aggs, rows = [F.count("*").alias("n")], []
+        for i, f in enumerate(fields):
+            v, number = F.col(f"v{i}"), isinstance(f.dataType, NumericType)
+            low, high = (x(v).cast("string") if f.dataType.typeName() != "binary" else F.lit(None).cast("string") for x in (F.min, F.max))
+            counted = v if f.dataType.typeName() in ("byte", "short", "integer", "long", "string", "binary") or _is_text(f) else v.cast("string")
+            counted = counted.cast("int") if f.dataType.typeName() in ("byte", "short") else counted
+            aggs += [F.count(v).alias(f"set{i}"), low.alias(f"low{i}"), high.alias(f"high{i}"), F.hll_sketch_agg(counted, F.lit(14)).alias(f"hll{i}"),
+                     (F.max(F.length(v)).cast("long") if _is_text(f) else F.lit(None).cast("long")).alias(f"longest{i}"),
+                     (F.kll_sketch_agg_double(v.cast("double")) if number else F.lit(None).cast("binary")).alias(f"kll{i}")]
+            rows.append(F.struct(F.lit(f.name).alias("column_name"), F.lit(f.dataType.simpleString()).alias("type"), F.col("n").alias("n_rows"), (F.col("n") - F.col(f"set{i}")).alias("n_null"),
+                                 F.col(f"low{i}").alias("low"), F.col(f"high{i}").alias("high"), F.col(f"longest{i}").alias("max_length"), F.col(f"hll{i}").alias("hll"), F.col(f"kll{i}").alias("kll")))
+        return own.groupBy("file").agg(*aggs).select("file", F.inline(F.array(*rows)))
+
+    def profile(self, df: DataFrame, name: str) -> DataFrame:
+        """(table_name, column_name, type, n_rows, n_null, n_distinct, max_length, quartiles) of the files of ``df`` that the store has.
+
+        n_distinct is an estimate (1 % standard error); quartiles are of numbers only. No row of the table is read.
+        """
+        spark = df.sparkSession
+        known = self._known(spark, name)
+        if known is None:
+            raise ValueError(f"the store has nothing on {name}")
+        there = spark.createDataFrame([(f,) for f in df.inputFiles()], "file string")
+        merged = known.join(there, "file", "left_semi").groupBy("column_name", "type").agg(
+            F.sum("n_rows").alias("n_rows"), F.sum("n_null").alias("n_null"), F.hll_sketch_estimate(F.hll_union_agg("hll")).alias("n_distinct"),
+            F.max("max_length").alias("max_length"), F.kll_merge_agg_double("kll").alias("kll"), F.max(F.col("kll").isNotNull()).alias("number"))
+        some = F.col("number") & (F.col("n_null") < F.col("n_rows"))
+        points = F.when(some, F.kll_sketch_get_quantile_double("kll", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))))
+        return merged.select(F.lit(name).alias("table_name"), "column_name", "type", "n_rows", "n_null", "n_distinct", "max_length", points.alias("quartiles"))
 
 
 def profile(model: RelationalModel) -> DataFrame:

@@ -26,8 +26,9 @@ def scan_frame(df: DataFrame, name: str, key: list[str], checks=CHECKS, ignore=(
     """Findings of one DataFrame; the sample is that of the first match by ``key``.
 
     One pass: each check runs once on each cell, only hits go on to be counted. ``sample`` caps the
-    matches that are looked for, for each column and check: every task stops at so many, so the
-    count is exact up to the cap and the sample is that of any of the matches found.
+    matches for each column and check to the first by ``key``, so the count is exact up to the cap;
+    every task keeps no more than so many of its own before they meet (up to Spark's limit for that,
+    1,000).
     """
     columns = [c for c in text_columns(df) if not {f"{name}.{c}", c, f"{name.rpartition('.')[2]}.{c}"} & set(ignore)]
     if not columns or not checks:
@@ -39,10 +40,10 @@ def scan_frame(df: DataFrame, name: str, key: list[str], checks=CHECKS, ignore=(
         return F.struct(F.lit(c).alias("column_name"), F.lit(check.kind).alias("kind"), redact_sample(text).alias("sample"))
 
     hit = lambda c, check: matches(F.col(c).cast("string"), check, token_level)
+    found = df.select(at.alias("at"), F.inline(F.array_compact(F.array(*(F.when(hit(c, k), cell(c, k)) for c in columns for k in checks)))))
     if sample:
-        found = reduce(DataFrame.unionByName, (df.where(hit(c, k)).limit(sample).select(at.alias("at"), cell(c, k).alias("x")).select("at", "x.*") for c in columns for k in checks))
-    else:
-        found = df.select(at.alias("at"), F.inline(F.array_compact(F.array(*(F.when(hit(c, k), cell(c, k)) for c in columns for k in checks)))))
+        nth = F.row_number().over(Window.partitionBy("column_name", "kind").orderBy("at", "sample"))
+        found = found.withColumn("_nth", nth).where(F.col("_nth") <= sample).drop("_nth")
     out = found.groupBy("column_name", "kind").agg(F.count("*").alias("matches"), F.min(F.struct("at", "sample")).alias("s"))
     return out.select(F.lit(name).alias("table_name"), "column_name", "kind", "matches", F.col("s.sample").alias("sample"))
 

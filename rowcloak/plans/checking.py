@@ -14,7 +14,7 @@ from ..model import ForeignKey, RelationalModel, TableSpec
 from ..operators.closure import closure, read_slice, root_keys
 from ..operators.integrity import break_candidates, break_cycle, inclusion_profile, orphan_counts, restore_cycle, soft_keys, suggest_root
 from ..operators.masking import Classifier, rule_plan
-from ..operators.profile import check_keys, discover_unique, profile
+from ..operators.profile import ProfileStore, check_keys, discover_unique, profile
 from ..operators.scan import canary_counts, matching_rows, scan, scan_frame
 from ..operators.slicing import slice_model, slice_summary, sliced
 from ..scratch import scratch_path
@@ -22,7 +22,7 @@ from ..sources.commits import read_tables
 from ..sources.script import insert_statements
 from ..sources.sinks import each_table, next_key_values, target_status, write_slice, write_summaries
 from ..sources.tables import STAR_FKS, full_model, load_tables, star_model, STAR, TEXTS
-from ..streaming.streams import mask_stream, scan_stream
+from ..streaming.streams import latest_findings, mask_stream, running_scan, scan_stream
 from .masking import SEED, SQL as MASK_SQL
 from .selection import _LINE as LINE, _ORDER as ORDER, ROOT, closure_sql
 
@@ -155,6 +155,23 @@ def profiled(spark, d):
     return profile(star_model(spark, d)).select("table_name", "column_name", "n_rows", "n_null", "n_distinct", "max_length")
 
 
+def stored_profile(spark, d):
+    """A table's profile from sketches: half of its files first, then the others, of which only those are read."""
+    path, store = scratch_path(spark, "orders"), ProfileStore(scratch_path(spark, "profiles"))
+    orders = spark.read.parquet(f"{d}/orders.parquet")
+    orders.where("o_orderkey % 2 = 0").repartition(3).write.parquet(path)
+    first = store.update(spark.read.parquet(path), "orders")
+    orders.where("o_orderkey % 2 <> 0").repartition(2).write.mode("append").parquet(path)
+    second = store.update(spark.read.parquet(path), "orders")
+    if set(first) & set(second) or store.update(spark.read.parquet(path), "orders"):
+        raise AssertionError("files were read twice")
+    exact = {c: F.count_distinct(c).alias(c) for c in orders.columns}
+    truth = orders.agg(*exact.values()).select(F.inline(F.array(*(F.struct(F.lit(c).alias("column_name"), F.col(c).alias("truth")) for c in exact))))
+    got = store.profile(spark.read.parquet(path), "orders").join(truth, "column_name")
+    near = F.abs(F.col("n_distinct") - F.col("truth")) <= 1 + 0.05 * F.col("truth")
+    return got.select("table_name", "column_name", "type", "n_rows", "n_null", "max_length", near.cast("string").alias("near"))
+
+
 _STRINGS = {"r_name", "n_name", "c_name", "c_mktsegment", "s_name", "p_name", "p_brand", "p_type", "o_orderstatus", "o_orderpriority", "l_returnflag", "l_linestatus", "event_type", "props"}
 _COLUMNS = {
     "region": "r_regionkey r_name", "nation": "n_nationkey n_name n_regionkey", "customer": "c_custkey c_name c_nationkey c_acctbal c_mktsegment",
@@ -299,6 +316,16 @@ def stream_scan(spark, d):
     return found.groupBy("table_name", "column_name", "kind").agg(F.sum("matches").alias("matches"))
 
 
+def stream_running(spark, d):
+    """Findings of a stream so far, after three batches."""
+    path, source = scratch_path(spark, "running"), scratch_path(spark, "three")
+    docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text")
+    docs.repartition(3, "doc_id").write.parquet(source)
+    stream = spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    _run(running_scan(stream, "documents", ["doc_id"], path).option("checkpointLocation", f"{path}-state"))
+    return latest_findings(spark, path)
+
+
 QUERIES = {f"scan_{check.kind.replace(' ', '_')}": (scan_kind(check), f"WITH d AS (SELECT doc_id, {_text_of(check.kind, True)} AS text FROM documents) SELECT doc_id, {sample_sql()} AS sample FROM d WHERE {match_sql(check)}") for check in [*CHECKS, *CUSTOM]} | {
     "scan_capped": (scan_capped, "SELECT table_name, column_name, kind, least(matches, 3) AS matches FROM (" + " UNION ALL ".join(_finding_sql("documents", c, "doc_id", check) for c in ("text", "lang", "source") for check in CHECKS) + ") WHERE matches > 0"),
     "written_append": (written_append, "SELECT o_orderstatus, count(*) AS n_orders, sum(o_orderkey)::BIGINT AS keys FROM orders GROUP BY 1"),
@@ -327,6 +354,10 @@ QUERIES = {f"scan_{check.kind.replace(' ', '_')}": (scan_kind(check), f"WITH d A
     "inclusion_profile": (inclusion, "SELECT event_type AS discriminator, count(DISTINCT user_id) AS n_distinct, count(DISTINCT CASE WHEN user_id IN (SELECT c_custkey FROM customer) THEN user_id END) AS n_contained, count(DISTINCT CASE WHEN user_id IN (SELECT c_custkey FROM customer) THEN user_id END) / count(DISTINCT user_id) AS ratio FROM events WHERE user_id IS NOT NULL GROUP BY 1"),
     "suggest_root": (roots, " UNION ALL ".join(f"SELECT '{t}' AS table_name, {dict(region=1, nation=2, customer=102, supplier=1, part=1, orders=1, documents=1).get(t, 0)}::BIGINT AS score, count(*) AS n_rows FROM {t}" for t in (STAR | TEXTS))),
     "profile_columns": (profiled, _profile_sql()),
+    "stored_profile": (stored_profile, " UNION ALL ".join(
+        f"SELECT 'orders' AS table_name, '{c}' AS column_name, '{k}' AS type, count(*) AS n_rows, count(*) FILTER ({c} IS NULL) AS n_null, {f'max(length({c}))' if c in _STRINGS else 'NULL::BIGINT'} AS max_length, 'true' AS near FROM orders"
+        for c, k in zip(_COLUMNS["orders"].split(), ("bigint", "bigint", "string", "double", "timestamp_ntz", "string")))),
+    "stream_running": (stream_running, "SELECT table_name, column_name, kind, matches, sample FROM (" + " UNION ALL ".join(_finding_sql("documents", "text", "doc_id", c) for c in CHECKS) + ") WHERE matches > 0"),
     "check_keys": (keys_checked, " UNION ALL ".join(
         f"SELECT '{t}' AS table_name, '{','.join(k)}' AS key, sum(n)::BIGINT AS n_rows, count(*) AS n_distinct, coalesce(sum(n) FILTER ({' OR '.join(f'{c} IS NULL' for c in k)}), 0)::BIGINT AS n_null, (sum(n) = count(*) AND coalesce(sum(n) FILTER ({' OR '.join(f'{c} IS NULL' for c in k)}), 0) = 0)::VARCHAR AS holds FROM (SELECT {', '.join(k)}, count(*) AS n FROM {t} GROUP BY ALL)"
         for t, k in _KEYS)),

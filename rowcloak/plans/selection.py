@@ -10,6 +10,7 @@ from ..operators.closure import child_keys, closure, keyset_counts, load_keys, p
 from ..operators.integrity import edges, orphan_counts
 from ..operators.slicing import partition_rollup, slice_summary
 from ..scratch import scratch_path
+from ..sources.indexes import build_indexes, open_indexes
 from ..sources.tables import EVENTS_FK, STAR_FKS, full_model, logical_table, star_model
 
 ROOT = "c_mktsegment = 'BUILDING' and c_acctbal > 9000"
@@ -54,6 +55,31 @@ def child_keys_capped(spark, d):
     return child_keys_of_customers(spark, d, 5)
 
 
+def hot_parent_capped(spark, d):
+    """Line items under one of two parents each, at most 700 of either: a parent's children lie in many tasks."""
+    m = star_model(spark, d)
+    items = m.table("lineitem").df.select("l_linestatus", F.concat_ws("-", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber").alias("item")).distinct()
+    states = TableSpec("states", items.select("l_linestatus").distinct(), ("l_linestatus",))
+    fk = ForeignKey("items", ("l_linestatus",), "states", ("l_linestatus",))
+    m = RelationalModel([TableSpec("items", items, ("item",)), states], [fk])
+    return child_keys(m, fk, root_keys(m, "states", limit=None), 700)
+
+
+def closure_indexed(spark, d):
+    """The closure with the children of customers and orders taken from reverse indexes."""
+    m, folder = star_model(spark, d), scratch_path(spark, "index")
+    build_indexes(m, folder, [f for f in m.fks if f.parent in ("customer", "orders")], rows=20_000)
+    keys = closure(m, "customer", _keys(m, "customer", ROOT), 1, child_limit=None, index=open_indexes(spark, m, folder))
+    return keyset_counts(keys)
+
+
+def closure_self(spark, d):
+    """Customers that report to others of their own table, followed to the top."""
+    c = spark.read.parquet(f"{d}/customer.parquet").select("c_custkey", "c_nationkey", F.when(F.col("c_custkey") > 0, F.floor(F.col("c_custkey") / 2)).cast("long").alias("boss"))
+    m = RelationalModel([TableSpec("customer", c, ("c_custkey",))], [ForeignKey("customer", ("boss",), "customer", ("c_custkey",))])
+    return closure(m, "customer", _keys(m, "customer", "c_nationkey = 7"), 0)["customer"].select("c_custkey", "depth")
+
+
 def composite_fk_parents(spark, d):
     turns = spark.read.parquet(f"{d}/conversations.parquet")
     replies = turns.select(F.col("conv_id").alias("in_conv"), F.col("turn").alias("at"), (F.col("turn") - 1).alias("of_turn"))
@@ -200,6 +226,11 @@ QUERIES = {
     "parent_keys_unique_ref": (parent_keys_unique_ref, "SELECT DISTINCT c_custkey FROM customer WHERE c_name IN (SELECT c.c_name FROM orders JOIN customer c ON o_custkey = c.c_custkey WHERE o_orderstatus = 'F')"),
     "child_keys": (child_keys_of_customers, "SELECT o_orderkey FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_nationkey = 3"),
     "child_keys_capped": (child_keys_capped, "SELECT o_orderkey FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_nationkey = 3 QUALIFY row_number() OVER (PARTITION BY c_custkey ORDER BY o_orderkey) <= 5"),
+    "hot_parent_capped": (hot_parent_capped, """SELECT item FROM (SELECT DISTINCT l_linestatus, concat_ws('-', l_orderkey, l_partkey, l_suppkey, l_linenumber) AS item FROM lineitem)
+        QUALIFY row_number() OVER (PARTITION BY l_linestatus ORDER BY item) <= 700"""),
+    "closure_indexed": (closure_indexed, _counts_sql(1)),
+    "closure_self": (closure_self, """WITH RECURSIVE w(k) AS (SELECT c_custkey FROM customer WHERE c_nationkey = 7
+            UNION SELECT c.c_custkey FROM w JOIN customer c ON k > 0 AND c.c_custkey = k // 2) SELECT k AS c_custkey, 0 AS depth FROM w"""),
     "composite_fk_parents": (composite_fk_parents, "SELECT DISTINCT p.conv_id, p.turn FROM conversations p JOIN conversations r ON r.conv_id = p.conv_id AND r.turn - 1 = p.turn WHERE r.turn > 1"),
     "virtual_key_when": (virtual_key_when, "SELECT DISTINCT c_custkey FROM customer JOIN events ON user_id = c_custkey WHERE event_type = 'purchase' AND value > 10"),
     "closure_depth0": (closure_counts(0), _counts_sql(0)),
