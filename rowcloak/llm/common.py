@@ -15,9 +15,14 @@ BITMAP_BITS = 32768  # bits in one bitmap of bitmap_construct_agg (a fixed value
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh path in the shared folder the cluster names in ``spark.checkpoint.dir``.
 
-    Where the setting is absent (tests, a laptop) a local folder is used instead.
+    Where the setting is absent (tests, a laptop) a local folder is used instead, which on a cluster
+    would be another one for each executor, so there it is an error.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = "/tmp/checkpoints"
     return f"{root.rstrip('/')}/rowcloak/{label}-{uuid.uuid4().hex}"
 
 

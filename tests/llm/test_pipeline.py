@@ -53,3 +53,25 @@ def test_stages_keep_the_columns(spark, case):
         assert counts == [0] * 4 and not pieces
     else:
         assert counts == [5, 5, 4, 4] and {r.doc_id for r in pieces} == {1, None, 6, 7}
+
+
+def test_languages_to_keep(spark):
+    rows = [(i, t, k) for i, (t, k) in enumerate([("guten tag mein lieber freund", "de"), ("hello my good old friend", "en"), ("bonjour mon cher ami", "fr")] * 4)]
+    docs = spark.createDataFrame([*rows, (99, "12 34", "de")], "doc_id long, text string, lang string")
+    kept = lambda **more: {r.lang for r in P.language(spark, docs, "", **more).collect()}
+    assert kept() == {"de", "en", "fr"} and kept(languages={"de", "xx"}) == {"de"} and kept(languages=set()) == set()
+    assert kept(least_score=1.1) == set() and P.language(spark, docs, "").count() == 12
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from rowcloak.llm.common import scratch_path
+
+    class Conf(dict):
+        def get(self, key, default=None):
+            return super().get(key, default)
+
+    class Session:
+        conf = Conf({"spark.master": "yarn"})
+
+    with pytest.raises(ValueError, match="checkpoint"):
+        scratch_path(Session, "x")
