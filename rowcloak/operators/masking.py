@@ -14,6 +14,7 @@ from ..functions.rules import FIRST_NAMES, INT_BOUNDS, LAST_NAMES, STREETS, Unsu
 from ..model import ModelError, RelationalModel, TableSpec
 from ..scratch import counted, materialise
 
+SALTS = 4  # salts of the first block
 MAX_SALT = 999
 #: How many values a rule can give, whatever the salt; for the others a salt always finds more.
 DOMAINS = {"first_name": len(FIRST_NAMES), "last_name": len(LAST_NAMES), "name": len(FIRST_NAMES) * len(LAST_NAMES), "ip": 254,
@@ -127,11 +128,29 @@ def domain(rule: str, kind, max_len: int | None = None) -> int:
     return room
 
 
+def _settled(tries: DataFrame, order: list[str], names: list[str]) -> DataFrame:
+    """(order, names, _salt): which of its tries each row gets, by deferred acceptance.
+
+    A row wants its lowest salt; of the rows that want a value it goes to the lowest salt, then the
+    first in order, and the others give that try up, until no value is wanted twice. The outcome is
+    that of trying salt after salt, since a later salt never takes a value from an earlier one.
+    """
+    place = F.struct(*order)
+    while True:
+        wish = tries.groupBy(*order).agg(F.min(F.struct("_salt", *names)).alias("_w")).select(*order, "_w.*")
+        best = wish.groupBy(*names).agg(F.min(F.struct(F.col("_salt"), place.alias("_place"))).alias("_b"), F.count("*").alias("_n"))
+        lost, n = counted(wish.join(best.where("_n > 1"), names).where((F.col("_b._salt") != F.col("_salt")) | (F.col("_b._place") != place)).select(*order, "_salt"), "unique-lost")
+        if not n:
+            return materialise(wish, "unique-won")
+        tries = materialise(tries.join(lost, [*order, "_salt"], "left_anti"), "unique")
+
+
 def mask_unique(df: DataFrame, columns: list[str], rules: dict[str, str], order: list[str], seed: str, **types) -> DataFrame:
     """``df`` with ``columns`` masked so that their values stay unique together.
 
     Every row starts with salt 0; of rows with equal masked values the first in ``order`` (a key)
     keeps its own, the others try the next salt, against each other and all values kept before.
+    They try blocks of salts that double in size, so passes grow with the logarithm of the salts needed.
     Rows with a null in a column are exempt. ``types`` maps a column to keyword arguments of mask.
     Only rows whose masked value occurs twice go into the passes; each is decided by a minimum for
     each value and joins on the key, so a value that all rows share (a constant rule) is no hot group.
@@ -154,19 +173,22 @@ def mask_unique(df: DataFrame, columns: list[str], rules: dict[str, str], order:
         return df.withColumn("_salt", F.lit(0)).withColumns(put).select(*df.columns)
     losers = at_first.join(twice, names).where(place != F.col("_first")).select(*order)
     pending = materialise(whole.join(losers, order, "left_semi"), "unique-left")
-    salts: list[DataFrame] = []
-    for salt in range(1, MAX_SALT + 1):
-        best = pending.select(*order, *masked(pending, salt)).groupBy(*names).agg(F.min(place).alias("_first"))
-        for kept in (at_first, *salts):
-            best = best.join(kept.select(*names), names, "left_anti")
-        won = materialise(best.select("_first.*", *names, F.lit(salt).alias("_salt")), "unique")
-        salts.append(won)
-        pending, left = counted(pending.join(won.select(*order), order, "left_anti"), "unique-left")
+    won: list[DataFrame] = []
+    lo = 1
+    while lo <= MAX_SALT:
+        block = range(lo, min(MAX_SALT, 2 * lo + SALTS - 2) + 1)
+        tries = pending.select(*order, F.inline(F.array(*(F.struct(F.lit(s).alias("_salt"), *masked(pending, s)) for s in block))))
+        for kept in (at_first, *won):
+            tries = tries.join(kept.select(*names), names, "left_anti")
+        now = _settled(materialise(tries, "unique"), order, names)
+        won.append(now)
+        pending, left = counted(pending.join(now.select(*order), order, "left_anti"), "unique-left")
         if not left:
             break
+        lo = block[-1] + 1
     else:
         raise ModelError(f"no {MAX_SALT} salts keep {columns} unique under {[rules[c] for c in columns]}")
-    found = reduce(DataFrame.unionByName, salts).select(*order, "_salt")
+    found = reduce(DataFrame.unionByName, won).select(*order, "_salt")
     return df.join(found, order, "left").withColumn("_salt", F.coalesce("_salt", F.lit(0))).withColumns(put).select(*df.columns)
 
 

@@ -61,7 +61,7 @@ def hot_parent_capped(spark, d):
     items = m.table("lineitem").df.select("l_linestatus", F.concat_ws("-", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber").alias("item")).distinct()
     states = TableSpec("states", items.select("l_linestatus").distinct(), ("l_linestatus",))
     fk = ForeignKey("items", ("l_linestatus",), "states", ("l_linestatus",))
-    m = RelationalModel([TableSpec("items", items, ("item",)), states], [fk])
+    m = RelationalModel([TableSpec("items", items, ("l_linestatus", "item")), states], [fk])
     return child_keys(m, fk, root_keys(m, "states", limit=None), 700)
 
 
@@ -226,7 +226,7 @@ QUERIES = {
     "parent_keys_unique_ref": (parent_keys_unique_ref, "SELECT DISTINCT c_custkey FROM customer WHERE c_name IN (SELECT c.c_name FROM orders JOIN customer c ON o_custkey = c.c_custkey WHERE o_orderstatus = 'F')"),
     "child_keys": (child_keys_of_customers, "SELECT o_orderkey FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_nationkey = 3"),
     "child_keys_capped": (child_keys_capped, "SELECT o_orderkey FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_nationkey = 3 QUALIFY row_number() OVER (PARTITION BY c_custkey ORDER BY o_orderkey) <= 5"),
-    "hot_parent_capped": (hot_parent_capped, """SELECT item FROM (SELECT DISTINCT l_linestatus, concat_ws('-', l_orderkey, l_partkey, l_suppkey, l_linenumber) AS item FROM lineitem)
+    "hot_parent_capped": (hot_parent_capped, """SELECT l_linestatus, item FROM (SELECT DISTINCT l_linestatus, concat_ws('-', l_orderkey, l_partkey, l_suppkey, l_linenumber) AS item FROM lineitem)
         QUALIFY row_number() OVER (PARTITION BY l_linestatus ORDER BY item) <= 700"""),
     "closure_indexed": (closure_indexed, _counts_sql(1)),
     "closure_self": (closure_self, """WITH RECURSIVE w(k) AS (SELECT c_custkey FROM customer WHERE c_nationkey = 7

@@ -191,3 +191,30 @@ def test_writer_leaves_nothing_of_lost_tasks(tmp_path):
     other.abort([other.write(iter([Row("a", 0, "y;")]))])
     assert len([n for n in os.listdir(tmp_path / "s") if os.path.isdir(tmp_path / "s" / n)]) == 1
     assert list(statements_of(iter(["a ';\n", "' \"';\n", "\";\n", "b;\n", "c"]))) == ["a ';\n' \"';\n\";", "b;", "c"]
+
+
+def test_salts_like_one_after_another(spark):
+    """Blocks of salts and deferred acceptance give what trying each salt in turn gives."""
+    from rowcloak.functions.rules import mask
+    from rowcloak.operators.masking import mask_unique
+
+    n = 130
+    df = spark.range(n).selectExpr("id", "concat('name', id) as t")
+    types = {"t": {"max_len": 7}}  # email's beginning and two digits: 256 values
+    tables = {s: {r.id: r.m for r in df.select("id", mask(F.col("t"), "email", df.schema["t"].dataType, "s", salt=s, max_len=7).alias("m")).collect()} for s in range(14)}
+    held, got = set(tables[0].values()), {}
+    for i in sorted(tables[0]):
+        got.setdefault(tables[0][i], i)
+    result = {i: m for m, i in got.items()}
+    pending = [i for i in range(n) if i not in result]
+    for s in range(1, 14):
+        best = {}
+        for i in pending:
+            if tables[s][i] not in held:
+                best.setdefault(tables[s][i], i)
+        held |= set(best)
+        result |= {i: m for m, i in best.items()}
+        pending = [i for i in pending if i not in result]
+    assert not pending and len({*tables[0].values()}) < n
+    out = {r.id: r.t for r in mask_unique(df, ["t"], {"t": "email"}, ["id"], "s", **types).collect()}
+    assert out == result
