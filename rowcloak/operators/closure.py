@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from ..model import ForeignKey, ModelError, RelationalModel
 from ..scratch import counted, forget, materialise
+from . import filters
+from .filters import ValueFilter
 from .ranking import global_row_number
 
 ROOT_LIMIT, CHILD_LIMIT = 1000, 100_000
@@ -167,8 +169,16 @@ def _values(rows: DataFrame, columns: tuple[str, ...]) -> DataFrame:
     return rows.select(*(F.col(c).alias(f"_r{i}") for i, c in enumerate(columns))).distinct()
 
 
-def _with_values(rows: DataFrame, columns: tuple[str, ...], values: DataFrame) -> DataFrame:
-    same = reduce(lambda a, b: a & b, (rows[c] == values[f"_r{i}"] for i, c in enumerate(columns)))
+def _with_values(rows: DataFrame, columns: tuple[str, ...], values: DataFrame, n: int) -> DataFrame:
+    """The rows that have one of the values, of which there are ``n`` at most.
+
+    Where they are too many for a broadcast join but not for a bitmap, most other rows are left out
+    before anything is shuffled.
+    """
+    refs = [f"_r{i}" for i in range(len(columns))]
+    if filters.FEW <= n <= filters.MANY and all(rows.schema[c].dataType == values.schema[r].dataType for c, r in zip(columns, refs)):
+        rows = ValueFilter(values, refs, n).keep(rows, list(columns))
+    same = reduce(lambda a, b: a & b, (rows[c] == values[r] for c, r in zip(columns, refs)))
     return rows.join(values, same, "left_semi")
 
 
@@ -192,6 +202,7 @@ def closure(model: RelationalModel, root: str, keys: DataFrame, child_depth: int
     root = model.table(root).name
     links: dict[str, DataFrame] = {}
     seen: dict[str, list[DataFrame]] = {}
+    sizes: dict[int, int] = {}  # rows of the rounds' tables, by the frame's identity
 
     def rows_of(table: str) -> DataFrame:
         if table not in links:
@@ -211,7 +222,7 @@ def closure(model: RelationalModel, root: str, keys: DataFrame, child_depth: int
         with ThreadPoolExecutor(4) as pool:
             for table, new, n in pool.map(lambda x: write(*x, depth), sorted(found.items(), key=lambda x: x[0])):
                 if n:
-                    out[table] = new
+                    out[table], sizes[id(new)] = new, n
                     seen.setdefault(table, []).append(new)
         return out
 
@@ -227,7 +238,7 @@ def closure(model: RelationalModel, root: str, keys: DataFrame, child_depth: int
             for table, new in frontier.items():
                 level.setdefault(table, []).append(new)
                 for fk in model.parents(table):
-                    above = _with_values(rows_of(fk.parent), fk.ref_columns, _values(referencing(model, fk, new), fk.columns))
+                    above = _with_values(rows_of(fk.parent), fk.ref_columns, _values(referencing(model, fk, new), fk.columns), sizes[id(new)])
                     found.setdefault(fk.parent, []).append(above.withColumn("via", F.lit(fk.name)))
             frontier = fresh(found, depth)
         if depth < child_depth:
@@ -236,7 +247,8 @@ def closure(model: RelationalModel, root: str, keys: DataFrame, child_depth: int
                 for fk in model.children(table):
                     held = index.children(fk) if index else None
                     values = _values(first(sets), fk.ref_columns)
-                    below = first([_with_values(rows, fk.columns, values) for rows in held or [referencing(model, fk, rows_of(fk.child))]])
+                    n = sum(sizes[id(x)] for x in sets)
+                    below = first([_with_values(rows, fk.columns, values, n) for rows in held or [referencing(model, fk, rows_of(fk.child))]])
                     below = capped(below, list(fk.columns), list(model.table(fk.child).key), child_limit)
                     found.setdefault(fk.child, []).append(below.withColumn("via", F.lit(fk.name)))
             frontier = fresh(found, depth + 1)

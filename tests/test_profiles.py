@@ -110,3 +110,23 @@ def test_index_leaves_its_table_where_it_is(spark, tmp_path):
 def test_child_keys_of_a_hot_parent(spark):
     m = RelationalModel([TableSpec("p", spark.range(2), ("id",)), TableSpec("c", spark.range(50_000).selectExpr("id", "0 as p_id"), ("id",))], [ForeignKey("c", ("p_id",), "p", ("id",))])
     assert child_keys(m, m.fks[0], root_keys(m, "p"), 20_000).agg(F.count("*"), F.max("id")).first() == (20_000, 19_999)
+
+
+def test_filters_leave_rows_out_before_the_shuffle(spark, monkeypatch):
+    from rowcloak.operators import filters
+    from rowcloak.operators.filters import ValueFilter
+
+    big = spark.range(200_000).selectExpr("if(id % 50 = 0, null, id) as v", "cast(id % 3 as string) as w")
+    asked = spark.range(0, 200_000, 100).selectExpr("id + 1 as _r0", "cast((id + 1) % 3 as string) as _r1")
+    kept = ValueFilter(asked, ["_r0", "_r1"], 2_000).keep(big, ["v", "w"])
+    assert kept.columns == ["v", "w"] and "SortMergeJoin" not in plan(kept)
+    n = kept.count()
+    assert 2_000 <= n < 2_000 + 200_000 / 8 and kept.join(asked, (F.col("v") == F.col("_r0")) & (F.col("w") == F.col("_r1"))).count() == 2_000
+    assert ValueFilter(asked.where("false"), ["_r0"], 0).keep(big, ["v"]).count() == 0
+    p, c = spark.range(500), spark.range(5_000).selectExpr("id", "if(id % 9 = 0, null, id % 500) as p_id", "id % 7 as q")
+    m = RelationalModel([TableSpec("p", p, ("id",)), TableSpec("c", c, ("id",))], [ForeignKey("c", ("p_id",), "p", ("id",))])
+    roots = root_keys(m, "p", "id < 40", limit=None)
+    plain = closure(m, "p", roots, 1)["c"].select("id", "depth", "via")
+    monkeypatch.setattr(filters, "FEW", 0)
+    filtered = closure(m, "p", roots, 1)["c"].select("id", "depth", "via")
+    assert plain.exceptAll(filtered).isEmpty() and plain.count() == filtered.count() > 300
