@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions.nested import mask_json, mask_json_schema, mask_nested
+from ..functions.variants import mask_variant
 from ..functions.rules import FIRST_NAMES, LAST_NAMES, STREETS, clamp, mask
 from ..model import RelationalModel, TableSpec
 from ..operators.masking import Classifier, mask_table, mask_unique, recompute_generated, rule_plan, unclassified
@@ -93,6 +94,11 @@ def json_query(spark, d):
     return df.select("c_custkey", mask_json(F.expr(JSON_TEXT), SEED).alias("masked"))
 
 
+def json_variant_query(spark, d):
+    df = _table(spark, d, "customer")
+    return df.select("c_custkey", mask_variant(F.expr(JSON_TEXT), SEED).alias("masked"))
+
+
 def json_schema_query(spark, d):
     schema = StructType([StructField("contact", StructType([StructField("email", StringType())])), StructField("full_name", StringType())])
     return _table(spark, d, "customer").select("c_custkey", mask_json_schema(F.expr(JSON_TEXT), schema, SEED).alias("masked"))
@@ -216,6 +222,7 @@ QUERIES = {f"mask_{rule}": (_masked("customer", "c_custkey", "c_name", rule), f"
     "unique_composite": (unique({"c_name": "email", "c_mktsegment": "secret"}), f"SELECT c_custkey, {SQL['email']} AS c_name, 'REDACTED' AS c_mktsegment FROM customer"),
     "unique_salted": (unique({"c_name": "govid", "c_mktsegment": "last_name"}, c_name={"max_len": 3}), _salted_sql()),
     "mask_json": (json_query, f"SELECT c_custkey, {_JSON_SQL} AS masked FROM customer"),
+    "mask_json_variant": (json_variant_query, f"SELECT c_custkey, {_JSON_SQL} AS masked FROM customer"),
     "mask_json_schema": (json_schema_query, f"""SELECT c_custkey, '{{"contact":{{"email":"user_' || substr({H(_MAIL)}, 1, 16) || '@example.invalid"}},"full_name":"' || {SQL['name']} || '"}}' AS masked FROM customer"""),
     "mask_nested": (nested_query, f"SELECT c_custkey, {SQL['name']} AS display_name, {SQL['email']} AS email, c_custkey AS id, {SQL['phone']} AS phone, c_mktsegment AS other FROM customer"),
     "masked_join": (masked_join, "SELECT c_nationkey, count(*) AS n_orders FROM customer JOIN orders ON o_custkey = c_custkey GROUP BY 1"),
