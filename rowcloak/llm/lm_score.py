@@ -10,11 +10,15 @@ N-grams are 64-bit hashes. A chunk of documents is counted by itself; its sorted
 to buckets by their leading bits, where the corpus counts are summed and sent back to each chunk in
 the order of its hashes. So a shuffle carries each chunk's distinct n-grams once, whatever their
 frequency, and neither the vocabulary nor the counts meet in one place. There is a bucket for every
-few chunks, each in a partition of its own, so that one holds as much whatever the corpus.
+few chunks, so that one holds as much whatever the corpus. Of many chunks each would have little for
+a bucket; so they are merged in blocks of about the square root of their number first, the blocks
+then as if they were chunks, and the counts come back the same way. Rows sent then grow with the
+number of chunks to the power of one and a half, and each has thousands of n-grams.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,6 +31,8 @@ from .common import crc_fold, drop_table, text_of, write_table
 
 ORDER, CHUNK_BYTES, BUCKETS = 2, 8 << 20, 20
 CHUNKS_A_BUCKET = 4  # a bucket gets as many n-grams as this many chunks have
+WIDE = 1024  # more chunks than this are merged in blocks first
+MERGE_TASKS = 20_000  # partitions of a merge at most; a task with several buckets merges one after another
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 START, END = 8, 16  # what stands for the places before a text and for its end, beside word hashes
 
@@ -154,44 +160,87 @@ def _column(t: pa.Table, name: str) -> list:
     return t.column(name).to_pylist()
 
 
-def corpus_counts(chunks: DataFrame, order: int, buckets: int) -> DataFrame:
-    """(chunk, bucket, kept, trained, n, v): the corpus counts of each chunk's distinct hashes.
+def _by_bucket(u: np.ndarray, counts: list[np.ndarray], buckets: int) -> Iterator[tuple]:
+    """(bucket, hashes, counts ...) of sorted hashes: a row at most for each n-gram, however many buckets."""
+    bucket = ((u >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+    starts = np.flatnonzero(np.diff(bucket, prepend=-1))
+    for lo, hi in zip(starts.tolist(), [*starts[1:].tolist(), len(u)]):
+        yield int(bucket[lo]), planes(np.diff(u[lo:hi], prepend=np.uint64(0))), *(planes(x[lo:hi]) for x in counts)
+
+
+def _merged(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+    """The distinct hashes of a bucket's rows, where each row's are among them, and their summed counts."""
+    hashes = [np.cumsum(whole(x, np.uint64), dtype=np.uint64) for x in _column(t, "hashes")]
+    u, inv = np.unique(np.concatenate(hashes), return_inverse=True)
+    counts = [np.bincount(inv, np.concatenate([whole(x, np.uint32) for x in _column(t, c)]), len(u)).astype(np.uint32) for c in ("kept", "deleted")]
+    return u, inv, np.cumsum([0, *map(len, hashes)]), counts
+
+
+SENT = "bucket long, chunk long, hashes binary, kept binary, deleted binary"
+ANSWERED = "chunk long, bucket long, kept binary, trained binary, stats array<double>"
+
+
+def _sent(rows: list[tuple]) -> pa.Table:
+    kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
+    cols = zip(*rows) if rows else [()] * 5
+    return pa.table([pa.array(c, k) for c, k in zip(cols, kinds)], ["bucket", "chunk", "hashes", "kept", "deleted"])
 
-    kept: in training but the deleted fold; trained: in all training. A row of chunk -1 for each
-    bucket has the tokens (n) and token types (v) of both, as pairs.
-    """
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for chunk, part, ends, vocabulary, tokens in zip(*(c.to_pylist() for c in b.columns)):
-                u, (kept, deleted) = Chunk(ends, vocabulary, tokens, part, order).distinct()
-                bucket = ((u >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
-                starts = np.flatnonzero(np.diff(bucket, prepend=-1))  # at most one row for each n-gram, however many buckets
-                for lo, hi in zip(starts.tolist(), [*starts[1:].tolist(), len(u)]):
-                    step = np.diff(u[lo:hi], prepend=np.uint64(0))
-                    yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (int(bucket[lo]), chunk)] + [
-                        pa.array([planes(x)], pa.binary()) for x in (step, kept[lo:hi], deleted[lo:hi])],
-                        ["bucket", "chunk", "hashes", "kept", "deleted"])
 
+def _answered(rows: list[tuple]) -> pa.Table:
+    kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.float64()))
+    return pa.table([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["chunk", "bucket", "kept", "trained", "stats"])
+
+
+def _answers(sent: DataFrame, buckets: int) -> DataFrame:
+    """The counts of each bucket, sent back to the chunks (or blocks) that asked, and its totals."""
     def merge(t: pa.Table) -> pa.Table:
-        chunk = _column(t, "chunk")
-        hashes = [np.cumsum(whole(x, np.uint64), dtype=np.uint64) for x in _column(t, "hashes")]
-        sizes = np.cumsum([0, *map(len, hashes)])
-        u, inv = np.unique(np.concatenate(hashes), return_inverse=True)
-        kept = np.bincount(inv, np.concatenate([whole(x, np.uint32) for x in _column(t, "kept")]), len(u)).astype(np.uint32)
-        deleted = np.bincount(inv, np.concatenate([whole(x, np.uint32) for x in _column(t, "deleted")]), len(u)).astype(np.uint32)
-        trained = kept + deleted
+        u, inv, sizes, (kept, deleted) = _merged(t)
+        trained, bucket = kept + deleted, _column(t, "bucket")[0]
         word = (u & np.uint64(7) == 1) & (u != np.uint64(START & ~7 | 1))
         nv = [[float(x[word].sum()), float((x[word] > 0).sum())] for x in (kept, trained)]
-        rows = [(c, planes(kept[inv[a:b]]), planes(trained[inv[a:b]]), None) for c, a, b in zip(chunk, sizes, sizes[1:])]
-        rows.append((-1, None, None, nv[0] + nv[1]))
-        bucket = [_column(t, "bucket")[0]] * len(rows)
-        c, k, tr, s = zip(*rows)
-        return pa.table([pa.array(c, pa.int64()), pa.array(bucket, pa.int64()), pa.array(k, pa.binary()), pa.array(tr, pa.binary()), pa.array(s, pa.list_(pa.float64()))],
-                        ["chunk", "bucket", "kept", "trained", "stats"])
+        rows = [(c, bucket, planes(kept[inv[a:b]]), planes(trained[inv[a:b]]), None) for c, a, b in zip(_column(t, "chunk"), sizes, sizes[1:])]
+        return _answered([*rows, (-1, bucket, None, None, nv[0] + nv[1])])
+
+    return sent.repartition(min(buckets, MERGE_TASKS), "bucket").groupBy("bucket").applyInArrow(merge, ANSWERED)
+
+
+def corpus_counts(chunks: DataFrame, order: int, buckets: int, blocks: int = 1) -> DataFrame:
+    """(chunk, bucket, kept, trained, stats): the corpus counts of each chunk's distinct hashes.
 
-    sent = chunks.select("chunk", "part", "ends", "vocabulary", "tokens").mapInArrow(
-        emit, "bucket long, chunk long, hashes binary, kept binary, deleted binary")
-    return sent.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(merge, "chunk long, bucket long, kept binary, trained binary, stats array<double>")
+    kept: in training but the deleted fold; trained: in all training. A row of chunk -1 for each
+    bucket has the tokens and token types of both (stats). With ``blocks`` over one, chunks are merged in that
+    many blocks first, each by as many buckets as suit its chunks.
+    """
+    fine = buckets if blocks == 1 else max(1, -(-buckets // blocks))
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for block, chunk, part, ends, vocabulary, tokens in zip(*(c.to_pylist() for c in b.columns)):
+                u, counts = Chunk(ends, vocabulary, tokens, part, order).distinct()
+                for bucket, *rest in _by_bucket(u, counts, fine):
+                    yield from _sent([(block * fine + bucket, chunk, *rest)]).to_batches()
+
+    sent = chunks.select(F.pmod(F.xxhash64("chunk"), F.lit(blocks)).cast("long").alias("block"), "chunk", "part", "ends", "vocabulary", "tokens").mapInArrow(emit, SENT)
+    if blocks == 1:
+        return _answers(sent, buckets)
+
+    def pass_on(t: pa.Table) -> pa.Table:
+        u, _, _, counts = _merged(t)
+        place = _column(t, "bucket")[0]  # of the block and its bucket, which ask the corpus as a chunk does
+        return _sent([(bucket, place, *rest) for bucket, *rest in _by_bucket(u, counts, buckets)])
+
+    def give_back(left: pa.Table, right: pa.Table) -> pa.Table:
+        _, inv, sizes, _ = _merged(left)
+        kept, trained = (np.concatenate([whole(x, np.uint32) for _, x in sorted(zip(_column(right, "bucket"), _column(right, c)))]) for c in ("kept", "trained"))
+        return _answered([(c, p, planes(kept[inv[a:b]]), planes(trained[inv[a:b]]), None)
+                          for c, p, a, b in zip(_column(left, "chunk"), _column(left, "bucket"), sizes, sizes[1:])])
+
+    tasks = min(blocks * fine, MERGE_TASKS)
+    sent = write_table(sent, "lm-sent")
+    of_blocks = write_table(_answers(sent.repartition(tasks, "bucket").groupBy("bucket").applyInArrow(pass_on, SENT), buckets), "lm-blocks")
+    asked = of_blocks.where("chunk >= 0").withColumnRenamed("chunk", "place")
+    back = sent.groupBy("bucket").cogroup(asked.groupBy("place")).applyInArrow(give_back, ANSWERED)
+    return back.unionByName(of_blocks.where("chunk = -1"))
 
 
 def learn_weights(samples: DataFrame, width: int, size: int, rounds: int = 30, close: float = 1e-5) -> np.ndarray:
@@ -228,7 +277,7 @@ def learn_weights(samples: DataFrame, width: int, size: int, rounds: int = 30, c
     return weights
 
 
-def lm_score(docs: DataFrame, held_out: Column, deleted: Column, order: int = ORDER, buckets: int | None = None) -> DataFrame:
+def lm_score(docs: DataFrame, held_out: Column, deleted: Column, order: int = ORDER, buckets: int | None = None, blocks: int | None = None) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of each whole text.
 
     Words are runs of other than ASCII white space, A-Z lower-cased, and an end closes each text.
@@ -241,8 +290,10 @@ def lm_score(docs: DataFrame, held_out: Column, deleted: Column, order: int = OR
     spark = docs.sparkSession
     held = F.coalesce(held_out, F.lit(False))
     chunks = write_table(split_chunks(docs, ~held, F.coalesce(deleted, F.lit(False))), "lm-chunks")
-    buckets = buckets or max(8, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-chunks.count() // CHUNKS_A_BUCKET))
-    answers = write_table(corpus_counts(chunks, order, buckets), "lm-counts")
+    n_chunks = chunks.count()
+    buckets = buckets or max(8, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_chunks // CHUNKS_A_BUCKET))
+    blocks = blocks or (1 if n_chunks <= WIDE else math.isqrt(n_chunks))
+    answers = write_table(corpus_counts(chunks, order, buckets, blocks), "lm-counts")
     stats = answers.where("chunk = -1").select(*(F.sum(F.col("stats")[i]) for i in range(4))).first()
     n_kept, v_kept, n, v = (float(x or 0) for x in stats)
     size, width = (order - 1) * BUCKETS + 1, order + 1

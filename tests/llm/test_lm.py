@@ -77,13 +77,13 @@ def close(a, b):
         assert x[5] == pytest.approx(y[5], rel=1e-9) and x[6] == pytest.approx(y[6], rel=1e-4)
 
 
-@pytest.mark.parametrize("order", [1, 2, 3])
-def test_against_dictionaries(spark, order, monkeypatch):
+@pytest.mark.parametrize("order, blocks", [(1, None), (2, None), (3, None), (2, 3), (3, 40)])
+def test_against_dictionaries(spark, order, blocks, monkeypatch):
     monkeypatch.setattr(L, "CHUNK_BYTES", 3000)
     texts = ["The cat sat on the mat", "the cat  sat\non the\x0bhat", "a dog", None, "", "THE dog sat on the cat É é", "x " * 900, "the cat sat"] * 6
     rows = [(i if i != 5 else None, t) for i, t in enumerate(texts)] + [(0, texts[0])]
     df = spark.createDataFrame([(*r, 0, "x") for r in rows], "doc_id long, text string, score int, part string")
-    got = [tuple(r) for r in L.lm_score(df, *L.folds(), order=order).collect()]
+    got = [tuple(r) for r in L.lm_score(df, *L.folds(), order=order, blocks=blocks).collect()]
     key = lambda r: (r[0] is None, r[0] or 0, r[2], r[5])
     close(sorted(got, key=key), sorted(brute(rows, order), key=key))
 
@@ -101,3 +101,17 @@ def test_edges(spark):
     assert L.lm_score(df.limit(0), *L.folds()).count() == 0
     r = L.lm_score(df, F.lit(True), F.lit(False)).collect()
     assert len(r) == 3 and all(x.train_tokens == 0 and x.n_known == 0 and math.isfinite(x.score) for x in r)
+
+
+def test_rows_sent_in_two_levels(spark, monkeypatch):
+    """Of many chunks far fewer rows are sent by blocks than from each chunk to each bucket."""
+    monkeypatch.setattr(L, "CHUNK_BYTES", 2000)
+    docs = spark.range(400).selectExpr("id AS doc_id", "concat_ws(' ', transform(sequence(1, 300), i -> cast(xxhash64(id, i) AS string))) AS text").repartition(4)
+    chunks = L.split_chunks(docs, F.lit(True), F.lit(False)).cache()
+    n = chunks.count()
+    assert n >= 400
+    one, two = (L.corpus_counts(chunks, 2, 100, b) for b in (1, 20))
+    exact = lambda df: sum(r.stats[0] for r in df.where("chunk = -1").collect())
+    assert exact(one) == exact(two) == 400 * 301
+    rows = lambda df: df.where("chunk >= 0").count()
+    assert rows(one) > 90 * n and rows(two) <= 5 * n
