@@ -15,6 +15,7 @@ turns a document's place in its queue into its pieces by the plan, without a shu
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,6 +28,7 @@ from .common import text_of, write_table
 
 SHARES = 1 << 16  # a share is a whole number of these parts
 CACHE_WORDS = 300_000
+SIGNS = frozenset(b"%c" % c for c in b".,;:!?)\"")  # ASCII signs that often end a word; none takes part in a contraction
 SMALL, UNNAMED = "small", "unnamed"  # queues that sources without one of their own share
 
 
@@ -35,7 +37,8 @@ class ChunkTokenizer(dict):
 
     Texts are cut at ASCII white space and each distinct chunk is encoded once: pieces of Latin
     letters, digits and signs by the vocabulary's model, anything else by the whole tokenizer. The
-    chunks (this dict) are remembered for the worker's next batches, up to a fixed number.
+    chunks (this dict) are remembered for the worker's next batches, up to a fixed number; then they
+    become the older ones, which are still looked up, and those before them are forgotten.
     """
 
     def __init__(self, path: str):
@@ -47,11 +50,12 @@ class ChunkTokenizer(dict):
         from .bpe import byte_chars
 
         super().__init__()
+        self.older: dict[bytes, bytes] = {}
         self.tok = Tokenizer.from_file(path)
         self.tok.no_truncation()
         self.tok.no_padding()
         self.model = self.tok.model.tokenize
-        self.kind = np.uint16 if self.tok.get_vocab_size() <= 1 << 16 else np.uint32
+        self.kind, self.code = (np.uint16, "H") if self.tok.get_vocab_size() <= 1 << 16 else (np.uint32, "I")
         with open(path, encoding="utf-8") as f:
             steps = json.load(f)["pre_tokenizer"]["pretokenizers"]
         self.pieces = regex.compile(steps[0]["pattern"]["Regex"]).findall
@@ -59,16 +63,26 @@ class ChunkTokenizer(dict):
         self.chars = dict(byte_chars())
 
     def __missing__(self, chunk: bytes) -> bytes:
-        text = chunk.decode()
-        if self.simple(text) and "<|" not in text:
-            ids = [t.id for p in self.pieces(text.lower())
-                   for t in self.model(p if p.isascii() else p.encode().decode("latin-1").translate(self.chars))]
-        else:
-            ids = self.tok.encode(text, add_special_tokens=False).ids
-        out = np.array(ids, self.kind).tobytes()
+        out = self.older.get(chunk) or self.ids(chunk)
         self[chunk] = out
         return out
 
+    def ids(self, chunk: bytes) -> bytes:
+        if chunk.isalpha():  # ASCII letters are one piece
+            return self.packed([t.id for t in self.model(chunk.decode().lower())])
+        if chunk[:-1].isalpha() and chunk[-1:] in SIGNS:  # so they are before a sign, which is the other
+            word = chunk[:-1]
+            return (self.get(word) or self.older.get(word) or self.ids(word)) + self[chunk[-1:]]
+        text = chunk.decode()
+        if not self.simple(text) or "<|" in text:
+            return self.packed(self.tok.encode(text, add_special_tokens=False).ids)
+        low = text.lower()
+        return self.packed([t.id for p in ([low] if low.isalpha() else self.pieces(low))
+                            for t in self.model(p if p.isascii() else p.encode().decode("latin-1").translate(self.chars))])
+
+    def packed(self, ids: list[int]) -> bytes:
+        return array(self.code, ids).tobytes()
+
     def encode(self, texts: list[str], end: int) -> list[bytes]:
         """The ids of each text and then ``end``, as little-endian bytes of ``kind``."""
         tail, out = np.array([end], self.kind).tobytes(), []
@@ -77,6 +91,7 @@ class ChunkTokenizer(dict):
             chunks = (raw if b"<|" in raw else raw.lower()).split()
             out.append(b"".join([*map(self.__getitem__, chunks), tail]))
             if len(self) > CACHE_WORDS:
+                self.older = dict(self)
                 self.clear()
         return out
 
