@@ -39,3 +39,21 @@ def test_query(spark, con, name):
 def test_entry(spark):
     df = entry.entry(spark)
     assert df.columns == ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"] and not df.isEmpty()
+
+
+def test_end_to_end_counts_findings(spark, tmp_path):
+    """Customers whose masked names are 00 and digits: the scan finds them, and so does the SQL."""
+    from pyspark.sql import functions as F
+
+    for f in os.listdir(DIR):
+        if f != "customer.parquet":
+            os.symlink(f"{DIR}/{f}", tmp_path / f)
+    name = F.expr("case c_custkey when 7 then 'Customer#000018283' when 8 then 'Customer#000038279' else c_name end")
+    spark.read.parquet(f"{DIR}/customer.parquet").withColumn("c_name", name).write.parquet(str(tmp_path / "customer.parquet"))
+    c = duckdb.connect()
+    for f in os.listdir(tmp_path):
+        c.execute(f"CREATE VIEW {f.removesuffix('.parquet')} AS SELECT * FROM '{tmp_path}/{f}{'/*.parquet' if f == 'customer.parquet' else ''}'")
+    df = entry.queries()["slice_end_to_end"](spark, str(tmp_path))
+    got, rel = [tuple(r) for r in df.collect()], c.sql(entry.oracle_sql()["slice_end_to_end"])
+    assert rows(df.columns, got) == rows(rel.columns, rel.fetchall())
+    assert {r.table_name: r.n_findings for r in df.collect()}["customer"] == 2
