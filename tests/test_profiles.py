@@ -130,3 +130,15 @@ def test_filters_leave_rows_out_before_the_shuffle(spark, monkeypatch):
     monkeypatch.setattr(filters, "FEW", 0)
     filtered = closure(m, "p", roots, 1)["c"].select("id", "depth", "via")
     assert plain.exceptAll(filtered).isEmpty() and plain.count() == filtered.count() > 300
+
+
+def test_columns_are_counted_apart(spark):
+    """No row goes on once for each column (an Expand), with nulls, an empty table and a nested column."""
+    from rowcloak.operators.profile import profile
+
+    df = spark.createDataFrame([(1, "ab", [1]), (2, None, [1]), (2, "b", None)], "a long, t string, xs array<int>")
+    out = profile(RelationalModel([TableSpec("x", df)]))
+    assert "Expand" not in out._jdf.queryExecution().optimizedPlan().toString()
+    facts = lambda o: {r.column_name: tuple(r)[3:] for r in o.collect()}
+    assert facts(out) == {"a": (3, 0, 2, None), "t": (3, 1, 2, 2), "xs": (3, 1, 1, None)}
+    assert facts(profile(RelationalModel([TableSpec("x", df.where("a > 9"))]))) == {"a": (0, 0, 0, None), "t": (0, 0, 0, None), "xs": (0, 0, 0, None)}
