@@ -336,8 +336,9 @@ def stream_running(spark, d):
     """Findings of a stream so far, after three batches."""
     path, source = scratch_path(spark, "running"), scratch_path(spark, "three")
     docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text")
-    docs.repartition(3, "doc_id").write.parquet(source)
-    stream = spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    a_batch = -(-docs.rdd.getNumPartitions() // 3)  # files, so that no task holds more of the table than one of its scan does
+    docs.repartition(3 * a_batch).write.parquet(source)
+    stream = spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", a_batch).parquet(source)
     _run(running_scan(stream, "documents", ["doc_id"], path).option("checkpointLocation", f"{path}-state"))
     return latest_findings(spark, path)
 

@@ -149,3 +149,21 @@ def test_sinks(spark, tmp_path):
     summary = spark.createDataFrame([("users", 12)], "table_name string, n long")
     write_summaries(summary, spark.createDataFrame([("users", "email", "email")], "table_name string, column_name string, rule string"), str(tmp_path / "meta"))
     assert spark.read.json(str(tmp_path / "meta" / "summary")).first().n == 12
+
+
+def test_running_stream_deals_files(spark, tmp_path, monkeypatch):
+    """Three batches of as many files as the table's scan has tasks for, not three files of a third each."""
+    import glob
+
+    from rowcloak.plans import checking
+
+    spark.range(4000).selectExpr("id as doc_id", "concat('mail user', id, '@corp', id, '.example.org') as text").repartition(6).write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(checking, "scratch_path", lambda s, label: f"{tmp_path}/{label}")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        checking.stream_running(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert len(glob.glob(f"{tmp_path}/three/*.parquet")) >= 6
+    assert len(glob.glob(f"{tmp_path}/running/batch=*")) == 3
