@@ -215,7 +215,7 @@ def corpus_counts(chunks: DataFrame, order: int, buckets: int, blocks: int = 1)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for block, chunk, part, ends, vocabulary, tokens in zip(*(c.to_pylist() for c in b.columns)):
+            for block, chunk, part, ends, vocabulary, tokens in (tuple(x.as_py() for x in r) for r in zip(*b.columns)):
                 u, counts = Chunk(ends, vocabulary, tokens, part, order).distinct()
                 for bucket, *rest in _by_bucket(u, counts, fine):
                     yield from _sent([(block * fine + bucket, chunk, *rest)]).to_batches()
@@ -236,8 +236,8 @@ def corpus_counts(chunks: DataFrame, order: int, buckets: int, blocks: int = 1)
                           for c, p, a, b in zip(_column(left, "chunk"), _column(left, "bucket"), sizes, sizes[1:])])
 
     tasks = min(blocks * fine, MERGE_TASKS)
-    sent = write_table(sent, "lm-sent")
-    of_blocks = write_table(_answers(sent.repartition(tasks, "bucket").groupBy("bucket").applyInArrow(pass_on, SENT), buckets), "lm-blocks")
+    sent = write_table(sent, "lm-sent", heavy=True)
+    of_blocks = write_table(_answers(sent.repartition(tasks, "bucket").groupBy("bucket").applyInArrow(pass_on, SENT), buckets), "lm-blocks", heavy=True)
     asked = of_blocks.where("chunk >= 0").withColumnRenamed("chunk", "place")
     back = sent.groupBy("bucket").cogroup(asked.groupBy("place")).applyInArrow(give_back, ANSWERED)
     return back.unionByName(of_blocks.where("chunk = -1"))
@@ -289,11 +289,11 @@ def lm_score(docs: DataFrame, held_out: Column, deleted: Column, order: int = OR
     """
     spark = docs.sparkSession
     held = F.coalesce(held_out, F.lit(False))
-    chunks = write_table(split_chunks(docs, ~held, F.coalesce(deleted, F.lit(False))), "lm-chunks")
+    chunks = write_table(split_chunks(docs, ~held, F.coalesce(deleted, F.lit(False))), "lm-chunks", heavy=True)
     n_chunks = chunks.count()
     buckets = buckets or max(8, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_chunks // CHUNKS_A_BUCKET))
     blocks = blocks or (1 if n_chunks <= WIDE else math.isqrt(n_chunks))
-    answers = write_table(corpus_counts(chunks, order, buckets, blocks), "lm-counts")
+    answers = write_table(corpus_counts(chunks, order, buckets, blocks), "lm-counts", heavy=True)
     stats = answers.where("chunk = -1").select(*(F.sum(F.col("stats")[i]) for i in range(4))).first()
     n_kept, v_kept, n, v = (float(x or 0) for x in stats)
     size, width = (order - 1) * BUCKETS + 1, order + 1
@@ -320,7 +320,7 @@ def lm_score(docs: DataFrame, held_out: Column, deleted: Column, order: int = OR
                          pa.array([planes(times.astype(np.uint32))], pa.binary())], ["bucket", "p", "n"])
 
     pairs = lambda: chunks.groupBy("chunk").cogroup(back.groupBy("chunk"))
-    samples = write_table(pairs().applyInArrow(sample, "bucket binary, p binary, n binary"), "lm-samples")
+    samples = write_table(pairs().applyInArrow(sample, "bucket binary, p binary, n binary"), "lm-samples", heavy=True)
     weights = learn_weights(samples, width, size)
     drop_table(samples) if not samples.isEmpty() else None
     schema = StructType([docs.schema["doc_id"], StructField("held_out", BooleanType()), *(StructField(c, LongType()) for c in ("n_tokens", "n_known", "train_tokens")),

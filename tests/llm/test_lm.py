@@ -115,3 +115,18 @@ def test_rows_sent_in_two_levels(spark, monkeypatch):
     assert exact(one) == exact(two) == 400 * 301
     rows = lambda df: df.where("chunk >= 0").count()
     assert rows(one) > 90 * n and rows(two) <= 5 * n
+
+
+def test_heavy_tables_have_small_row_groups(spark):
+    """A reader holds a row group's values at once; by default no group ends before its hundredth row."""
+    import os
+
+    import pyarrow.parquet as pq
+
+    from rowcloak.llm.common import write_table
+
+    big = spark.range(30).selectExpr("id", "array_join(transform(sequence(1, 16000), x -> sha2(cast(id * 16000 + x as string), 256)), '') as text").coalesce(1)
+    for heavy, most in ((False, 30), (True, 29)):
+        made = write_table(big, "heavy", heavy=heavy)
+        groups = [pq.ParquetFile(f.removeprefix("file:")).metadata for f in made.inputFiles()]
+        assert max(m.row_group(i).num_rows for m in groups for i in range(m.num_row_groups)) <= most and made.count() == 30
