@@ -100,12 +100,12 @@ class KernelModel:
         for k in range(len(langs)):
             rank[y == k] = np.arange((y == k).sum())
         chosen = np.lexsort((y, rank))[:landmarks]
-        x = features.astype(np.float32)
-        marks = x[chosen]
-        kmm, knm = cls.kernel(marks, marks).astype(float), cls.kernel(x, marks).astype(float)
+        marks = features[chosen].astype(np.float32)
+        kmm = cls.kernel(marks, marks).astype(float)  # rows are taken by blocks: as floats all features would be four times as large
+        knm = np.concatenate([cls.kernel(features[lo:lo + BATCH].astype(np.float32), marks).astype(float) for lo in range(0, len(features), BATCH)])
         values, vectors = np.linalg.eigh(kmm)
         root = vectors * np.where(values > 1e-6, 1 / np.sqrt(np.maximum(values, 1e-6)), 0)  # K_mm^(-1/2), rotated
-        phi = np.column_stack([knm @ root, np.ones(len(x))])
+        phi = np.column_stack([knm @ root, np.ones(len(features))])
         target = np.where(y[:, None] == np.arange(len(langs)), 1.0, -1.0)
         share = 1 / np.bincount(y, minlength=len(langs))[y]  # each language weighs the same
         beta = np.linalg.solve((phi * share[:, None]).T @ phi + ridge * np.eye(phi.shape[1]), (phi * share[:, None]).T @ target)
@@ -181,7 +181,8 @@ def fit_language_model(docs: DataFrame, train, per_language: int = 400, sample:
     got = texts.mapInArrow(run, "lang string, h long, x binary").where("x is not null").dropDuplicates(["h"]).orderBy("h").collect()
     if not got:
         return None
-    features = np.stack([np.unpackbits(np.frombuffer(r["x"], np.uint8), count=DIM) for r in got])
+    packed = np.frombuffer(b"".join(r["x"] for r in got), np.uint8).reshape(len(got), -1)
+    features = np.unpackbits(packed, axis=1, count=DIM)
     return KernelModel.fit(features, [r["lang"] for r in got], landmarks)
 
 
