@@ -12,12 +12,13 @@ from __future__ import annotations
 import json
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..model import ForeignKey, RelationalModel
 from ..operators.closure import link_rows, link_view, referencing
+from ..scratch import counted
 from .commits import Files
 
 ROWS, MOST = 1_000_000, 4_096  # rows of a bucket, and buckets of an index
@@ -50,12 +51,13 @@ def build_indexes(model: RelationalModel, folder: str, fks: list[ForeignKey] | N
     meta = []
     for i, fk in enumerate(fks if fks is not None else model.fks):
         held = referencing(model, fk, link_rows(model, fk.child))
-        spark, columns, many = held.sparkSession, list(fk.columns), held.count()
-        buckets = max(1, min(MOST, -(-many // rows)))
-        over = held.groupBy(*columns).agg(F.count("*").alias("_n")).where(F.col("_n") > rows).select(*columns)
+        spark, columns, total = held.sparkSession, list(fk.columns), Observation()
+        sizes = held.groupBy(*columns).agg(F.count("*").alias("_n")).observe(total, F.sum("_n").alias("rows"))
+        over, n_over = counted(sizes.where(F.col("_n") > rows).select(*columns), "index-hot")
+        buckets = max(1, min(MOST, -(-(total.get["rows"] or 0) // rows)))
         hot = f"{folder}/{i:03d}-hot"
-        held.join(over, columns, "left_semi").select(*held.columns).write.parquet(hot)
-        cool = held.join(over, columns, "left_anti").select(*held.columns).repartition(buckets, *columns)
+        (held.join(over, columns, "left_semi") if n_over else held.where("false")).select(*held.columns).write.parquet(hot)
+        cool = (held.join(over, columns, "left_anti") if n_over else held).select(*held.columns).repartition(buckets, *columns)
         name = f"rowcloak_build_{uuid.uuid4().hex}"
         cool.write.bucketBy(buckets, *columns).sortBy(*columns).option("path", f"{folder}/{i:03d}").saveAsTable(name)
         spark.sql(f"DROP TABLE {name}")  # of an external table that leaves the files

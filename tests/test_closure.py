@@ -2,7 +2,7 @@ import pytest
 from fixtures import CANARIES, RULES, kitchen_sink
 
 from rowcloak.model import ForeignKey, ModelError, RelationalModel, TableSpec
-from rowcloak.operators.closure import closure, fit_preset, in_sample, keyset_counts, load_keys, preset_estimates, root_keys, save_keys
+from rowcloak.operators.closure import closure, fit_preset, in_sample, keyset_counts, load_keys, preset_estimates, read_slice, root_keys, save_keys
 from rowcloak.operators.integrity import assert_referential, orphan_counts
 from rowcloak.operators.masking import Classifier
 from rowcloak.operators.scan import canary_counts, scan
@@ -180,3 +180,17 @@ def test_provenance_against_a_walk(spark):
             n, low = want.get(via, (0, d))
             want[via] = n + 1, min(low, d)
     assert {r.via: (r.n_keys, r.min_depth) for r in closure_via(spark, "/root/testdata/sf0.001").collect()} == want
+
+
+def test_indexes_of_hot_values_and_of_nothing(spark, tmp_path):
+    """Rows of a value with more of them than a bucket holds lie apart; the others, and an empty child's none, in buckets."""
+    from rowcloak.sources.indexes import build_indexes, open_indexes
+
+    parents = spark.range(50).selectExpr("id as p")
+    for i, rows in enumerate((spark.range(600).selectExpr("id as c", "if(id < 200, 7, if(id < 220, null, id % 50)) as of"), spark.range(0).selectExpr("id as c", "id as of"))):
+        fk = ForeignKey("child", ("of",), "parent", ("p",))
+        m = RelationalModel([TableSpec("parent", parents, ("p",)), TableSpec("child", rows, ("c",))], [fk])
+        build_indexes(m, str(tmp_path / str(i)), rows=50)
+        cool, hot = open_indexes(spark, m, str(tmp_path / str(i))).children(m.fks[0])
+        assert sorted(map(tuple, cool.unionByName(hot).select("c", "of").collect())) == sorted(map(tuple, rows.where("of is not null").collect()))
+        assert {r["of"] for r in hot.collect()} == ({7} if i == 0 else set())
