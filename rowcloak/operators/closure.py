@@ -279,6 +279,13 @@ def load_keys(spark, path: str, tables: list[str]) -> dict[str, DataFrame]:
 
 
 def read_slice(model: RelationalModel, keys: DataFrame, table: str) -> DataFrame:
-    """The insertable columns of the rows with ``keys``; repeated rows of a keyless table all come."""
+    """The insertable columns of the rows with ``keys``; repeated rows of a keyless table all come.
+
+    Most rows that are not in the slice are left out in the scan (``filters``) where the keys are too many for a broadcast.
+    """
     t = model.table(table)
-    return t.rows().join(keys.select(*t.key), list(t.key), "left_semi").select(*t.insert_columns())
+    rows, wanted = t.rows(), keys.select(*t.key)
+    n = wanted.count()  # of a closure's keys read from the files' footers
+    if filters.FEW <= n <= filters.MANY and all(rows.schema[c].dataType == wanted.schema[c].dataType for c in t.key):
+        rows = ValueFilter(wanted, list(t.key), n).keep(rows, list(t.key))
+    return rows.join(wanted, list(t.key), "left_semi").select(*t.insert_columns())

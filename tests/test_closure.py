@@ -182,6 +182,21 @@ def test_provenance_against_a_walk(spark):
     assert {r.via: (r.n_keys, r.min_depth) for r in closure_via(spark, "/root/testdata/sf0.001").collect()} == want
 
 
+def test_many_keys_are_told_in_the_scan(spark, monkeypatch):
+    """With more keys than a broadcast takes, rows outside the slice don't reach the join; repeated rows all come."""
+    from rowcloak.operators import filters
+
+    used = []
+    keep = filters.ValueFilter.keep
+    monkeypatch.setattr(filters, "FEW", 10)
+    monkeypatch.setattr(filters.ValueFilter, "keep", lambda self, rows, columns: used.append(columns) or keep(self, rows, columns))
+    rows = spark.range(3000).selectExpr("id % 1000 as a", "if(id % 5 = 0, null, id % 1000) as b")
+    m = RelationalModel([TableSpec("t", rows)])
+    keys = m.table("t").rows().where("a < 40").select("_row_id").distinct()
+    got = read_slice(m, keys, "t")
+    assert sorted(map(str, got.collect())) == sorted(map(str, rows.where("a < 40").collect())) and used == [["_row_id"]]
+
+
 def test_indexes_of_hot_values_and_of_nothing(spark, tmp_path):
     """Rows of a value with more of them than a bucket holds lie apart; the others, and an empty child's none, in buckets."""
     from rowcloak.sources.indexes import build_indexes, open_indexes
