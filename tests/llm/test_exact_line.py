@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rowcloak.llm.exact_dedup import DigestIndex, exact_dedup
-from rowcloak.llm.line_dedup import later_copies, line_dedup, ranked, repeated_runs, sequences
+from rowcloak.llm.line_dedup import later_copies, line_dedup, numbered, ranked, repeated_runs, sequences, suffix_array
 
 NORM = lambda t: re.sub("[\x20\x09-\x0d]+", " ", t or "")
 SCHEMA = "doc_id long, text string, digest string, copies int, _kept int, line int, rank long, start int, n string"
@@ -141,3 +141,29 @@ def test_hot_lines_are_dealt(spark):
 def test_ranks_are_places_in_the_suffix_array(spark):
     classes = spark.createDataFrame([(k, n) for k, n in zip("cabed", (2, 5, 3, 2, 9))], "k1 string, n long")
     assert {r.k1: r["rank"] for r in ranked(classes, ["k1"]).collect()} == {"a": 0, "b": 5, "c": 8, "d": 10, "e": 19}
+
+
+def test_the_suffix_array_is_whole(spark):
+    """Every suffix has its place, however many lines it takes to tell it, and every place its common prefix with the one in front."""
+    rng = random.Random(4)
+    long = [f"{i % 7}{'x' * 50}" for i in range(70)]  # windows of one line, common prefixes of up to 70
+    made = [long, long[:40] + ["other"], ["own"] + long, long[35:], ["a"] * 33, [], ["once"], long] + [[rng.choice("ab") * 45 for _ in range(rng.randint(1, 20))] for _ in range(12)]
+    rows = [(i, "\n".join(x)) for i, x in enumerate(made)]
+    array, prefixes = suffix_array(sequences(frame(spark, rows + rows[:1]), 40).localCheckpoint())
+    ids = lambda x: [hashlib.md5(y.encode()).digest() for y in x]
+    want = sorted((ids(x)[i:], d, i) for d, x in enumerate(made) for i in range(len(x)))
+    got = array.orderBy("rank", "_ord", "i").collect()
+    assert [(r._ord, r.i) for r in got] == [x[1:] for x in want] and max(r.h for r in got) == 128
+    common = lambda a, b: next((n for n, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+    equal = [p > 0 and want[p][0] == want[p - 1][0] for p in range(len(want))]
+    assert [r.head for r in got] == [not x for x in equal]
+    lcp, heads = {r["rank"]: r.lcp for r in prefixes.collect()}, [p for p in range(len(want)) if p and not equal[p]]
+    assert [lcp.get(got[p]["rank"], 0) for p in heads] == [common(want[p - 1][0], want[p][0]) for p in heads]
+
+
+def test_numbers_within_a_group_that_spans_partitions(spark):
+    rng = random.Random(2)
+    rows = sorted((g, k, rng.randint(1, 5)) for g, size in enumerate((1, 400, 3, 250, 1, 90)) for k in range(size))
+    dealt = spark.createDataFrame([(*r, n // 150) for n, r in enumerate(rows)], "g int, k int, n int, _part int").selectExpr("*", "struct(g, k) as first")
+    got = {(r.g, r.k): (r["rank"], r.before and tuple(r.before)) for r in numbered(dealt, ["g", "k"], "g").collect()}
+    assert got == {(g, k): (sum(n for a, b, n in rows if a == g and b < k), (g, k - 1) if k else None) for g, k, _ in rows}
