@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline as P
-from rowcloak.llm.near_dedup import first_shingles, may_be_similar, near_dedup, shingles, similar, spanning, wide_parity
+from rowcloak.llm.near_dedup import fingerprint, first_shingles, may_be_similar, near_dedup, shingles, similar, simhash_pairs, spanning, wide_parity
 
 
 def brute_sets(texts):
@@ -120,3 +120,33 @@ def test_large_near_copies_against_all_pairs(spark):
     rows = list(enumerate([" ".join(b) for b in base] + [changed(b, k, rng) for b in base for k in (1, len(b) // 60, len(b) // 40, len(b) // 15)]))
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     assert sorted(r.doc_id for r in near_dedup(docs).collect()) == brute(rows)
+
+
+def test_fingerprints_within_four_bits_are_candidates(spark):
+    """As components: what pairs within four bits connect, no more and no less; few similar texts are that near, so the others need prefixes."""
+    sets = [x for x in {shingles(t or "").tobytes() for _, t in made()}]
+    rows = [(k, fingerprint(np.frombuffer(x, np.uint64))) for k, x in enumerate(sets)] + [(900, 5), (901, 5), (902, 5 ^ 15), (903, 5 ^ 255), (904, -1), (905, -1 ^ 31)]
+    assert fingerprint(np.zeros(0, np.uint64)) == 0 and fingerprint(np.array([7, 5, 1 << 63], np.uint64)) == 5
+    joined = lambda pairs: [min(c) for k, _ in rows for c in [next(c for c in _components([r[0] for r in rows], pairs) if k in c)]]
+    near = [(a, b) for a, x in rows for b, y in rows if a < b and ((x ^ y) & (1 << 64) - 1).bit_count() <= 4]
+    got = [(r.a, r.b) for r in simhash_pairs(spark.createDataFrame(rows, "_k long, _fp long").repartition(3)).collect()]
+    assert all(a < b for a, b in got) and joined(got) == joined(near) and len(near) > 6
+
+
+def _components(nodes, pairs):
+    sets = {n: {n} for n in nodes}
+    for a, b in pairs:
+        if sets[a] is not sets[b]:
+            sets[a] |= sets[b]
+            for n in sets[b]:
+                sets[n] = sets[a]
+    return list({id(c): c for c in sets.values()}.values())
+
+
+def test_the_stage_looks_fingerprints_up(spark, monkeypatch):
+    from rowcloak.llm import near_dedup as N
+
+    seen = []
+    monkeypatch.setattr(N, "links", lambda fps, limit, f=N.links: seen.append(fps.count()) or f(fps, limit))
+    docs = spark.createDataFrame([(1, "a b c d e f"), (2, "A b c d e f"), (3, "x y"), (4, None)], "doc_id long, text string")
+    assert sorted(r.doc_id for r in P.near_duplicates(spark, docs, "").collect()) == [1, 3, 4] and seen == [3]
